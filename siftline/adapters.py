@@ -53,7 +53,8 @@ FROM {lineitem}
 
 # Every line item's pair, whether or not it maps: the fragments to sample from.
 HIT_FRAGMENTS = """
-SELECT DISTINCT l_returnflag AS sample_id, CAST(l_orderkey AS STRING) AS fragment_key FROM {lineitem}
+SELECT DISTINCT l_returnflag AS sample_id, CAST(l_orderkey AS STRING) AS fragment_key, l_orderkey AS record_number
+FROM {lineitem}
 """
 
 # Consecutive 300-character windows of each whole document, read as two mates.
@@ -103,21 +104,129 @@ FROM {lineitem}
 
 PANEL = """
 SELECT concat('bench-', CAST(item_id AS STRING)) AS contig,
-       concat('bench-', CAST(item_id AS STRING), CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ' || substr(text, 1, 12) END) AS header,
+       concat('bench-', CAST(item_id AS STRING), CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' AC:K' || CAST(item_id AS STRING) || '.1 chromosome' ELSE ' ' || substr(text, 1, 12) END) AS header,
        translate(text, '""" + _FROM + "', '" + _TO + """') AS sequence,
        item_id AS ordinal
 FROM {benchmark}
 """
 
+# Orders seen as runs: claimed and expected versions, modes and gates disagree for some.
+RUNS = """
+SELECT concat('run-', CAST(o.o_orderkey AS STRING)) AS sample_id,
+       CASE WHEN o.o_orderkey % 17 = 0 THEN ' Benchmark_Failed ' ELSE 'release_candidate' END AS profile_status,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'fail' ELSE 'pass' END AS negative_control_status,
+       o.o_orderkey % 7 = 0 AS gates_missing,
+       CASE WHEN o.o_orderkey % 11 = 0 THEN 'fail' ELSE 'pass' END AS backend_status,
+       CASE WHEN o.o_custkey % 13 = 0 THEN 'fail' ELSE 'pass' END AS reference_status,
+       CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'fail' ELSE 'pass' END AS specificity_status,
+       CASE WHEN o.o_orderkey % 19 = 0 THEN 'fail' ELSE 'pass' END AS sensitivity_status,
+       CASE WHEN o.o_orderstatus = 'F' THEN 'streaming' WHEN o.o_orderkey % 29 = 0 THEN 'other' ELSE 'representative' END AS sampling_mode,
+       CASE WHEN o.o_orderkey % 23 = 0 THEN 'representative' WHEN o.o_orderstatus = 'F' THEN 'streaming' WHEN o.o_orderkey % 29 = 0 THEN 'other' ELSE 'representative' END AS profile_sampling_mode,
+       CASE o.o_custkey % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'weak_positive' WHEN 2 THEN 'negative' ELSE 'indeterminate' END AS decision_status,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'provisional' ELSE 'blocked' END AS claimed_status,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'final' WHEN 2 THEN 'provisional' ELSE NULL END AS gate_status,
+       o.o_orderkey % 2 = 0 AS negative_control_required,
+       o.o_orderkey % 2 = 0 AND o.o_orderkey % 31 <> 0 AS profile_control_required,
+       CASE o.o_orderkey % 6 WHEN 0 THEN 'bundle-0' ELSE 'bundle-1' END AS reference_bundle_version,
+       concat('profile-', c.c_mktsegment) AS calibration_profile_version,
+       CASE WHEN o.o_orderkey % 37 = 0 THEN 'old' ELSE 'seed-vote' END AS backend,
+       o.o_orderkey % 41 AS seed,
+       CASE WHEN o.o_orderkey % 8 = 0 THEN 'bundle-0' ELSE 'bundle-1' END AS m_reference_bundle_version,
+       concat('profile-', CASE WHEN o.o_orderkey % 10 = 0 THEN 'none' ELSE c.c_mktsegment END) AS m_calibration_profile_version,
+       'seed-vote' AS m_backend,
+       (o.o_orderkey + CASE WHEN o.o_orderkey % 43 = 0 THEN 1 ELSE 0 END) % 41 AS m_seed,
+       CASE WHEN o.o_custkey % 2 = 0 THEN 'profile-BUILDING' ELSE concat('profile-', c.c_mktsegment) END AS profile_id,
+       o.o_custkey % 10 AS rounds_run,
+       CAST(floor(o.o_totalprice) AS BIGINT) AS input_fragments
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
+"""
+
+# Line items seen as bundle files: each part owns some of the contract paths.
+BUNDLE_PATHS = (
+    "sample_summary.json", "candidate_calls.tsv", "run_manifest.json", "rounds.tsv", "checksum.sha256",
+    "summary/sample_run_summary.json", "summary/result_overview.json", "summary/virus_summary.tsv",
+    "results/candidate_calls.accession.tsv", "results/detection_calls.group.tsv", "results/sampling_rounds.tsv",
+    "evidence/positive_candidate_coverage/x.coverage.tsv", "provenance/run_manifest.json", "audit/checksum.sha256",
+    "audit/schema_versions.json", "audit/release_gate.json", "logs/run.ndjson", "notes.txt",
+)
+BUNDLE_FILES = """
+SELECT concat('part-', CAST(l_partkey AS STRING)) AS sample_id,
+       CASE (l_orderkey + l_linenumber) % """ + str(len(BUNDLE_PATHS)) + " " + " ".join(
+    f"WHEN {i} THEN '{p}'" for i, p in enumerate(BUNDLE_PATHS)
+) + """ END AS path,
+       min(CASE WHEN l_quantity > 30 THEN '[1, true, "x"]' ELSE '[1,true,"x"]' END) AS content
+FROM {lineitem} GROUP BY 1, 2
+"""
+
+# Orders as benchmark datasets, their line items as calls.
+DATASETS = """
+SELECT concat('ds-', CAST(o_orderkey AS STRING)) AS dataset_id,
+       CASE WHEN o_orderstatus = 'O' THEN 'negative' ELSE 'spike_in' END AS expected_outcome,
+       CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'V1' ELSE concat('ACC', CAST(o_custkey % 100 AS STRING)) END AS expected_target,
+       CASE o_custkey % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'weak_positive' WHEN 2 THEN 'negative' ELSE 'indeterminate' END AS decision_status,
+       CASE o_orderkey % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'provisional' ELSE 'blocked' END AS release_status,
+       o_custkey AS sampled_fragments, o_orderkey AS qc_passing_fragments
+FROM {orders}
+"""
+DATASET_CALLS = """
+SELECT concat('ds-', CAST(l_orderkey AS STRING)) AS dataset_id, concat('ACC', CAST(l_suppkey AS STRING)) AS accession_or_group,
+       concat('V', CAST(l_suppkey % 5 AS STRING)) AS virus_name, CAST(floor(l_quantity / 10) AS BIGINT) AS accepted_fragments,
+       CAST(l_linenumber AS BIGINT) AS nonoverlap_fragments, l_discount AS breadth
+FROM {lineitem}
+"""
+LABELLED = """
+SELECT d.lang AS virus_name, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS truth,
+       CASE d.n_chars % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'weak_positive' WHEN 2 THEN 'negative' ELSE 'indeterminate' END AS decision,
+       CASE d.doc_id % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'provisional' ELSE 'blocked' END AS release_status
+FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
+"""
+
+# The same windows and panel in a four-letter alphabet without gaps, so that seeds span words.
+_SEED_FROM = _FROM + " .,;:!?-|"
+_SEED_TO = (_TO + "ATGCATGCA").replace("N", "G")
+SEED_FRAGMENTS = f"""
+SELECT source AS sample_id,
+       concat('doc-', CAST(doc_id AS STRING), '-', CAST(w AS STRING)) AS fragment_key,
+       translate(substr(text, CAST(w * 300 + 1 AS INT), 150), '{_SEED_FROM}', '{_SEED_TO}') AS r1_seq,
+       translate(substr(text, CAST(w * 300 + 151 AS INT), 150), '{_SEED_FROM}', '{_SEED_TO}') AS r2_seq
+FROM ({WINDOWS}) docs
+"""
+SEED_PANEL = f"""
+SELECT concat('bench-', CAST(item_id AS STRING)) AS contig, translate(text, '{_SEED_FROM}', '{_SEED_TO}') AS sequence
+FROM {{benchmark}}
+"""
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
 
+# Keys to spread a table by when it arrives as fewer files than there are cores.
+SPREAD_KEYS = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
+    "documents": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+    "events": ("event_id",),
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table.
+
+    A single-row-group file is one scan task whatever the split size; such a table is
+    spread over the cores by a near-unique key. Many-file tables are left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
+        return df.repartition(cores, *SPREAD_KEYS[name])
+    return df
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run an adapter over the parquet tables in ``sf_dir``."""
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     text = text.replace('"group"', "`group`").replace("//", "DIV")
     text = text.replace("{explode}", "explode").replace("{upto}", "sequence")
     return spark.sql(text, **used)

@@ -6,6 +6,8 @@ bisection on exact sums: none of the formulas the operators use.
 
 from __future__ import annotations
 
+import re
+
 from siftline import adapters as A
 from siftline import labels as L
 from siftline.checks.settings import (
@@ -57,16 +59,21 @@ CONTIG_ORDER = (
 )
 
 
-def _ctes(sample_filter: bool) -> dict[str, str]:
-    """The screening chain; ``sample_filter`` restricts it to the sampled fragments."""
+RANK_ORDER = f"md5('{PLAN.seed}:' || fragment_key), fragment_key"
+INPUT_ORDER = "record_number"
+
+
+def _ctes(order: str | None) -> dict[str, str]:
+    """The screening chain over all fragments, or over the looks taken in ``order``."""
+    source = A.plain_sql(A.HIT_FRAGMENTS)
     sampled = (
         f"""SELECT sample_id, fragment_key, rank, CASE {" ".join(f"WHEN rank < {n} THEN {i + 1}" for i, n in enumerate(PLAN.rounds))} END AS entry_round
-        FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('{PLAN.seed}:' || fragment_key), fragment_key) - 1 AS rank
-              FROM ({A.plain_sql(A.HIT_FRAGMENTS)}) f) r WHERE rank < {max(PLAN.rounds)}"""
-        if sample_filter
-        else f"SELECT sample_id, fragment_key, 0 AS rank, 1 AS entry_round FROM ({A.plain_sql(A.HIT_FRAGMENTS)}) f"
+        FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {order}) - 1 AS rank
+              FROM ({source}) f) r WHERE rank < {max(PLAN.rounds)}"""
+        if order
+        else f"SELECT sample_id, fragment_key, 0 AS rank, 1 AS entry_round FROM ({source}) f"
     )
-    looks = PLAN.look_count if sample_filter else 1
+    looks = PLAN.look_count if order else 1
     return {
         "manifest": _classified(A.MANIFEST),
         "sampled": sampled,
@@ -209,19 +216,33 @@ def _adjudicated(rules) -> str:
           WHEN h_contig IS NOT NULL OR has_secondary THEN 'ambiguous' ELSE 'unmapped' END AS class FROM scored"""
 
 
-def _chain(select: str, sample_filter: bool) -> str:
-    parts = [f"{name} AS ({body})" for name, body in _ctes(sample_filter).items()]
+def _chain(select: str, order: str | None) -> str:
+    """Prefix ``select`` with the steps it needs."""
+    steps = _ctes(order)
+    needed: set[str] = set()
+    pending = [select]
+    while pending:
+        words = set(re.findall(r"\w+", pending.pop()))
+        for name in words & steps.keys() - needed:
+            needed.add(name)
+            pending.append(steps[name])
+    parts = [f"{name} AS ({body})" for name, body in steps.items() if name in needed]
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
 def whole(select: str) -> str:
     """A query over all fragments, one look."""
-    return _chain(select, False)
+    return _chain(select, None)
 
 
 def sampled(select: str) -> str:
-    """A query over the sampled looks."""
-    return _chain(select, True)
+    """A query over the looks of the seeded sample."""
+    return _chain(select, RANK_ORDER)
+
+
+def in_input_order(select: str) -> str:
+    """A query over looks taken in input order."""
+    return _chain(select, INPUT_ORDER)
 
 
 _BASE = {"A": 0, "C": 1, "G": 2, "T": 3}

@@ -750,13 +750,6 @@ def accession_resolution(spark, sf):
     return aggregate.only_candidates(evaluated(spark, sf)).select(*_KEY_COLUMNS, "accession_resolution")
 
 
-@query("decision_reason_trail", None)
-def decision_reason_trail(spark, sf):
-    return aggregate.only_candidates(evaluated(spark, sf, reasons=True)).select(
-        *_KEY_COLUMNS, F.array_join("decision_reasons", "|").alias("decision_reasons")
-    )
-
-
 @query(
     "look_contexts",
     O.sampled(

@@ -36,8 +36,8 @@ def _dimer_counts(marked: Column) -> Column:
     repeated pair is what remains of a base after its other successors and a final
     position are taken away.
     """
-    size = F.length(marked)
-    lost = lambda token: ((size - F.length(_without(marked, token))) / len(token)).cast("double")
+    size = F.octet_length(marked)
+    lost = lambda token: ((size - F.octet_length(_without(marked, token))) / len(token)).cast("double")
     parts = []
     for left in BASES:
         parts.append(lost(left) - F.when(F.endswith(marked, F.lit(left)), 1.0).otherwise(0.0))
@@ -77,7 +77,10 @@ def _entropy_term(count: Column, total: Column) -> Column:
 
 def fast_low_complexity(seq: Column) -> Column:
     """Entropy of homopolymers and strict two-base alternations; null when undecided."""
-    bases = F.upper(seq)
+    return _bind(F.upper(seq), _fast_low_complexity)
+
+
+def _fast_low_complexity(bases: Column) -> Column:
     size = F.length(bases)
     first, second = F.substring(bases, 1, 1), F.substring(bases, 2, 1)
     known = list(BASES)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WILSON_Z = 1.96
 ONE_SIDED_ALPHA = 0.05
-NEWTON_STEPS = 16
+NEWTON_STEPS = 12
 
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
@@ -73,8 +73,8 @@ def log_binomial_pmf(k: Column, n: Column, p: Column) -> Column:
 
 
 def _tail_terms(k: Column) -> Column:
-    # Ten standard deviations beyond the count: what is left is below 1e-20 of the first term.
-    return (10.0 * F.sqrt(k.cast("double") + 1.0) + 60.0).cast("int")
+    # Nine standard deviations beyond the count: what is left is below 1e-17 of the first term.
+    return (9.0 * F.sqrt(k.cast("double") + 1.0) + 50.0).cast("int")
 
 
 def _relative_tail(limit: Column, ratio) -> Column:
@@ -136,14 +136,21 @@ def clopper_pearson_upper(successes: Column, trials: Column) -> Column:
     start = (kd + z2 / 2 + 1.645 * F.sqrt(kd * (nd - kd) / nd + z2 / 4)) / (nd + z2)
     start = F.least(F.greatest(start, (kd + 0.5) / nd), 1.0 - 0.5 * (nd - kd) / (nd + 1.0) / (nd + 1.0))
 
-    def newton(p, _step):
-        factor = _lower_tail_factor(k, n, p)
+    def newton(state, _step):
+        # A settled estimate skips the tail sum.
+        return F.when(state["done"], state).otherwise(
+            F.transform(F.array(_lower_tail_factor(k, n, state["p"])), lambda factor: moved(state["p"], factor))[0]
+        )
+
+    def moved(p, factor):
         # d/dp log P(X <= k) = -(n - k) P(X = k) / ((1 - p) P(X <= k)).
         excess = log_binomial_pmf(k, n, p) + F.log(factor) - math.log(ONE_SIDED_ALPHA)
-        moved = p + excess * (1.0 - p) * factor / (nd - kd)
-        return F.greatest(kd / nd, F.least(moved, (1.0 + p) / 2.0))
+        target = p + excess * (1.0 - p) * factor / (nd - kd)
+        bounded = F.greatest(kd / nd, F.least(target, (1.0 + p) / 2.0))
+        return F.struct(bounded.alias("p"), (F.abs(excess) < 1e-13).alias("done"))
 
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, newton)
+    first = F.struct(start.alias("p"), F.lit(False).alias("done"))
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), first, newton, lambda state: state["p"])
     return (
         F.when(n <= 0, 0.0)
         .when(k <= 0, clamp01(1.0 - F.pow(F.lit(ONE_SIDED_ALPHA), 1.0 / nd)))

@@ -35,11 +35,25 @@ def n_fraction(r1: str = R1, r2: str = R2) -> Column:
 def qc_verdict(fragments: DataFrame, cfg: QcConfig = QcConfig()) -> DataFrame:
     """Add ``qc`` = (reason, mate, observed); reason ``pass`` when nothing failed.
 
-    CASE evaluates its branches in order, so the entropy is only computed for
-    pairs that survive the cheap tests.
+    Measurements are columns of their own, computed once. Entropies are only
+    computed for pairs that survive the cheap tests.
     """
     r1, r2 = F.col(R1), F.col(R2)
     low = F.lit(cfg.min_entropy_bits)
+    fine = lambda bits: F.coalesce(bits >= low, F.lit(True))
+    has_r2 = r2.isNotNull()
+    sized = length_in_bounds(r1, cfg) & (length_in_bounds(r2, cfg) | ~has_r2)
+    if cfg.require_pair:
+        sized = sized & pair_complete()
+    measured = (
+        fragments.withColumn("_n", n_fraction())
+        .withColumn("_sized", sized & (F.col("_n") <= cfg.max_n_fraction))
+        .withColumn("_fast1", F.when(F.col("_sized"), fast_low_complexity(r1)))
+        .withColumn("_fast2", F.when(F.col("_sized"), fast_low_complexity(r2)))
+        .withColumn("_cheap", F.col("_sized") & fine(F.col("_fast1")) & fine(F.col("_fast2")))
+        .withColumn("_bits1", F.when(F.col("_cheap"), entropy_2mer(r1)))
+        .withColumn("_bits2", F.when(F.col("_cheap") & fine(F.col("_bits1")), entropy_2mer(r2)))
+    )
 
     def verdict(reason: str, mate: int, observed: Column) -> Column:
         return F.struct(
@@ -48,17 +62,14 @@ def qc_verdict(fragments: DataFrame, cfg: QcConfig = QcConfig()) -> DataFrame:
             observed.cast("double").alias("observed"),
         )
 
-    has_r2 = r2.isNotNull()
-    fast1, fast2 = fast_low_complexity(r1), fast_low_complexity(r2)
-    bits1, bits2 = entropy_2mer(r1), entropy_2mer(r2)
     branches = [
         (~length_in_bounds(r1, cfg), verdict("length", 1, _size(r1))),
         (has_r2 & ~length_in_bounds(r2, cfg), verdict("length", 2, _size(r2))),
-        (n_fraction() > cfg.max_n_fraction, verdict("n_content", 0, n_fraction())),
-        (F.coalesce(fast1 < low, F.lit(False)), verdict("low_complexity", 1, fast1)),
-        (F.coalesce(fast2 < low, F.lit(False)), verdict("low_complexity", 2, fast2)),
-        (bits1 < low, verdict("low_complexity", 1, bits1)),
-        (has_r2 & (bits2 < low), verdict("low_complexity", 2, bits2)),
+        (F.col("_n") > cfg.max_n_fraction, verdict("n_content", 0, F.col("_n"))),
+        *[
+            (~fine(F.col(name)), verdict("low_complexity", mate, F.col(name)))
+            for name, mate in (("_fast1", 1), ("_fast2", 2), ("_bits1", 1), ("_bits2", 2))
+        ],
     ]
     if cfg.require_pair:
         branches.insert(0, (_size(r1) == 0, verdict("pair_incomplete", 1, F.lit(0))))
@@ -66,11 +77,38 @@ def qc_verdict(fragments: DataFrame, cfg: QcConfig = QcConfig()) -> DataFrame:
     expr = F
     for condition, value in branches:
         expr = expr.when(condition, value)
-    return fragments.withColumn("qc", expr.otherwise(verdict("pass", 0, n_fraction())))
+    return measured.withColumn("qc", expr.otherwise(verdict("pass", 0, F.col("_n")))).drop(
+        "_n", "_sized", "_fast1", "_fast2", "_cheap", "_bits1", "_bits2"
+    )
+
+
+def qc_passes(cfg: QcConfig = QcConfig()) -> Column:
+    """Whether a pair passes, cheapest test first.
+
+    The closed-form complexity test agrees with the entropy and is not repeated.
+    """
+    r1, r2 = F.col(R1), F.col(R2)
+    rich = lambda seq: entropy_2mer(seq) >= cfg.min_entropy_bits
+    if cfg.require_pair:
+        return (
+            pair_complete()
+            & length_in_bounds(r1, cfg)
+            & length_in_bounds(r2, cfg)
+            & (n_fraction() <= cfg.max_n_fraction)
+            & rich(r1)
+            & rich(r2)
+        )
+    return (
+        length_in_bounds(r1, cfg)
+        & (r2.isNull() | length_in_bounds(r2, cfg))
+        & (n_fraction() <= cfg.max_n_fraction)
+        & rich(r1)
+        & (r2.isNull() | rich(r2))
+    )
 
 
 def qc_passing(fragments: DataFrame, cfg: QcConfig = QcConfig()) -> DataFrame:
-    return qc_verdict(fragments, cfg).filter(F.col("qc.reason") == "pass").drop("qc")
+    return fragments.filter(qc_passes(cfg))
 
 
 def qc_stats(verdicts: DataFrame, by=("sample_id",)) -> DataFrame:

@@ -92,9 +92,8 @@ def screen(
     ``sample_controls`` and ``background`` come from the control operators; ``gates``
     is the one-row calibration gate table.
     """
-    verdicts = qc.qc_verdict(fragments, profile.qc)
-    stats = qc.qc_stats(verdicts)
-    passing = verdicts.filter("qc.reason = 'pass'").drop("qc", "r1_seq", "r1_qual", "r2_seq", "r2_qual")
+    stats = qc.qc_stats(qc.qc_verdict(fragments, profile.qc))
+    passing = qc.qc_passing(fragments, profile.qc).drop("r1_seq", "r1_qual", "r2_seq", "r2_qual")
     sampled = sample_fragments(passing, profile)
     calls = look_calls(mappings, manifest, sampled, profile, samples=fragments.select("sample_id"))
     # A few rows per sample, candidate and look; several outputs read it.
@@ -132,6 +131,6 @@ def attach_release_inputs(runs: DataFrame, profile: Profile, sample_controls=Non
     if gates is None:
         from siftline.schema import GATES
 
-        return runs.withColumn("gates", F.lit(None).cast(GATES))
+        return runs.withColumn("gates", F.lit(None).cast(f"struct<{GATES}>"))
     names = ("backend_gate", "reference_gate", "specificity_gate", "sensitivity_gate")
     return runs.crossJoin(F.broadcast(gates.select(F.struct(*names).alias("gates")).limit(1)))

@@ -1,5 +1,7 @@
 """Join-size checks."""
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the session names.
+def shared_folder(spark) -> str:
+    """The shared folder the session names.
 
     A folder is chosen here only when the session has none, as in local tests.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        import tempfile
-
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
