@@ -661,7 +661,7 @@ def candidate_call_rows(spark, sf):
 )
 def fractions(spark, sf):
     rows = aggregate.only_candidates(look_calls(spark, sf))
-    value = stats.fraction(F.col("accepted_fragments"), F.col("total_sampled_fragments"))
+    value = stats.fraction("accepted_fragments", "total_sampled_fragments")
     return rows.select("sample_id", "round", "aggregation_level", "accession_or_group", r9(value, "fraction"))
 
 
@@ -675,7 +675,7 @@ def fractions(spark, sf):
     ),
 )
 def wilson_intervals(spark, sf):
-    low, high = stats.wilson_bounds(F.col("accepted_fragments"), F.col("total_sampled_fragments"))
+    low, high = stats.wilson_bounds("accepted_fragments", "total_sampled_fragments")
     return aggregate.only_candidates(look_calls(spark, sf)).select(
         "sample_id", "round", "aggregation_level", "accession_or_group", r9(low, "low"), r9(high, "high")
     )
@@ -702,9 +702,7 @@ def clopper_pearson_bounds(spark, sf):
     ),
 )
 def binomial_survival(spark, sf):
-    value = stats.binomial_survival(
-        F.col("accepted_fragments"), F.col("total_sampled_fragments"), F.lit(DECISION.null_probability)
-    )
+    value = stats.binomial_survival("accepted_fragments", "total_sampled_fragments", DECISION.null_probability)
     return aggregate.only_candidates(look_calls(spark, sf)).select(
         "sample_id", "round", "aggregation_level", "accession_or_group", r9(value, "p_value")
     )
@@ -716,9 +714,7 @@ def binomial_survival(spark, sf):
 )
 def bonferroni_alpha(spark, sf):
     rows = decision.look_context(aggregate.only_candidates(look_calls(spark, sf)), PLAN.look_count)
-    alpha = stats.bonferroni(
-        DECISION.positive_alpha_global, F.col("candidate_family_size"), F.col("planned_round_look_count")
-    )
+    alpha = stats.bonferroni(DECISION.positive_alpha_global, "candidate_family_size", "planned_round_look_count")
     return rows.select("sample_id", "round", "aggregation_level", "accession_or_group", F.round(alpha, 12).alias("alpha"))
 
 

@@ -1,8 +1,9 @@
-"""Proportion statistics as native Column expressions.
+"""Proportion statistics as native SQL expressions.
 
-Binomial tails are summed outward from the observed count, where terms shrink
-monotonically, so the work grows with the square root of the count. Point
-probabilities use the saddle-point form (Loader 2000), accurate for large trials.
+Arguments are SQL operands (column names or literals), so each statistic is one
+parsed expression. Binomial tails are summed outward from the observed count, where
+terms shrink monotonically, so the work grows with the square root of the count.
+Point probabilities use the saddle-point form (Loader 2000), accurate for large trials.
 """
 
 from __future__ import annotations
@@ -16,144 +17,125 @@ WILSON_Z = 1.96
 ONE_SIDED_ALPHA = 0.05
 NEWTON_STEPS = 12
 
-_HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
+def _num(value: float) -> str:
+    return f"{value!r}D"
 
-def fraction(successes: Column, trials: Column) -> Column:
-    return F.when(trials > 0, successes / trials).otherwise(0.0)
 
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def clamp01(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
+def _clamp(value: str) -> str:
+    return f"greatest(0D, least(1D, {value}))"
 
-def wilson_bounds(successes: Column, trials: Column) -> tuple[Column, Column]:
+
+def fraction(k: str, n: str) -> Column:
+    return F.expr(f"CASE WHEN {n} > 0 THEN {k} / {n} ELSE 0D END")
+
+
+def wilson_bounds(k: str, n: str) -> tuple[Column, Column]:
     """Wilson 95 % interval, clamped to [0, 1]; [0, 0] without trials."""
-    n = trials.cast("double")
-    p = F.least(successes, trials) / n
-    z2 = WILSON_Z * WILSON_Z
-    scale = 1.0 + z2 / n
-    center = (p + z2 / (2.0 * n)) / scale
-    half = WILSON_Z * F.sqrt(p * (1.0 - p) / n + z2 / (4.0 * n * n)) / scale
-    bound = lambda value: F.when(trials > 0, clamp01(value)).otherwise(0.0)
-    return bound(center - half), bound(center + half)
+    z2 = _num(WILSON_Z * WILSON_Z)
+    p = f"(least({k}, {n}) / {n})"
+    center = f"({p} + {z2} / (2D * {n}))"
+    half = f"{_num(WILSON_Z)} * sqrt({p} * (1D - {p}) / {n} + {z2} / (4D * {n} * {n}))"
+    bound = lambda sign: F.expr(
+        f"CASE WHEN {n} > 0 THEN {_clamp(f'({center} {sign} {half}) / (1D + {z2} / {n})')} ELSE 0D END"
+    )
+    return bound("-"), bound("+")
 
 
-def bonferroni(alpha: float, family: Column, looks: Column) -> Column:
-    size = F.greatest(family, F.lit(1)) * F.greatest(looks, F.lit(1))
-    return F.lit(min(max(alpha, 0.0), 1.0)) / size
+def bonferroni(alpha: float, family: str, looks: str) -> Column:
+    return F.expr(f"{_num(min(max(alpha, 0.0), 1.0))} / (greatest({family}, 1) * greatest({looks}, 1))")
 
 
-def _stirling_error(x: Column) -> Column:
+def _stirling_error(x: str) -> str:
     """log(x!) minus Stirling's approximation; exact factorials below 16."""
-    inverse = 1.0 / x
-    square = inverse * inverse
-    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
-    small = F.log(F.factorial(F.least(x, F.lit(15.0)).cast("int"))) - (x + 0.5) * F.log(x) + x - _HALF_LOG_2PI
-    return F.when(x < 16, small).otherwise(series)
+    small = f"ln(factorial(CAST(least({x}, 15D) AS INT))) - ({x} + 0.5D) * ln({x}) + {x} - {_num(0.5 * math.log(2 * math.pi))}"
+    series = f"(1D / 12 - (1D / 360 - (1D / 1260 - 1D / 1680 / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x}"
+    return f"(CASE WHEN {x} < 16 THEN {small} ELSE {series} END)"
 
 
-def _deviance(x: Column, mean: Column) -> Column:
-    return x * F.log(x / mean) + mean - x
+def _deviance(x: str, mean: str) -> str:
+    return f"({x} * ln({x} / ({mean})) + ({mean}) - {x})"
 
 
-def log_binomial_pmf(k: Column, n: Column, p: Column) -> Column:
-    k, n = k.cast("double"), n.cast("double")
-    q = 1.0 - p
-    rest = n - k
+def _log_pmf(k: str, n: str, p: str) -> str:
+    """Operands are doubles."""
     body = (
-        _stirling_error(n)
-        - _stirling_error(k)
-        - _stirling_error(rest)
-        - _deviance(k, n * p)
-        - _deviance(rest, n * q)
-        + 0.5 * F.log(n / (2.0 * math.pi * k * rest))
+        f"{_stirling_error(n)} - {_stirling_error(k)} - {_stirling_error(f'({n} - {k})')} "
+        f"- {_deviance(k, f'{n} * {p}')} - {_deviance(f'({n} - {k})', f'{n} * (1D - {p})')} "
+        f"+ 0.5D * ln({n} / ({_num(2 * math.pi)} * {k} * ({n} - {k})))"
     )
-    return F.when(k <= 0, n * F.log1p(-p)).when(rest <= 0, n * F.log(p)).otherwise(body)
+    return f"(CASE WHEN {k} <= 0 THEN {n} * log1p(-{p}) WHEN {k} >= {n} THEN {n} * ln({p}) ELSE {body} END)"
 
 
-def _tail_terms(k: Column) -> Column:
+def _tail_terms(k: str) -> str:
     # Nine standard deviations beyond the count: what is left is below 1e-17 of the first term.
-    return (9.0 * F.sqrt(k.cast("double") + 1.0) + 50.0).cast("int")
-
-
-def _relative_tail(limit: Column, ratio) -> Column:
-    """1 + r(1) + r(1)r(2) + ... for ``limit`` further terms."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    return f"(9D * sqrt({k} + 1D) + 50D)"
 
-    def step(acc, j):
-        term = acc["term"] * ratio(j.cast("double"))
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    steps = F.when(limit > 0, F.sequence(F.lit(1), F.greatest(limit, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
+def _relative_tail(limit: str, ratio: str) -> str:
+    """1 + r(1) + r(1) r(2) + ... for ``limit`` further terms; ``ratio`` is over ``j``."""
+    steps = f"IF({limit} >= 1, sequence(1, CAST(greatest({limit}, 1D) AS INT)), CAST(array() AS ARRAY<INT>))"
+    return (
+        f"aggregate({steps}, named_struct('t', 1D, 's', 1D), "
+        f"(a, j) -> named_struct('t', a.t * ({ratio}), 's', a.s + a.t * ({ratio})), a -> a.s)"
     )
-    return F.aggregate(steps, start, step, lambda acc: acc["total"])
 
 
-def _lower_tail_factor(k: Column, n: Column, p: Column) -> Column:
+def _lower_factor(k: str, n: str, p: str) -> str:
     """P(X <= k) / P(X = k), for k at or below the mean."""
-    kd, nd = k.cast("double"), n.cast("double")
-    odds = (1.0 - p) / p
-    limit = F.least(k.cast("int"), _tail_terms(k))
-    return _relative_tail(limit, lambda j: (kd - j + 1.0) / (nd - kd + j) * odds)
+    return _relative_tail(
+        f"least({k}, {_tail_terms(k)})", f"({k} - j + 1D) / ({n} - {k} + j) * ((1D - {p}) / {p})"
+    )
 
 
-def _upper_tail_factor(k: Column, n: Column, p: Column) -> Column:
+def _upper_factor(k: str, n: str, p: str) -> str:
     """P(X >= k) / P(X = k), for k above the mean."""
-    kd, nd = k.cast("double"), n.cast("double")
-    odds = p / (1.0 - p)
-    limit = F.least((n - k).cast("int"), _tail_terms(k))
-    return _relative_tail(limit, lambda j: (nd - kd - j + 1.0) / (kd + j) * odds)
+    return _relative_tail(
+        f"least({n} - {k}, {_tail_terms(k)})", f"({n} - {k} - j + 1D) / ({k} + j) * ({p} / (1D - {p}))"
+    )
 
 
-def binomial_survival(k: Column, n: Column, p: Column) -> Column:
+def binomial_survival(k: str, n: str, p: float) -> Column:
     """P(X >= k) for X ~ Binomial(n, p)."""
-    p = clamp01(p)
-    k, n = k.cast("bigint"), n.cast("bigint")
-    upper = F.exp(log_binomial_pmf(k, n, p)) * _upper_tail_factor(k, n, p)
-    below = k - 1
-    lower = F.exp(log_binomial_pmf(below, n, p)) * _lower_tail_factor(below, n, p)
-    return (
-        F.when(k <= 0, 1.0)
-        .when((n <= 0) | (k > n), 0.0)
-        .when(p <= 0.0, 0.0)
-        .when(p >= 1.0, 1.0)
-        .otherwise(clamp01(F.when(k > n * p, upper).otherwise(1.0 - lower)))
+    p = min(max(p, 0.0), 1.0)
+    if p in (0.0, 1.0):
+        return F.expr(f"CASE WHEN {k} <= 0 THEN 1D WHEN {n} <= 0 OR {k} > {n} THEN 0D ELSE {_num(p)} END")
+    kd, nd, low, q = f"CAST({k} AS DOUBLE)", f"CAST({n} AS DOUBLE)", f"(CAST({k} AS DOUBLE) - 1D)", _num(p)
+    upper = f"exp({_log_pmf(kd, nd, q)}) * {_upper_factor(kd, nd, q)}"
+    lower = f"1D - exp({_log_pmf(low, nd, q)}) * {_lower_factor(low, nd, q)}"
+    return F.expr(
+        f"CASE WHEN {k} <= 0 THEN 1D WHEN {n} <= 0 OR {k} > {n} THEN 0D "
+        f"WHEN {k} > {n} * {q} THEN {_clamp(upper)} ELSE {_clamp(lower)} END"
     )
 
 
-def clopper_pearson_upper(successes: Column, trials: Column) -> Column:
+def clopper_pearson_upper(k: str, n: str) -> Column:
     """One-sided 95 % upper bound: the p at which P(X <= k) falls to 5 %.
 
     The log of that tail is concave and decreasing in p, so Newton's method
-    approaches the root from the right after one step and cannot diverge.
+    approaches the root from the right after one step and cannot diverge. A settled
+    estimate skips the tail sum.
     """
-    n = trials.cast("bigint")
-    k = F.least(successes.cast("bigint"), n)
-    nd, kd = n.cast("double"), k.cast("double")
-    z2 = 1.645 * 1.645
-    start = (kd + z2 / 2 + 1.645 * F.sqrt(kd * (nd - kd) / nd + z2 / 4)) / (nd + z2)
-    start = F.least(F.greatest(start, (kd + 0.5) / nd), 1.0 - 0.5 * (nd - kd) / (nd + 1.0) / (nd + 1.0))
-
-    def newton(state, _step):
-        # A settled estimate skips the tail sum.
-        return F.when(state["done"], state).otherwise(
-            F.transform(F.array(_lower_tail_factor(k, n, state["p"])), lambda factor: moved(state["p"], factor))[0]
-        )
-
-    def moved(p, factor):
-        # d/dp log P(X <= k) = -(n - k) P(X = k) / ((1 - p) P(X <= k)).
-        excess = log_binomial_pmf(k, n, p) + F.log(factor) - math.log(ONE_SIDED_ALPHA)
-        target = p + excess * (1.0 - p) * factor / (nd - kd)
-        bounded = F.greatest(kd / nd, F.least(target, (1.0 + p) / 2.0))
-        return F.struct(bounded.alias("p"), (F.abs(excess) < 1e-13).alias("done"))
-
-    first = F.struct(start.alias("p"), F.lit(False).alias("done"))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), first, newton, lambda state: state["p"])
-    return (
-        F.when(n <= 0, 0.0)
-        .when(k <= 0, clamp01(1.0 - F.pow(F.lit(ONE_SIDED_ALPHA), 1.0 / nd)))
-        .when(k >= n, 1.0)
-        .otherwise(clamp01(root))
+    kd, nd = f"CAST(least({k}, {n}) AS DOUBLE)", f"CAST({n} AS DOUBLE)"
+    z, z2 = _num(1.645), _num(1.645 * 1.645)
+    start = f"(v.k + {z2} / 2 + {z} * sqrt(v.k * (v.n - v.k) / v.n + {z2} / 4)) / (v.n + {z2})"
+    start = f"least(greatest({start}, (v.k + 0.5D) / v.n), 1D - 0.5D * (v.n - v.k) / (v.n + 1D) / (v.n + 1D))"
+    # d/dp log P(X <= k) = -(n - k) P(X = k) / ((1 - p) P(X <= k)).
+    excess = f"{_log_pmf('v.k', 'v.n', 'e.p')} + ln(f) - {_num(math.log(ONE_SIDED_ALPHA))}"
+    target = "e.p + x * (1D - e.p) * f / (v.n - v.k)"
+    moved = f"named_struct('p', greatest(v.k / v.n, least({target}, (1D + e.p) / 2D)), 'done', abs(x) < 1e-13D)"
+    step = _let("f", _lower_factor("v.k", "v.n", "e.p"), _let("x", excess, moved))
+    root = (
+        f"aggregate(sequence(1, {NEWTON_STEPS}), named_struct('p', {start}, 'done', false), "
+        f"(e, i) -> IF(e.done, e, {step}), e -> e.p)"
+    )
+    bound = _let("v", f"named_struct('k', {kd}, 'n', {nd})", root)
+    return F.expr(
+        f"CASE WHEN {n} <= 0 THEN 0D WHEN {k} <= 0 THEN {_clamp(f'1D - pow({_num(ONE_SIDED_ALPHA)}, 1D / {n})')} "
+        f"WHEN {k} >= {n} THEN 1D ELSE {_clamp(bound)} END"
     )

@@ -247,7 +247,7 @@ def aggregate_candidates(contigs: DataFrame, classified: DataFrame) -> DataFrame
 
 def to_calls(candidates: DataFrame) -> DataFrame:
     """Complete call rows: fractions, bounds, labels and base reasons. Markers pass through."""
-    k, n = F.col("accepted_fragments"), F.col("total_sampled_fragments")
+    k, n = "accepted_fragments", "total_sampled_fragments"
     level = F.col("aggregation_level")
     low, high = stats.wilson_bounds(k, n)
     breadth = F.when(F.col("genome_length") > 0, F.col("covered_bases") / F.col("genome_length")).otherwise(0.0)
@@ -275,7 +275,7 @@ def to_calls(candidates: DataFrame) -> DataFrame:
             F.lit("nonoverlap_fragments_algorithm=" + L.NONOVERLAP_ALGORITHM),
             F.lit("accepted_fraction_label=" + L.ACCEPTED_FRACTION_LABEL),
             F.lit("unique_fraction_label=" + L.UNIQUE_FRACTION_LABEL),
-            reason("total_sampled_fragments", n),
+            reason(n, F.col(n)),
             F.lit("fraction_denominator_source=" + L.DENOMINATOR_SOURCE),
             F.lit(L.CI_REASON_PREFIX + L.CI_LABEL),
             F.lit(L.CONTROL_POLICY),

@@ -52,12 +52,10 @@ def gates(calls: DataFrame, rules: CandidateRules = CandidateRules(), decision:
             "evidence_pass": evidence_rank(F.col("evidence_strength"))
             >= EVIDENCE_RANKS[rules.min_positive_evidence_strength],
             "positive_p_value": stats.binomial_survival(
-                accepted, F.col("total_sampled_fragments"), F.lit(decision.null_probability)
+                "accepted_fragments", "total_sampled_fragments", decision.null_probability
             ),
             "positive_corrected_alpha": stats.bonferroni(
-                decision.positive_alpha_global,
-                F.col("candidate_family_size"),
-                F.col("planned_round_look_count"),
+                decision.positive_alpha_global, "candidate_family_size", "planned_round_look_count"
             ),
         }
     ).withColumn("enrichment_pass", F.col("positive_p_value") <= F.col("positive_corrected_alpha"))
@@ -100,33 +98,31 @@ def accession_resolution() -> Column:
     )
 
 
-def scientific(value: Column) -> Column:
-    """Twelve decimals with a minimal exponent, e.g. ``1.000000000000e-5``."""
-    text = F.format_string("%.12e", value)
-    return F.regexp_replace(F.regexp_replace(text, r"e\+", "e"), r"e(-?)0+(?=\d)", "e$1")
+def scientific(value: str) -> str:
+    """Twelve decimals with a minimal exponent, e.g. ``1.000000000000e-5``, as SQL."""
+    return f"regexp_replace(regexp_replace(format_string('%.12e', {value}), 'e[+]', 'e'), 'e(-?)0+([0-9])', 'e$1$2')"
 
 
 def decision_reasons(decision: DecisionRules = DecisionRules()) -> Column:
     """Earlier reasons that still hold, then the ordered gate trail."""
-    gate = lambda label, name: F.concat(F.lit(label), F.when(F.col(name), "_pass").otherwise("_fail"))
-    pair = lambda name, value: F.concat(F.lit(name + "="), value.cast("string"))
-    same = lambda name: pair(name, F.col(name))
-    negative_bound, positive_bound = decision.theta_neg_operational, decision.theta_pos
-    fraction = F.col("unique_fraction")
-    ambiguous = ~F.col("ambiguity_pass")
-    trail = F.array(
-        gate("unique_fraction_above_theta_pos", "abundance_pass"),
-        gate("accepted_fragments_meet_theta_pos_absolute", "absolute_pass"),
-        gate("nonoverlap_fragments_meet_minimum", "nonoverlap_pass"),
-        gate("breadth_meets_minimum", "breadth_pass"),
-        F.lit(L.CONTROL_POLICY),
-        gate("ambiguity_fraction_below_positive_limit", "ambiguity_pass"),
-        F.when(ambiguous, "strong_host_explanation_present").otherwise("no_strong_host_explanation"),
-        gate("evidence_strength_meets_positive_minimum", "evidence_pass"),
-        gate("positive_enrichment_p_value", "enrichment_pass"),
-        F.lit("positive_statistic_method=" + decision.positive_statistic_method),
-        pair("positive_p_value", scientific(F.col("positive_p_value"))),
-        pair("positive_corrected_alpha", scientific(F.col("positive_corrected_alpha"))),
+    group = "(aggregation_level = 'group' OR multiplicity_family = 'group')"
+    gate = lambda label, name: f"concat('{label}', IF({name}_pass, '_pass', '_fail'))"
+    pair = lambda name, value: f"concat('{name}=', CAST({value} AS STRING))"
+    same = lambda name: pair(name, name)
+    low, high = f"{decision.theta_neg_operational!r}D", f"{decision.theta_pos!r}D"
+    trail = (
+        gate("unique_fraction_above_theta_pos", "abundance"),
+        gate("accepted_fragments_meet_theta_pos_absolute", "absolute"),
+        gate("nonoverlap_fragments_meet_minimum", "nonoverlap"),
+        gate("breadth_meets_minimum", "breadth"),
+        f"'{L.CONTROL_POLICY}'",
+        gate("ambiguity_fraction_below_positive_limit", "ambiguity"),
+        "IF(ambiguity_pass, 'no_strong_host_explanation', 'strong_host_explanation_present')",
+        gate("evidence_strength_meets_positive_minimum", "evidence"),
+        gate("positive_enrichment_p_value", "enrichment"),
+        f"'positive_statistic_method={decision.positive_statistic_method}'",
+        pair("positive_p_value", scientific("positive_p_value")),
+        pair("positive_corrected_alpha", scientific("positive_corrected_alpha")),
         same("total_sampled_fragments"),
         same("candidate_family_size"),
         same("multiplicity_family"),
@@ -138,31 +134,24 @@ def decision_reasons(decision: DecisionRules = DecisionRules()) -> Column:
         same("fraction_denominator_source"),
         same("planned_round_look_count"),
         same("current_look_index"),
-        F.lit("sequential_look_correction=bonferroni"),
-        pair("theta_neg_operational", scientific(F.lit(negative_bound))),
-        F.when(fraction <= negative_bound, "unique_fraction_below_theta_neg")
-        .when(fraction > positive_bound, "unique_fraction_above_theta_pos")
-        .otherwise("unique_fraction_between_boundaries"),
-        F.when(ambiguous, "high_candidate_ambiguity_present"),
-        pair("accession_resolution", accession_resolution()),
-        F.when(is_group(), "positive_boundary_level=group"),
-        F.when(is_group() & ambiguous, "ambiguity_not_used_as_group_detection_veto"),
-        F.when(
-            is_group(),
-            F.when(F.col("group_can_stop"), "group_positive_identity_continuity_pass").otherwise(
-                "group_positive_identity_continuity_pending"
-            ),
-        ),
+        "'sequential_look_correction=bonferroni'",
+        pair("theta_neg_operational", scientific(low)),
+        f"CASE WHEN unique_fraction <= {low} THEN 'unique_fraction_below_theta_neg' "
+        f"WHEN unique_fraction > {high} THEN 'unique_fraction_above_theta_pos' "
+        "ELSE 'unique_fraction_between_boundaries' END",
+        "IF(ambiguity_pass, NULL, 'high_candidate_ambiguity_present')",
+        same("accession_resolution"),
+        f"IF({group}, 'positive_boundary_level=group', NULL)",
+        f"IF({group} AND NOT ambiguity_pass, 'ambiguity_not_used_as_group_detection_veto', NULL)",
+        f"IF({group}, IF(group_can_stop, 'group_positive_identity_continuity_pass', "
+        "'group_positive_identity_continuity_pending'), NULL)",
+    )
+    stale = " OR ".join(
+        [f"r = '{L.PENDING_DECISION}'"] + [f"startswith(r, '{p}')" for p in L.REPLACED_REASON_PREFIXES]
+    )
+    return F.expr(
+        f"concat(filter(decision_reasons, r -> NOT ({stale})), array_compact(array({', '.join(trail)})))"
     )
-
-    def stale(reason: Column) -> Column:
-        hit = reason == L.PENDING_DECISION
-        for prefix in L.REPLACED_REASON_PREFIXES:
-            hit = hit | reason.startswith(prefix)
-        return hit
-
-    kept = F.filter(F.col("decision_reasons"), lambda r: ~stale(r))
-    return F.concat(kept, F.array_compact(trail))
 
 
 def group_continuity(evaluated: DataFrame, max_rounds: int) -> DataFrame:
@@ -190,10 +179,10 @@ def evaluate_calls(
     """Gate every call of every look. Look markers (null level) get no decision."""
     gated = gates(look_context(calls, planned_looks) if context else calls, rules, decision)
     status = F.when(F.col("aggregation_level").isNotNull(), candidate_status(rules, decision))
-    evaluated = group_continuity(gated.withColumn("decision", status), planned_looks)
-    if reasons:
-        evaluated = evaluated.withColumn("decision_reasons", decision_reasons(decision))
-    return evaluated.withColumn("accession_resolution", accession_resolution())
+    evaluated = group_continuity(gated.withColumn("decision", status), planned_looks).withColumn(
+        "accession_resolution", accession_resolution()
+    )
+    return evaluated.withColumn("decision_reasons", decision_reasons(decision)) if reasons else evaluated
 
 
 def confirm_negative(evaluated: DataFrame, decision: DecisionRules = DecisionRules(), level: str = "group") -> DataFrame:

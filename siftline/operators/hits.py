@@ -256,7 +256,7 @@ def seed_vote_hits(
     of shared seeds and NM is unknown. Seeds with ambiguous bases are skipped, every
     other seed votes. Within a mate the strongest diagonal is primary.
     """
-    clean = lambda c: ~c.contains("N") & c.rlike("^[ACGT]+$")
+    clean = lambda c: c.rlike(r"^[ACGT]+\z")
     mates = fragments.select(
         "sample_id",
         "fragment_key",
