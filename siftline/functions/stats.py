@@ -81,8 +81,8 @@ def _relative_tail(limit: str, ratio: str) -> str:
     """1 + r(1) + r(1) r(2) + ... for ``limit`` further terms; ``ratio`` is over ``j``."""
     steps = f"IF({limit} >= 1, sequence(1, CAST(greatest({limit}, 1D) AS INT)), CAST(array() AS ARRAY<INT>))"
     return (
-        f"aggregate({steps}, named_struct('t', 1D, 's', 1D), "
-        f"(a, j) -> named_struct('t', a.t * ({ratio}), 's', a.s + a.t * ({ratio})), a -> a.s)"
+        f"aggregate({steps}, named_struct('t', 1D, 's', 0D), "
+        f"(a, j) -> named_struct('t', a.t * ({ratio}), 's', a.s + a.t), a -> a.s + a.t)"
     )
 
 

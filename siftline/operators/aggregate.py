@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from siftline import labels as L
 from siftline.functions import stats
-from siftline.tuning import broadcast_if_small
 
 LEVELS = ("accession", "group")
 EVIDENCE = "struct<kind:string,contig:string,pos:bigint,val:bigint>"
@@ -34,7 +33,8 @@ def _evidence(kind: str, contig: Column, pos: Column | None = None, val: Column
 def _first_contigs(hits: Column, level: str) -> Column:
     """One contig per candidate of an ambiguous fragment: the best hit's, else the first by name."""
     ids = F.array_distinct(F.transform(hits, lambda h: h[level]))
-    return F.transform(ids, lambda i: F.array_min(F.filter(hits, lambda h: h[level] == i))["contig"])
+    several = F.transform(ids, lambda i: F.array_min(F.filter(hits, lambda h: h[level] == i))["contig"])
+    return F.when(F.size(hits) == 1, F.array(hits[0]["contig"])).otherwise(several)
 
 
 def fragment_evidence(adjudicated: DataFrame, round_col: str | None = None) -> DataFrame:
@@ -57,9 +57,14 @@ def fragment_evidence(adjudicated: DataFrame, round_col: str | None = None) -> D
         F.when(virus.isNotNull(), F.array(hit(0, virus))).otherwise(no_hits),
         F.transform("secondary_virus", lambda h: hit(1, h)),
     )
-    support = F.concat(
-        F.transform(_first_contigs(hits, "accession"), lambda c: _evidence("a", c)),
-        F.transform(_first_contigs(hits, "group"), lambda c: _evidence("b", c)),
+    support = F.flatten(
+        F.transform(
+            F.array(hits),
+            lambda bound: F.concat(
+                F.transform(_first_contigs(bound, "accession"), lambda c: _evidence("a", c)),
+                F.transform(_first_contigs(bound, "group"), lambda c: _evidence("b", c)),
+            ),
+        )
     )
     parts = F.concat(
         F.array(_evidence("s", F.lit(None))),
@@ -207,7 +212,7 @@ def aggregate_candidates(contigs: DataFrame, classified: DataFrame) -> DataFrame
     targets = classified.filter("class = 'virus'").select(
         "contig", "accession", "group", "taxid", "virus_name", "genome_length"
     )
-    joined = contigs.join(broadcast_if_small(targets), "contig", "left")
+    joined = contigs.join(targets, "contig", "left")
 
     def at(level: str) -> Column:
         ambiguous = F.col(f"ambiguous_{level}")

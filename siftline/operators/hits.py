@@ -56,8 +56,11 @@ def classify_contigs(manifest: DataFrame) -> DataFrame:
 
 
 def usable_contigs(manifest: DataFrame) -> DataFrame:
-    """Classified, violation-free contigs."""
-    return classify_contigs(manifest).filter("violation IS NULL").drop("violation")
+    """Classified, violation-free contigs, hinted for broadcast when their number allows.
+
+    The size is checked once, here; joins with selections of the result keep the hint.
+    """
+    return broadcast_if_small(classify_contigs(manifest).filter("violation IS NULL").drop("violation"))
 
 
 def attach_manifest(hits: DataFrame, classified: DataFrame, columns=("class", "accession", "group")) -> DataFrame:
@@ -65,13 +68,12 @@ def attach_manifest(hits: DataFrame, classified: DataFrame, columns=("class", "a
 
     Works on mappings and, more cheaply, on the per-contig aggregates.
     """
-    side = broadcast_if_small(classified.select("contig", *columns))
-    return hits.join(side, "contig", "left")
+    return hits.join(classified.select("contig", *columns), "contig", "left")
 
 
 def unknown_contig_hits(hits: DataFrame, classified: DataFrame) -> DataFrame:
     """Hits on contigs that the manifest does not describe."""
-    return hits.join(broadcast_if_small(classified.select("contig")), "contig", "left_anti")
+    return hits.join(classified.select("contig"), "contig", "left_anti")
 
 
 def _mapping_order() -> Column:
@@ -120,42 +122,25 @@ def aggregate_hits(hits: DataFrame, carry=()) -> DataFrame:
 def _contig_order() -> list[Column]:
     """Preference among a fragment's contigs of one class, as leading struct fields."""
     score = lambda name: F.coalesce(F.col(name).cast("bigint"), F.lit(MISSING_MATE_SCORE).cast("bigint"))
-    best = F.col("best")
+    mates = F.col("r1_mapped").cast("int") + F.col("r2_mapped").cast("int")
+    mapping = ("not_primary", "supplementary", "mapq_desc", "as_desc", "nm_asc", "segment_id", "target_start", "target_end")
     return [
-        (~F.col("pair_consistent")).cast("int").alias("o1"),
-        (-(F.col("r1_mapped").cast("int") + F.col("r2_mapped").cast("int"))).alias("o2"),
-        (-F.col("primary_supports")).alias("o3"),
-        F.col("supplementary_supports").alias("o4"),
-        (-(score("r1_best_as") + score("r2_best_as"))).alias("o5"),
-        (-(F.col("r1_best_mapq") + F.col("r2_best_mapq"))).alias("o6"),
-        F.struct(
-            *[
-                best[name].alias(name)
-                for name in (
-                    "not_primary",
-                    "supplementary",
-                    "mapq_desc",
-                    "as_desc",
-                    "nm_asc",
-                    "segment_id",
-                    "target_start",
-                    "target_end",
-                )
-            ]
-        ).alias("o7"),
+        # Two mapped mates are what makes a pair consistent, so one field orders both.
+        (-mates).alias("mates_desc"),
+        (-F.col("primary_supports")).alias("primary_desc"),
+        F.col("supplementary_supports"),
+        (-(score("r1_best_as") + score("r2_best_as"))).alias("combined_as_desc"),
+        (-(F.col("r1_best_mapq") + F.col("r2_best_mapq"))).alias("combined_mapq_desc"),
+        *[F.col(f"best.{name}").alias(name) for name in mapping],
         F.col("contig"),
     ]
 
 
-def _hit_fields() -> list[Column]:
-    best = F.col("best")
+def _hit_payload() -> list[Column]:
+    """What a hit carries beyond its order fields."""
     return [
-        (-best["mapq_desc"]).cast("int").alias("mapq"),
-        best["as_score"].alias("as_score"),
-        best["nm"].alias("nm"),
-        (best["not_primary"] == 0).alias("is_primary"),
-        (best["supplementary"] == 1).alias("is_supplementary"),
-        F.col("pair_consistent"),
+        F.col("best.as_score").alias("as_score"),
+        F.col("best.nm").alias("nm"),
         F.col("reference_start"),
         F.col("reference_end"),
         F.col("accession"),
@@ -163,6 +148,18 @@ def _hit_fields() -> list[Column]:
     ]
 
 
+def _as_hit(name: str) -> Column:
+    """The hit struct behind the winning order struct; null without a hit."""
+    win = F.col(name)
+    derived = {
+        "mapq": (-win["mapq_desc"]).cast("int"),
+        "is_primary": win["not_primary"] == 0,
+        "is_supplementary": win["supplementary"] == 1,
+        "pair_consistent": win["mates_desc"] == -2,
+    }
+    return F.when(win.isNotNull(), F.struct(*[derived.get(f, win[f]).alias(f) for f in HIT_FIELDS]))
+
+
 HIT_FIELDS = (
     "contig",
     "mapq",
@@ -184,7 +181,7 @@ def best_hits(contigs: DataFrame, carry=()) -> DataFrame:
     The secondary list holds distinct contigs, so its length is bounded by the panel.
     ``carry`` columns are constant per fragment and pass through.
     """
-    candidate = F.struct(*_contig_order(), *_hit_fields())
+    candidate = F.struct(*_contig_order(), *_hit_payload())
     secondary_virus = (F.col("class") == "virus") & F.col("has_secondary")
     grouped = contigs.groupBy("sample_id", "fragment_key", *carry).agg(
         F.min(F.when(F.col("class") == "host", candidate)).alias("_host"),
@@ -194,15 +191,12 @@ def best_hits(contigs: DataFrame, carry=()) -> DataFrame:
             F.when(secondary_virus, F.struct("contig", "accession", "group"))
         ).alias("secondary_virus"),
     )
-    slim = lambda name: F.when(
-        F.col(name).isNotNull(), F.struct(*[F.col(name)[f].alias(f) for f in HIT_FIELDS])
-    )
     return grouped.select(
         "sample_id",
         "fragment_key",
         *carry,
-        slim("_host").alias("host"),
-        slim("_virus").alias("virus"),
+        _as_hit("_host").alias("host"),
+        _as_hit("_virus").alias("virus"),
         "has_secondary",
         "secondary_virus",
     )
