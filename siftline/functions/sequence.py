@@ -67,7 +67,7 @@ def entropy_2mer(seq: Column) -> Column:
             ),
         )
 
-    return _bind(marked, lambda m: _bind(_dimer_counts(m), bits))
+    return F.when(seq.isNotNull(), _bind(marked, lambda m: _bind(_dimer_counts(m), bits)))
 
 
 def _entropy_term(count: Column, total: Column) -> Column:
