@@ -159,7 +159,7 @@ def cumulative_rounds(reduced: DataFrame, rounds: int, samples: DataFrame | None
         )
         reduced = reduced.unionByName(empty)
     kind, n = F.col("kind"), F.col("n")
-    points = lambda name: F.array_sort(F.collect_list(F.when(kind == name, F.struct("pos", "val"))))
+    points = lambda name: F.sort_array(F.collect_list(F.when(kind == name, F.struct("pos", "val"))))
     total = lambda name: F.coalesce(F.sum(F.when(kind == name, n)), F.lit(0))
     grouped = (
         reduced.withColumn("round", F.explode(F.sequence("entry_round", F.lit(rounds))))

@@ -78,9 +78,9 @@ def expected_outputs() -> tuple[dict, dict]:
 
 
 def _same_map(observed: Column, expected: dict) -> Column:
-    entries = F.array_sort(F.transform(F.map_entries(observed), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    entries = F.sort_array(F.transform(F.map_entries(observed), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     wanted = F.array(*[F.lit(f"{k}={v}") for k, v in sorted(expected.items())])
-    return F.coalesce(entries == F.array_sort(wanted), F.lit(False))
+    return F.coalesce(entries == F.sort_array(wanted), F.lit(False))
 
 
 def audit_schema(schemas: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def audit_headers(headers: DataFrame) -> DataFrame:
         *_row(
             "table headers",
             F.when(F.bool_or(bad), "fail").otherwise("pass"),
-            F.coalesce(F.array_join(F.array_sort(F.collect_set(F.when(bad, F.concat(F.lit("unexpected TSV header in "), "artifact")))), "; "), F.lit("")),
+            F.coalesce(F.array_join(F.sort_array(F.collect_set(F.when(bad, F.concat(F.lit("unexpected TSV header in "), "artifact")))), "; "), F.lit("")),
         )
     )
 
@@ -139,7 +139,7 @@ def audit_aliases(files: DataFrame) -> DataFrame:
             return F.to_json(F.try_parse_json(column))
         if kind == "lines":
             entries = F.transform(F.split(column, "\n"), lambda line: F.lower(F.replace(F.trim(line), F.lit("\\"), F.lit("/"))))
-            return F.array_join(F.array_sort(F.filter(entries, lambda line: line != "")), "\n")
+            return F.array_join(F.sort_array(F.filter(entries, lambda line: line != "")), "\n")
         return column
 
     checks = []
@@ -250,7 +250,7 @@ def _offenders(rows: DataFrame, check: Column, offender: Column) -> DataFrame:
         .agg(
             F.when(F.count("_offender") == 0, "pass").otherwise("fail").alias("status"),
             F.when(F.count("_offender") == 0, F.format_string("%d rows are valid", F.count(F.lit(1))))
-            .otherwise(F.array_join(F.array_sort(F.collect_set("_offender")), "; "))
+            .otherwise(F.array_join(F.sort_array(F.collect_set("_offender")), "; "))
             .alias("detail"),
         )
         .select(*OUTPUT)
@@ -377,5 +377,5 @@ def audit_verdict(checks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checks"),
         F.count_if(F.col("status") == "fail").alias("failed"),
         F.count_if(F.col("status") == "skip").alias("skipped"),
-        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"),
+        F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("report"),
     )

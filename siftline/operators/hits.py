@@ -233,12 +233,14 @@ def secondary_hits(attached: DataFrame, contigs: DataFrame) -> DataFrame:
     )
 
 
-def _kmers(seq: Column, k: int) -> Column:
+def _exploded_seeds(rows: DataFrame, seq: str, k: int, pos: str) -> DataFrame:
+    """One row per position; the substring is taken after the explode, inside generated code."""
     last = F.length(seq) - k
-    positions = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(
-        F.array().cast("array<int>")
+    return (
+        rows.filter(last >= 0)
+        .withColumn(pos, F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("kmer", F.substring(F.col(seq), F.col(pos) + 1, F.lit(k)))
     )
-    return F.transform(positions, lambda p: F.struct(p.alias("pos"), F.substring(seq, p + 1, F.lit(k)).alias("kmer")))
 
 
 def seed_vote_hits(
@@ -250,7 +252,6 @@ def seed_vote_hits(
     of shared seeds and NM is unknown. Seeds with ambiguous bases are skipped, every
     other seed votes. Within a mate the strongest diagonal is primary.
     """
-    clean = lambda c: c.rlike(r"^[ACGT]+\z")
     mates = fragments.select(
         "sample_id",
         "fragment_key",
@@ -261,31 +262,25 @@ def seed_vote_hits(
             )
         ).alias("m"),
     ).select("sample_id", "fragment_key", "m.mate", F.translate("m.seq", "acgtn", "ACGTN").alias("seq"))
-    read_seeds = (
-        mates.filter(F.length("seq") >= k)
-        .select(
-            "sample_id",
-            "fragment_key",
-            "mate",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("+").alias("strand"), F.col("seq")),
-                    F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")),
-                )
-            ).alias("o"),
-        )
-        .select("sample_id", "fragment_key", "mate", "o.strand", F.explode(_kmers(F.col("o.seq"), k)).alias("s"))
-        .select("sample_id", "fragment_key", "mate", "strand", "s.kmer", F.col("s.pos").alias("read_pos"))
-        .filter(clean(F.col("kmer")))
+    read_seeds = _exploded_seeds(mates, "seq", k, "read_pos").select(
+        "sample_id", "fragment_key", "mate", "kmer", "read_pos", F.length("seq").alias("read_length")
+    )
+    # Only the panel is oriented both ways and cleaned: a read seed that meets a clean
+    # panel seed is clean itself.
+    forward = (
+        _exploded_seeds(contigs.withColumn("seq", F.translate("sequence", "acgtn", "ACGTN")), "seq", k, "contig_pos")
+        .select("contig", "kmer", "contig_pos")
+        .filter(F.col("kmer").rlike(r"^[ACGT]+\z"))
+    )
+    panel_seeds = forward.withColumn("strand", F.lit("+")).unionByName(
+        forward.withColumns({"kmer": reverse_complement(F.col("kmer")), "strand": F.lit("-")})
     )
-    panel_seeds = (
-        contigs.select("contig", F.explode(_kmers(F.translate("sequence", "acgtn", "ACGTN"), k)).alias("s"))
-        .select("contig", "s.kmer", F.col("s.pos").alias("contig_pos"))
-        .filter(clean(F.col("kmer")))
+    oriented = F.when(F.col("strand") == "+", F.col("read_pos")).otherwise(
+        F.col("read_length") - k - F.col("read_pos")
     )
     votes = (
         read_seeds.join(broadcast_if_small(panel_seeds, 2_000_000), "kmer")
-        .withColumn("diagonal", F.floor((F.col("contig_pos") - F.col("read_pos")) / diagonal_bin))
+        .withColumn("diagonal", F.floor((F.col("contig_pos") - oriented) / diagonal_bin))
         .groupBy("sample_id", "fragment_key", "mate", "contig", "strand", "diagonal")
         .agg(
             F.count(F.lit(1)).cast("int").alias("votes"),

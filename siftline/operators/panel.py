@@ -68,7 +68,7 @@ def union_layers(*layers: DataFrame) -> tuple[DataFrame, DataFrame]:
         merged = tagged if merged is None else merged.unionByName(tagged)
     repeated = (
         merged.groupBy("contig")
-        .agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_set("layer")).alias("layers"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_set("layer")).alias("layers"))
         .filter("copies > 1")
     )
     return merged, repeated

@@ -198,9 +198,9 @@ def resolve_rounds(totals: DataFrame, proportions, override: bool = False) -> Da
 def round_plan_report(rounds: DataFrame) -> DataFrame:
     """One row per sample from :func:`resolve_rounds` output (at most 64 rounds each)."""
     ordered = lambda value: F.transform(
-        F.array_sort(F.collect_list(F.struct("round", F.col(value).alias("v")))), lambda s: s["v"]
+        F.sort_array(F.collect_list(F.struct("round", F.col(value).alias("v")))), lambda s: s["v"]
     )
-    warnings = F.array_sort(
+    warnings = F.sort_array(
         F.collect_list(
             F.when(
                 F.col("warning_kind").isNotNull(),

@@ -120,7 +120,7 @@ def virus_summary(calls: DataFrame) -> DataFrame:
         F.max(s["total_sampled_fragments"]).alias("total_sampled_fragments"),
         F.greatest(F.max(s["breadth"]), F.lit(0.0)).alias("breadth"),
         F.size(F.array_distinct(F.flatten(F.collect_list("_accessions")))).alias("_accession_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_reasons")))).alias("decision_reasons"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("_reasons")))).alias("decision_reasons"),
     )
     rep, top, is_group = F.col("rep"), F.col("top"), F.col("summary_level") == "group"
     shaped = merged.select(

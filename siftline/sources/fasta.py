@@ -30,7 +30,7 @@ def read_fasta(spark: SparkSession, paths, layer: str, with_sequence: bool = Fal
         F.min("line_no").alias("line_no"),
     ]
     if with_sequence:
-        ordered = F.array_sort(F.collect_list(F.when(~is_header, F.struct("line_no", "text"))))
+        ordered = F.sort_array(F.collect_list(F.when(~is_header, F.struct("line_no", "text"))))
         aggregates.append(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("sequence"))
     records = lines.groupBy("path", "ordinal").agg(*aggregates)
     problem = (

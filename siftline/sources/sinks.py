@@ -101,7 +101,7 @@ def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops:
     sample_run_summary output over ``runs``; ``tops`` is top_results output, at most
     one panel of rows per sample.
     """
-    listed = lambda name: F.array_sort(
+    listed = lambda name: F.sort_array(
         F.collect_list(
             F.when(
                 F.col("list") == name,
@@ -115,7 +115,7 @@ def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops:
     top = tops.groupBy("sample_id").agg(listed("top_detections"), listed("top_accession_evidence"))
     facts = calls.groupBy("sample_id").agg(
         F.count_if(F.col("aggregation_level") == "accession").alias("candidate_count"),
-        F.array_sort(F.collect_list(F.when(F.col("decision") == "positive", F.col("accession_or_group")))).alias("positive_candidates"),
+        F.sort_array(F.collect_list(F.when(F.col("decision") == "positive", F.col("accession_or_group")))).alias("positive_candidates"),
     )
     rows = (
         summaries.join(top, "sample_id", "left")
@@ -200,7 +200,7 @@ def _tsv_text(rows: DataFrame, columns, order) -> DataFrame:
     ).otherwise(value(c))
     line = F.concat_ws("\t", *[quoted(c) for c in columns])
     sorted_lines = F.transform(
-        F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"k{i}") for i, o in enumerate(order)], line.alias("line")))),
+        F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"k{i}") for i, o in enumerate(order)], line.alias("line")))),
         lambda s: s["line"],
     )
     header = "\t".join(columns)
@@ -253,7 +253,7 @@ def checksum_table(files: DataFrame) -> DataFrame:
 
 
 def checksum_text(files: DataFrame) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("path", F.concat("sha256", F.lit("  "), "path").alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("path", F.concat("sha256", F.lit("  "), "path").alias("line"))))
     return checksum_table(files).groupBy("sample_id").agg(
         F.concat(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"), F.lit("\n")).alias("content")
     )
