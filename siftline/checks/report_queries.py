@@ -334,8 +334,8 @@ def _supported(spark, sf) -> DataFrame:
                 CASE WHEN level = 'group' THEN coalesce(max(support) FILTER (rn2 = 1), '') ELSE id END AS top_accession,
                 CASE WHEN level = 'group' THEN coalesce(max(support_name) FILTER (rn2 = 1), '') ELSE max(virus_name) FILTER (rn2 = 1) END AS top_accession_name,
                 CASE WHEN level = 'group' THEN count(DISTINCT support) ELSE 1 END AS supporting_accession_count
-              FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, level, id ORDER BY {_STRENGTH}) AS rn2
-                    FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, level, id, coalesce(support, id) ORDER BY {_STRENGTH}) AS rn FROM ({_SUPPORTED}) s) a WHERE rn = 1) b
+              FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, level, id ORDER BY {_STRENGTH}, coalesce(support, id) DESC) AS rn2
+                    FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, level, id, coalesce(support, id) ORDER BY {_STRENGTH}, support_name) AS rn FROM ({_SUPPORTED}) s) a WHERE rn = 1) b
               GROUP BY sample_id, level, id) g"""
     ),
 )

@@ -109,10 +109,12 @@ def virus_summary(calls: DataFrame) -> DataFrame:
         )
     )
     s = F.col("s")
-    supported = F.struct(s["_weakness"].alias("w"), s["supporting_accession"].alias("id"), s["supporting_accession_name"].alias("label"))
+    # Equally strong support keys: the last key by name represents the entity.
+    strength = F.struct(*[(-s["_weakness"][f"w{i}"]).alias(f"s{i}") for i in range(1, 6)])
+    ranked = F.struct(strength.alias("strength"), F.col("_support"), s.alias("s"))
     merged = per_support.groupBy(*entity).agg(
-        F.min(s).alias("rep"),
-        F.min(F.when(s["supporting_accession"].isNotNull(), supported)).alias("top"),
+        F.max(ranked)["s"].alias("rep"),
+        F.max(F.when(s["supporting_accession"].isNotNull(), ranked))["s"].alias("top"),
         *[F.sum(s[c]).alias(c) for c in _SUMMED],
         F.min(s["fraction_ci_95_low"]).alias("fraction_ci_95_low"),
         F.max(s["fraction_ci_95_high"]).alias("fraction_ci_95_high"),
@@ -148,8 +150,8 @@ def virus_summary(calls: DataFrame) -> DataFrame:
         rep["fraction_denominator_source"].alias("fraction_denominator_source"),
         "breadth",
         rep["multiplicity_family"].alias("multiplicity_family"),
-        F.when(is_group, F.coalesce(top["id"], F.lit(""))).otherwise(F.col("accession_or_group")).alias("top_accession"),
-        F.when(is_group, F.coalesce(top["label"], F.lit(""))).otherwise(rep["virus_name"]).alias("top_accession_name"),
+        F.when(is_group, F.coalesce(top["supporting_accession"], F.lit(""))).otherwise(F.col("accession_or_group")).alias("top_accession"),
+        F.when(is_group, F.coalesce(top["supporting_accession_name"], F.lit(""))).otherwise(rep["virus_name"]).alias("top_accession_name"),
         F.when(is_group, F.col("_accession_count")).otherwise(1).cast("bigint").alias("supporting_accession_count"),
         "decision_reasons",
     )
