@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import simhash
-from siftline.llm.shared import table
+from public_tokenizers import path as tokenizer_path
+
+from siftline.llm import decontaminate, simhash, wavelet
+from siftline.llm.shared import new_folder, table
+
+END_ID = 1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +23,57 @@ def registered(build):
     return build
 
 
+@registered
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.bounded_items(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), items)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op5_benchmark_decontamination"] = """
+WITH item AS (
+    SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+    SELECT doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), places AS (
+    SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS s
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), found AS (
+    SELECT doc_id, places.i, places.size, item_id FROM places JOIN windows USING (size, s)
+), hits AS (
+    SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY doc_id
+), names AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(names.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+
+@registered
+def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"))
+
+
+def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Token files written to a new shared folder and read back."""
+    folder = new_folder(spark, "token-files")
+    wavelet.write_token_files(docs, folder, tokenizer_path("word_bpe_49k.json"), END_ID)
+    return wavelet.read_token_files(spark, folder)
+
+
 @registered
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"), "doc_id", "text")
