@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import decontaminate, simhash, wavelet
+from siftline.llm import decontaminate, mixing, simhash, wavelet
 from siftline.llm.shared import new_folder, table
 
 END_ID = 1
@@ -62,6 +62,12 @@ FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 
+@registered
+def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @registered
 def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"))
