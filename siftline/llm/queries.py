@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import decontaminate, mixing, simhash, wavelet
-from siftline.llm.shared import new_folder, table
+from siftline.llm import decontaminate, mixing, simhash, toxicity, wavelet
+from siftline.llm.shared import crc32_of_id, new_folder, table
 
 END_ID = 1
 
@@ -23,6 +23,18 @@ def registered(build):
     return build
 
 
+@registered
+def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECTED).cast("int").alias("predicted"),
+    )
+
+
 @registered
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.bounded_items(table(spark, sf_dir, "benchmark"))
