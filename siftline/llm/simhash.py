@@ -30,7 +30,7 @@ THRESHOLD = 4
 PARTS = 3
 TILE_HOMES, TILE_VISITORS = 4_096, 16_384
 # Pairs compared at once, and rows gathered before a comparison.
-PAIRS_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 200_000
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 500_000, 100_000
 
 _SPACES = bytes(b" \t\n\x0b\x0c\r")
 _LOWER = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else 32 if b in _SPACES else b for b in range(256))
@@ -258,7 +258,9 @@ def components(links: DataFrame) -> DataFrame:
     joined, never gathered by node.
     """
     pairs = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    summed = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     links = written(pairs(links), "links")
+    before = None
     while True:
         both = links.union(links.select("b", "a"))
         lowest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
@@ -268,11 +270,10 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         own = lowest.select("a", F.col("low").alias("b"))
         small = written(pairs(large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(own)), "links")
-        summed = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        done = summed(small) == summed(links)
-        links = small
-        if done:
+        links, now = small, summed(small)
+        if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now
 
 
 def clusters(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, parts: int = PARTS) -> DataFrame:
