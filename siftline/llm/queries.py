@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, simhash, toxicity, wavelet
+from siftline.llm import chat, decontaminate, mixing, simhash, topk, toxicity, wavelet
 from siftline.llm.shared import crc32_of_id, new_folder, table
 
 END_ID = 1
@@ -112,6 +112,26 @@ FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 
+@registered
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, rows.filter("id % 20 = 0"))
+
+
+ORACLE["op6_threshold_top_k"] = """
+WITH usable AS (
+    SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT * FROM (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
+) WHERE rank <= 20
+"""
+
+
 @registered
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
