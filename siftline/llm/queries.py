@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, simhash, topk, toxicity, wavelet
+from siftline.llm import chat, decontaminate, mixing, secrets, simhash, topk, toxicity, wavelet
 from siftline.llm.shared import crc32_of_id, new_folder, table
 
 END_ID = 1
@@ -132,6 +132,50 @@ SELECT * FROM (
 """
 
 
+@registered
+def op7_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    many = lambda number: F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(many(i).alias(f"n_{rule.kind}") for i, rule in enumerate(secrets.BASE)),
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
+
+
+def secret_sql() -> str:
+    found = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        found.append(f"""SELECT doc_id, row_no, {number} AS kind, '{rule.kind}' AS name, gaps, hits, checked, {rule.least} AS least FROM (
+            SELECT doc_id, row_no, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}) AS hits,
+                regexp_extract_all(text, {pattern}, {rule.group}) AS checked FROM texts WHERE regexp_matches(text, {pattern}))""")
+    rows = " UNION ALL ".join(found)
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents),
+kinds AS ({rows}),
+places AS (
+    SELECT row_no, kind, name, least, checked[i] AS part, len(hits[i]) AS size,
+        list_sum([len(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([len(h) FOR h IN hits[1:i - 1]]), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM kinds)
+),
+spans AS (SELECT row_no, kind, CAST(start AS BIGINT) AS start, name || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS span FROM places WHERE len(part) >= least),
+per_row AS (
+    SELECT row_no, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+    FROM spans GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per_row USING (row_no)
+"""
+
+
+ORACLE["op7_trigram_secret_scan"] = secret_sql()
+
+
 @registered
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
