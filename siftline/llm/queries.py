@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, secrets, simhash, topk, toxicity, wavelet
+from siftline.llm import chat, decontaminate, mixing, secrets, simhash, tokens, topk, toxicity, wavelet
 from siftline.llm.shared import crc32_of_id, new_folder, table
 
 END_ID = 1
@@ -23,6 +23,11 @@ def registered(build):
     return build
 
 
+@registered
+def op1_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.attributed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @registered
 def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

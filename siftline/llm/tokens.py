@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftline.llm.shared import ragged, strings
 
 # Cached pieces before the cache starts anew, and pieces that are encoded in one call.
-CACHE_MOST, AT_ONCE = 400_000, 2_000
+CACHE_MOST, AT_ONCE = 600_000, 2_000
+# Bytes of texts that are cut into pieces at once.
+BYTES_AT_ONCE = 1 << 21
 # Stands alone between pieces that are encoded together; pieces that hold it are encoded alone.
 BETWEEN = "~"
 _TAIL = frozenset(".,!?;:|")
@@ -80,11 +89,140 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each UTF-8 text."""
-        cut = [text.decode("utf-8", "replace").replace("\n", " ").split(" ") for text in texts]
-        if len(self._pieces) > CACHE_MOST:
-            self._pieces, self._cores = {"": b""}, {}
-        missing = set().union(*cut).difference(self._pieces)
-        if missing:
-            self._learn(missing)
-        known = self._pieces
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, held = at, 0
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= BYTES_AT_ONCE):
+                held += len(texts[stop])
+                stop += 1
+            cut = [text.decode("utf-8", "replace").replace("\n", " ").split(" ") for text in texts[at:stop]]
+            if len(self._pieces) > CACHE_MOST:
+                self._pieces, self._cores = {"": b""}, {}
+            missing = set().union(*cut).difference(self._pieces)
+            if missing:
+                self._learn(missing)
+            known = self._pieces
+            out += [b"".join([known[p] for p in pieces]) for pieces in cut]
+            at = stop
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker process, whose cache outlives a task."""
+    return Encoder(path)
+
+
+RULES = ("start", "largest", "share")
+
+
+def allotted(tokens: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(tokens of each section, of those the tokens that cross its edge, tokens outside all sections).
+
+    ``tokens`` and ``sections`` are (start, end) rows in order; sections do not overlap. A token inside one section
+    belongs to it. One that crosses an edge goes, by ``rule``, to the section of its first character (``start``; the
+    first section it meets, if that character stands between sections), to the section that holds most of it
+    (``largest``; the earlier of equals) or to all that it meets by their share of its characters there (``share``).
+    """
+    none = np.zeros(len(sections)), np.zeros(len(sections), np.int64), float(len(tokens))
+    if not len(sections) or not len(tokens):
+        return none
+    start, stop = tokens[:, 0], np.maximum(tokens[:, 1], tokens[:, 0] + 1)
+    first = np.searchsorted(sections[:, 1], start, "right")
+    last = np.searchsorted(sections[:, 0], stop, "left") - 1
+    met = last >= first
+    group, place = ragged(np.where(met, last - first + 1, 0))
+    section = first[group] + place
+    shared = np.minimum(stop[group], sections[section, 1]) - np.maximum(start[group], sections[section, 0])
+    cross = shared < (stop - start)[group]
+    if rule == "share":
+        weight = shared / np.bincount(group, shared, minlength=len(tokens))[group]
+    else:
+        rank = -shared if rule == "largest" else place
+        order = np.lexsort((place, rank, group))
+        weight = np.zeros(len(group))
+        weight[order[np.flatnonzero(np.diff(group[order], prepend=-1))]] = 1.0
+    counts = np.bincount(section, weight, minlength=len(sections))
+    crossing = np.bincount(section[cross & (weight > 0)], minlength=len(sections))
+    return counts, crossing, float((~met).sum())
+
+
+def field_sections(texts: list[str], gap: int) -> tuple[list[int], np.ndarray]:
+    """(field number, spans) of the sections of a document of joined fields: each field but the last, and the last one's lines.
+
+    Empty fields and lines are no sections.
+    """
+    fields, spans, at = [], [], 0
+    for number, text in enumerate(texts):
+        if number + 1 < len(texts):
+            parts = [(0, len(text))]
+        else:
+            ends = [-1, *(i for i, c in enumerate(text) if c == "\n"), len(text)]
+            parts = [(a + 1, b) for a, b in zip(ends, ends[1:])]
+        for a, b in parts:
+            if a < b:
+                fields.append(number)
+                spans.append((at + a, at + b))
+        at += len(text) + gap
+    return fields, np.array(spans, np.int64).reshape(-1, 2)
+
+
+@lru_cache(maxsize=1)
+def offset_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def attributed(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", fields: tuple[str, ...] = ("source", "lang", "text"),
+    rule: str = "largest", gap: str = " ",
+) -> DataFrame:
+    """(id, section, field, start, end, tokens, crossing): the tokens of each section of every row.
+
+    A row's fields are joined by ``gap`` into one document, which is encoded once and whole; sections are the fields, the
+    last one cut into its lines. Tokens that meet no section stand in section -1 with field null, so the counts
+    of a row sum to its tokens. Null fields are empty; a row with no token still has its section -1, with 0. Places are in
+    code points. Repeated rows are counted each.
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}")
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, section int, field string, start long, end long, tokens double, crossing long"
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = offset_tokenizer(tokenizer)
+        for batch in tables:
+            texts = [[t.decode("utf-8", "replace") for t in row] for row in zip(*(strings(batch.column(i + 1)) for i in range(len(fields))))]
+            at = 0
+            while at < len(texts):
+                stop, held = at, 0
+                while stop < len(texts) and (stop == at or held < BYTES_AT_ONCE // 2):
+                    held += sum(map(len, texts[stop]))
+                    stop += 1
+                rows, section, names, spans, counts, crossing = [], [], [], [], [], []
+                for row in range(at, stop):
+                    (encoded,) = encoder.encode_batch([gap.join(texts[row])], add_special_tokens=False)
+                    tokens = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+                    numbers, own = field_sections(texts[row], len(gap))
+                    inside, edges, outside = allotted(tokens, own, rule)
+                    rows += [row] * (len(own) + 1)
+                    section += [-1, *range(len(own))]
+                    names += [None, *(fields[n] for n in numbers)]
+                    spans += [(None, None), *own.tolist()]
+                    counts += [outside, *inside.tolist()]
+                    crossing += [0, *edges.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows, pa.int64())), pa.array(section, pa.int32()), pa.array(names, pa.string()),
+                        pa.array([a for a, _b in spans], pa.int64()), pa.array([b for _a, b in spans], pa.int64()),
+                        pa.array(counts, pa.float64()), pa.array(crossing, pa.int64()),
+                    ],
+                    names=[id_col, "section", "field", "start", "end", "tokens", "crossing"],
+                )
+                at = stop
+
+    return docs.select(F.col(id_col), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields))).mapInArrow(batches, schema)

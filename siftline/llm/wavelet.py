@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.shared import strings, written
-from siftline.llm.tokens import Encoder
+from siftline.llm.tokens import encoder as shared_encoder
 
 MAGIC = b"SIFTWM01"
 ENDING = ".wvm"
@@ -169,7 +169,7 @@ def write_token_files(
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         store, path = fs.FileSystem.from_uri(folder)
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         levels = max(encoder.largest, end_id).bit_length()
         end = np.array([end_id], encoder.kind).tobytes()
         ids, chunks, counts, held = [], [], [], 0
