@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, secrets, simhash, tokens, topk, toxicity, wavelet
+from siftline.llm import chat, decontaminate, mixing, pii, secrets, simhash, tokens, topk, toxicity, wavelet
 from siftline.llm.shared import crc32_of_id, new_folder, table
 
 END_ID = 1
+# A key of one's own belongs here; this one only makes the registered query repeatable.
+PII_KEY = b"registered query"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,6 +80,12 @@ FROM pieces GROUP BY conv_id
 """.replace("CONTROL", f"'{chat.CONTROL}'")
 
 
+@registered
+def op4_surrogate_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, PII_KEY)
+
+
 @registered
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.bounded_items(table(spark, sf_dir, "benchmark"))
