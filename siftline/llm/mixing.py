@@ -173,13 +173,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it; names that begin with ``_mix_`` are the operator's own."""
     taken = (
-        copies(docs, id_col, source_col, text_col, **rules).groupBy("row_key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+        copies(docs, id_col, source_col, text_col, **rules).groupBy(F.col("row_key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_all"), F.count(F.lit(1)).alias("_mix_rows"))
     )
-    met = docs.withColumn("_row_key", row_key(id_col, source_col, text_col)).join(taken, F.col("_row_key") == F.col("row_key"))
+    met = docs.withColumn("_mix_key", row_key(id_col, source_col, text_col)).join(taken, "_mix_key")
     # Repeated rows divide what they are taken together.
-    place = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    times = F.expr("_all div _rows") + F.when(F.col("_place") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    several = met.withColumn("_place", place).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return several.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key"))
+    times = F.expr("_mix_all div _mix_rows") + F.when(F.col("_mix_place") <= F.col("_mix_all") % F.col("_mix_rows"), 1).otherwise(0)
+    several = met.withColumn("_mix_place", place).withColumn("_mix_times", times.cast("int")).filter("_mix_times > 0")
+    return several.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -50,11 +50,14 @@ PATTERNS = {
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,5}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.?[  ]+(?P<names>{_NAME}(?:[  ]{_NAME}){{0,2}})",
+    # A title; the capitalised words that follow it, three at most, are the name.
+    "name": rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.?(?=[ \u00a0])",
 }
 KINDS = tuple(PATTERNS)
 _COMPILED = {kind: re.compile(p, re.IGNORECASE if kind == "name" else 0) for kind, p in PATTERNS.items()}
 
+_NEXT_WORD = re.compile(rf"[ \u00a0]+({_NAME})")
+
 Entity = tuple[str, str, str]
 
 
@@ -86,27 +89,28 @@ def entities_in(text: str) -> list[tuple[int, int, Entity]]:
         if (kind == "email" and "@" not in text) or (kind not in ("email", "name") and not digits):
             continue
         for match in pattern.finditer(text):
-            a, b = match.span("names") if kind == "name" else match.span()
-            if any(a < y and x < b for x, y in taken):
-                continue
-            own = list(_entities(kind, text[a:b], a, match.group()))
-            found += own
-            taken += [(x, y) for x, y, _e in own]
+            own = list(_name(text, match) if kind == "name" else _entity(kind, match.group(), match.start()))
+            if own and not any(own[0][0] < y and x < own[-1][1] for x, y in taken):
+                found += own
+                taken.append((own[0][0], own[-1][1]))
     return sorted(found)
 
 
-def _entities(kind: str, surface: str, at: int, whole: str) -> Iterator[tuple[int, int, Entity]]:
-    if kind == "name":
-        gender = TITLES[re.match(r"[^\W\d_]+(?:-[^\W\d_]+)?", whole).group().lower()]
-        words = list(re.finditer(_NAME, surface))
-        for number, word in enumerate(words):
-            if not word.group()[0].isupper():
-                break  # what follows in lower case is no name
-            # The last of several words is the family's; it has no gender of its own.
-            part = "family" if number == len(words) - 1 else f"given-{gender}"
-            value = unicodedata.normalize("NFC", word.group()).casefold()
-            yield at + word.start(), at + word.end(), (kind, f"{script_of(value)}-{part}", value)
-    elif kind == "email":
+def _name(text: str, title: re.Match) -> Iterator[tuple[int, int, Entity]]:
+    gender = TITLES[title.group().rstrip(".").lower()]
+    words, at = [], title.end()
+    while len(words) < 3 and (word := _NEXT_WORD.match(text, at)) and word.group(1)[0].isupper():
+        words.append(word)
+        at = word.end()
+    for number, word in enumerate(words):
+        # The last of several words is the family's; it has no gender of its own.
+        part = "family" if number == len(words) - 1 else f"given-{gender}"
+        value = unicodedata.normalize("NFC", word.group(1)).casefold()
+        yield *word.span(1), ("name", f"{script_of(value)}-{part}", value)
+
+
+def _entity(kind: str, surface: str, at: int) -> Iterator[tuple[int, int, Entity]]:
+    if kind == "email":
         value = surface.casefold()
         yield at, at + len(surface), (kind, re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", value)), value)
     elif kind == "iban":
@@ -223,8 +227,10 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> Data
     """``docs`` with personal data in ``text_col`` replaced, and ``n_<kind>`` counts of the replacements.
 
     Null texts stay null and empty ones empty, with counts of 0. Equal texts get equal results, repeated rows too.
+    Columns with the names of the counts are replaced.
     """
     counts = [f"n_{kind}" for kind in KINDS]
+    docs = docs.drop(*counts, "_redrawn", "_text_key")
     entities = written(_entity_rows(docs, text_col).distinct(), "entities")
     exceptions = redrawn(entities, key)
     looked_up = docs.withColumn("_redrawn", F.lit(None).cast("array<struct<kind:string,shape:string,value:string,attempt:int>>"))

@@ -166,25 +166,25 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``spans``: array<struct<start, kind number, end>>, by start, then kind as listed.
 
-    Null and empty texts have no spans. Repeated rows are scanned each; columns named ``spans`` are replaced.
+    Null and empty texts have no spans. Repeated rows are scanned each; a column named ``spans`` is replaced, and names that begin with ``_secret_`` are the operator's own.
     Texts are keyed by a hash in the index: should two share one, both are candidates, and matching decides.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     named = sorted({t for q in queries for one in q for t in one})
-    keyed = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_key", F.xxhash64("_text"))
+    keyed = docs.withColumn("_secret_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_secret_key", F.xxhash64("_secret_text"))
     if named:
-        index = postings(keyed.select(F.col("_key").alias("text_key"), F.col("_text").alias("text")), named)
-        found = written(candidates(index, queries), "secret-candidates")
-        keyed = keyed.join(broadcast_if_small(found, BROADCAST_ROWS), F.col("_key") == F.col("text_key"), "left").drop("text_key")
+        index = postings(keyed.select(F.col("_secret_key").alias("text_key"), F.col("_secret_text").alias("text")), named)
+        found = written(candidates(index, queries).select(F.col("text_key").alias("_secret_key"), F.col("mask").alias("_secret_mask")), "secret-candidates")
+        keyed = keyed.join(broadcast_if_small(found, BROADCAST_ROWS), "_secret_key", "left")
     else:
-        keyed = keyed.withColumn("mask", F.lit(0).cast("long"))
+        keyed = keyed.withColumn("_secret_mask", F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for number, (rule, query) in enumerate(zip(rules, queries)):
-        found = spans_of(F.col("_text"), rule, number)
-        candidate = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << number)) != 0
+        found = spans_of(F.col("_secret_text"), rule, number)
+        candidate = F.coalesce(F.col("_secret_mask"), F.lit(0)).bitwiseAND(F.lit(1 << number)) != 0
         spans.append(found if query == ANY else F.when(candidate, found).otherwise(none))
-    return keyed.withColumn("spans", F.sort_array(F.concat(*spans))).drop("_text", "_key", "mask")
+    return keyed.withColumn("spans", F.sort_array(F.concat(*spans))).drop("_secret_text", "_secret_key", "_secret_mask")
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -298,10 +298,10 @@ def clusters(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRES
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component: the row of the smallest id, of rows with one id the one of smaller text hash.
 
-    Repeated rows (same id and text) count as one.
+    Repeated rows (same id and text) count as one. The name ``_simhash_row`` is the operator's own.
     """
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
-    keyed = docs.withColumn("_row_key", own)
-    found = clusters(keyed.select("_row_key", text_col), "_row_key", text_col, threshold)
-    best = found.select(F.col("component_id").alias("_row_key")).distinct()
-    return keyed.join(best, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    keyed = docs.withColumn("_simhash_row", own)
+    found = clusters(keyed.select("_simhash_row", text_col), "_simhash_row", text_col, threshold)
+    best = found.select(F.col("component_id").alias("_simhash_row")).distinct()
+    return keyed.join(best, "_simhash_row", "left_semi").dropDuplicates(["_simhash_row"]).drop("_simhash_row")

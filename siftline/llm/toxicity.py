@@ -5,8 +5,8 @@ the class prior p, the risk of a score f is  p E+[l(f)] + max(0, Eu[l(-f)] - p E
 hold of the toxic class is taken off, and where that would make the risk of the clean class negative, the step goes
 back instead. The classifiers are linear in the words that a text has, with a one-norm penalty that leaves few words.
 
-A bounded sample is learned from: at most POSITIVES toxic and BAGS times UNLABELLED other texts, the first by hash of
-their id. Each classifier takes all the toxic and its own part of the other texts. The class prior counts all labels,
+A bounded sample is learned from: at most POSITIVES toxic and UNLABELLED other texts, the first by hash of
+their id. Each classifier takes all the toxic texts and leaves out its own part of the others. The class prior counts all labels,
 and every text is scored whole.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.shared import crc32_of_id
 
-BAGS, POSITIVES, UNLABELLED = 3, 4_000, 8_000
+BAGS, POSITIVES, UNLABELLED = 3, 4_000, 15_000
 # Features are those that at least so many toxic texts and such a share of them have, and so many times the share of all texts.
 LEAST_TEXTS, LEAST_SHARE, LIFT = 3, 0.02, 4.0
 STEPS, RATE, PENALTY = 300, 0.1, 5e-5
@@ -106,8 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     every = F.sequence(F.lit(0), F.lit(BAGS - 1))
     toxic_ids = chosen(marks.filter("mark = 1").join(docs.select(id_col), id_col, "left_semi"), 1, POSITIVES).withColumn("bag", F.explode(every))
-    other_ids = chosen(docs.filter(training_side(id_col)), 0, BAGS * UNLABELLED).withColumn("bag", F.pmod(F.xxhash64("id"), F.lit(BAGS)).cast("int"))
-    # At most BAGS * (POSITIVES + UNLABELLED) rows.
+    others = F.filter(every, lambda bag: bag != F.pmod(F.xxhash64("id"), F.lit(BAGS)))
+    other_ids = chosen(docs.filter(training_side(id_col)), 0, UNLABELLED).withColumn("bag", F.explode(others))
+    # At most BAGS * POSITIVES + (BAGS - 1) * UNLABELLED rows.
     picked = F.broadcast(toxic_ids.unionByName(other_ids).distinct())
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
     features = sample.select("bag", "kind", "id", word_hashes(F.col("text")).alias("words"))
@@ -124,7 +125,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: list[tuple], text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the mean probability of the classifiers; texts without words have the prior odds of the model."""
+    """``docs`` with the mean probability of the classifiers; texts without words have the model's bias alone.
+
+    Null and empty texts have no words. Repeated rows are scored each; a column called ``name`` is replaced.
+    """
+    docs = docs.drop(name)
     columns = docs.columns
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +150,11 @@ def scored(docs: DataFrame, model: list[tuple], text_col: str = "text", name: st
                 [*(batch.column(i) for i in range(len(columns))), pa.array(total / len(model))], names=[*columns, name]
             )
 
-    with_words = docs.withColumn("_words", word_hashes(F.col(text_col)))
+    with_words = docs.withColumn("_toxicity_words", word_hashes(F.col(text_col)))
     return with_words.mapInArrow(batches, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = REJECTED) -> DataFrame:
     """``docs`` that score below ``most``."""
     model = learn(docs, labels, id_col, text_col)
-    return scored(docs, model, text_col, "_score").filter(F.col("_score") < most).drop("_score")
+    return scored(docs, model, text_col, "_toxicity_score").filter(F.col("_toxicity_score") < most).drop("_toxicity_score")
