@@ -69,6 +69,7 @@ SELECT source AS sample_id,
        translate(substr(text, CAST(w * 300 + 1 AS INT), 150), '{_FROM}', '{_TO}') AS r1_seq,
        translate(substr(text, CAST(w * 300 + 151 AS INT), 150), '{_FROM}', '{_TO}') AS r2_seq,
        substr(text, CAST(w * 300 + 1 AS INT), 150) AS r1_qual,
+       substr(text, CAST(w * 300 + 151 AS INT), 150) AS r2_qual,
        CAST(doc_id * 1000 + w AS BIGINT) AS record_number
 FROM ({WINDOWS}) docs
 """
@@ -202,26 +203,9 @@ TABLES = (
 ).split()
 
 
-# Keys to spread a table by when it arrives as fewer files than there are cores.
-SPREAD_KEYS = {
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
-    "documents": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
-    "events": ("event_id",),
-}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
-
-    A single-row-group file is one scan task whatever the split size; such a table is
-    spread over the cores by a near-unique key. Many-file tables are left alone.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *SPREAD_KEYS[name])
-    return df
+    """One driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

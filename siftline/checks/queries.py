@@ -91,24 +91,31 @@ def normalized_read_names(spark, sf):
     )
 
 
+def _scores_sql(column: str) -> str:
+    return f"""CASE WHEN regexp_matches({column}, '[\\x00-\\x20]') THEN ''
+             ELSE coalesce(array_to_string(list_transform(string_split({column}, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ord(c) - 33 END), ' '), '') END"""
+
+
+# Document text has spaces and line breaks, which Phred text cannot; tabs stay as invalid symbols.
+_PHRED_SQL = "replace(replace({c}, ' ', '~'), chr(10), '') AS {c}"
+
+
 @query(
     "decoded_qualities",
-    f"""SELECT sample_id, fragment_key, NOT regexp_matches(r1_qual, '[\\x00-\\x20]') AS quality_valid,
-        CASE WHEN regexp_matches(r1_qual, '[\\x00-\\x20]') THEN ''
-             ELSE array_to_string(list_transform(string_split(r1_qual, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ord(c) - 33 END), ' ') END AS scores
-        FROM (SELECT *, replace(replace(r1_qual0, ' ', '~'), chr(10), '') AS r1_qual
-              FROM (SELECT sample_id, fragment_key, r1_qual AS r1_qual0 FROM ({A.plain_sql(A.FRAGMENTS)}) a) b) f""",
+    f"""SELECT sample_id, fragment_key, NOT regexp_matches(r1_qual, '[\\x00-\\x20]') AS r1_valid, NOT regexp_matches(r2_qual, '[\\x00-\\x20]') AS r2_valid,
+        {_scores_sql("r1_qual")} AS r1_scores, {_scores_sql("r2_qual")} AS r2_scores
+        FROM (SELECT sample_id, fragment_key, {_PHRED_SQL.format(c="r1_qual")}, {_PHRED_SQL.format(c="r2_qual")}
+              FROM ({A.plain_sql(A.FRAGMENTS)}) a) f""",
 )
 def decoded_qualities(spark, sf):
-    # Document text has spaces and line breaks, which Phred text cannot; tabs stay as invalid symbols.
-    qual = F.replace(F.replace("r1_qual", F.lit(" "), F.lit("~")), F.lit("\n"), F.lit(""))
-    rows = table(spark, sf, A.FRAGMENTS).withColumn("r1_qual", qual)
-    scores = F.array_join(text.decode_phred(F.col("r1_qual")).cast("array<string>"), " ")
+    phred = lambda c: F.replace(F.replace(c, F.lit(" "), F.lit("~")), F.lit("\n"), F.lit(""))
+    rows = table(spark, sf, A.FRAGMENTS).withColumns({c: phred(c) for c in ("r1_qual", "r2_qual")})
+    scores = lambda c: F.coalesce(F.array_join(text.decode_phred(F.col(c)).cast("array<string>"), " "), F.lit(""))
     return rows.select(
         "sample_id",
         "fragment_key",
-        text.phred_valid(F.col("r1_qual")).alias("quality_valid"),
-        F.coalesce(scores, F.lit("")).alias("scores"),
+        *(text.phred_valid(F.col(f"{m}_qual")).alias(f"{m}_valid") for m in ("r1", "r2")),
+        *(scores(f"{m}_qual").alias(f"{m}_scores") for m in ("r1", "r2")),
     )
 
 

@@ -836,25 +836,34 @@ def _scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_READ_TEXT = lambda c: f"regexp_replace({c}, '[^ACGTacgtN]', 'N', 'g') AS {c}"
+_QUAL_TEXT = lambda c: f"regexp_replace({c}, '[\\x00-\\x20]', '~', 'g') AS {c}"
+
+
 @query(
     "fastq_round_trip",
-    f"""SELECT fragment_key, regexp_replace(r1_seq, '[^ACGTacgtN]', 'N', 'g') AS r1_seq, regexp_replace(r2_seq, '[^ACGTacgtN]', 'N', 'g') AS r2_seq FROM ({O.FRAGMENTS}) f""",
+    f"""SELECT sample_id, fragment_key, {", ".join(_READ_TEXT(c) for c in ("r1_seq", "r2_seq"))}, {", ".join(_QUAL_TEXT(c) for c in ("r1_qual", "r2_qual"))}
+    FROM ({O.FRAGMENTS}) f""",
 )
 def fastq_round_trip(spark, sf):
-    """Write every fragment as paired FASTQ files, then read the files."""
-    clean = lambda c: F.regexp_replace(c, "[^ACGTacgtN]", "N").alias(c)
-    rows = table(spark, sf, A.FRAGMENTS).select("fragment_key", clean("r1_seq"), clean("r2_seq"))
-    rows = settle(rows.repartition("fragment_key").sortWithinPartitions("fragment_key"))
+    """Write every fragment to paired FASTQ files, several for each sample, then read the files."""
+    folder = fastq_files(spark, sf)
+    part = lambda path: F.regexp_extract(path, r"sample_id=([^/]+)/", 1)
+    fragments, _rejects = fastq.read_fastq_pairs(spark, f"{folder}/R1/*", f"{folder}/R2/*", sample=part)
+    return fragments.select("sample_id", "fragment_key", "r1_seq", "r2_seq", "r1_qual", "r2_qual")
+
+
+def fastq_files(spark, sf) -> str:
+    """A folder with R1/sample_id=<sample>/ and R2/sample_id=<sample>/, each with the same parts of a sample."""
+    read = lambda c: F.regexp_replace(c, "[^ACGTacgtN]", "N").alias(c)
+    qual = lambda c: F.regexp_replace(c, r"[\x00-\x20]", "~").alias(c)
+    rows = table(spark, sf, A.FRAGMENTS).select("sample_id", "fragment_key", read("r1_seq"), read("r2_seq"), qual("r1_qual"), qual("r2_qual"))
+    rows = settle(rows.repartition("fragment_key").sortWithinPartitions("sample_id", "fragment_key"))
     folder = _scratch(spark, "fastq")
     for mate in (1, 2):
-        seq = F.col(f"r{mate}_seq")
-        record = F.concat_ws(
-            "\n", F.concat(F.lit("@"), "fragment_key", F.lit(f"/{mate} extra")), seq, F.lit("+"), F.repeat(F.lit("I"), F.length(seq))
-        )
-        rows.select(record).write.text(f"{folder}/R{mate}")
-    part = lambda path: F.regexp_extract(path, r"part-(\d+)", 1)
-    fragments, _rejects = fastq.read_fastq_pairs(spark, f"{folder}/R1", f"{folder}/R2", sample=part)
-    return fragments.select("fragment_key", "r1_seq", "r2_seq")
+        record = F.concat_ws("\n", F.concat(F.lit("@"), "fragment_key", F.lit(f"/{mate} extra")), f"r{mate}_seq", F.lit("+"), f"r{mate}_qual")
+        rows.select("sample_id", record.alias("record")).write.partitionBy("sample_id").text(f"{folder}/R{mate}")
+    return folder
 
 
 _PANEL_CLEAN = "regexp_replace(sequence, '[^ACGTacgtN]', 'N', 'g')"

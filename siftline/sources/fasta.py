@@ -25,7 +25,7 @@ def read_fasta(spark: SparkSession, paths, layer: str, with_sequence: bool = Fal
     lines = fasta_lines(spark, paths)
     is_header = F.col("text").startswith(">")
     aggregates = [
-        F.max(F.when(is_header, F.trim(F.substring("text", 2, 1_000_000)))).alias("header"),
+        F.max(F.when(is_header, F.trim(F.substr("text", F.lit(2))))).alias("header"),
         F.coalesce(F.sum(F.when(~is_header, F.length("text"))), F.lit(0)).cast("bigint").alias("genome_length"),
         F.min("line_no").alias("line_no"),
     ]

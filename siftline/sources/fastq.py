@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import normalize_qname, sample_name
 from siftline.sources.lines import numbered_lines
+from siftline.tuning import broadcast_if_small
 
 # Accepted file endings by input kind.
 FASTQ_ENDINGS = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
@@ -23,32 +24,64 @@ def input_kind(paths) -> str:
     raise ValueError("give two paired FASTQ files or one record file")
 
 
-def read_fastq_pairs(spark: SparkSession, r1, r2, sample=sample_name) -> tuple[DataFrame, DataFrame]:
-    """(fragments, rejects) from R1 and R2 paths (one each, or lists of equal samples).
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, pattern or folder names, in order, as Spark reports them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    where = hadoop.Path(path)
+    store = where.getFileSystem(conf)
+    found = []
+    for status in store.globStatus(where) or ():
+        listed = store.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [x.getPath().toUri().toString() for x in listed if not x.isDirectory() and x.getPath().getName()[0] not in "_."]
+    if not found:
+        raise ValueError(f"no files at {path}")
+    return sorted(found)
+
+
+def paired_files(spark: SparkSession, r1, r2) -> DataFrame:
+    """(path, mate, pair, r1_path): files paired by their place in the two lists."""
+    listed = [[f for p in ([paths] if isinstance(paths, str) else paths) for f in _files(spark, str(p))] for paths in (r1, r2)]
+    if len(listed[0]) != len(listed[1]):
+        raise ValueError(f"{len(listed[0])} R1 files and {len(listed[1])} R2 files do not pair")
+    rows = [(f, mate, pair, listed[0][pair]) for mate, files in ((1, listed[0]), (2, listed[1])) for pair, f in enumerate(files)]
+    return spark.createDataFrame(rows, "path string, mate int, pair long, r1_path string")
+
 
-    ``sample`` turns a file path into the sample id; the default uses the file name.
+def _bare(path):
+    """A path whose scheme is spelled the same by all who report it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
-    Both files' lines meet in a single aggregation on (sample, ordinal). Gzip files
-    are read as one task each, as the format cannot be split.
+
+def read_fastq_pairs(spark: SparkSession, r1, r2, sample=sample_name) -> tuple[DataFrame, DataFrame]:
+    """(fragments, rejects) of R1 and R2 files, one path each or lists of equal length, paired by place.
+
+    ``sample`` turns the R1 path of a pair into the sample id; the default uses the file name. Several
+    pairs may share a sample: ``record_number`` goes by pair, then by place in the file. A record without any text at the end of
+    its files is no record; anywhere else it is a reject. All lines move once, to their
+    record. Gzip files are read as one task each, as the format cannot be split.
     """
-    side = lambda paths, mate: numbered_lines(spark, paths).withColumn("mate", F.lit(mate))
+    files = paired_files(spark, r1, r2)
+    paths = [r[0] for r in files.select("path").collect()]
     lines = (
-        side(r1, 1)
-        .unionByName(side(r2, 2))
+        numbered_lines(spark, paths)
+        .withColumn("path", _bare(F.col("path")))
+        .join(broadcast_if_small(files.withColumn("path", _bare(F.col("path")))), "path")
         .select(
-            sample(F.col("path")).alias("sample_id"),
-            "mate",
+            "pair",
+            sample(F.col("r1_path")).alias("sample_id"),
             F.floor(F.col("line_no") / 4).alias("ordinal"),
-            (F.col("line_no") % 4).alias("part"),
-            "line",
+            F.struct(((F.col("mate") - 1) * 4 + F.col("line_no") % 4).cast("int").alias("slot"), "line").alias("part"),
         )
     )
-    pick = lambda mate, part: F.max(F.when((F.col("mate") == mate) & (F.col("part") == part), F.col("line")))
-    names = {0: "head", 1: "seq", 2: "plus", 3: "qual"}
-    records = lines.groupBy("sample_id", "ordinal").agg(
-        *[pick(m, p).alias(f"r{m}_{name}") for m in (1, 2) for p, name in names.items()]
+    # Eight lines make a record.
+    records = lines.repartition("pair", "ordinal").groupBy("pair", "ordinal").agg(
+        F.any_value("sample_id").alias("sample_id"), F.collect_list("part").alias("parts")
     )
-    key = lambda m: normalize_qname(F.substring(f"r{m}_head", 2, 1_000_000))
+    names = [f"r{mate}_{part}" for mate in (1, 2) for part in ("head", "seq", "plus", "qual")]
+    slot = lambda i: F.get(F.filter("parts", lambda p: p["slot"] == i), F.lit(0))["line"]
+    records = records.select("pair", "ordinal", "sample_id", *(slot(i).alias(n) for i, n in enumerate(names)))
+    key = lambda m: normalize_qname(F.substr(f"r{m}_head", F.lit(2)))
     malformed = F.lit(False)
     for m in (1, 2):
         malformed = malformed | ~F.coalesce(
@@ -57,16 +90,16 @@ def read_fastq_pairs(spark: SparkSession, r1, r2, sample=sample_name) -> tuple[D
             & (F.length(f"r{m}_seq") == F.length(f"r{m}_qual")),
             F.lit(False),
         )
-    # Trailing blank lines do not make a record.
-    blank = lambda m: F.coalesce(F.trim(f"r{m}_head"), F.lit("")) == ""
+    empty = lambda columns: F.trim(F.concat_ws("", *columns)) == ""
+    blank = lambda m: empty(n for n in names if n.startswith(f"r{m}"))
     verdict = (
-        F.when(blank(1) & blank(2), "blank")
+        F.when(empty(names), "blank")
         .when(blank(1), "orphan_r2")
         .when(blank(2), "orphan_r1")
         .when(malformed, "malformed")
         .when(key(1) != key(2), "key_mismatch")
     )
-    judged = records.withColumn("problem", verdict).filter("problem IS NULL OR problem <> 'blank'")
+    judged = records.withColumn("problem", verdict)
     fragments = judged.filter("problem IS NULL").select(
         "sample_id",
         key(1).alias("fragment_key"),
@@ -74,10 +107,14 @@ def read_fastq_pairs(spark: SparkSession, r1, r2, sample=sample_name) -> tuple[D
         "r1_qual",
         "r2_seq",
         "r2_qual",
-        F.col("ordinal").alias("record_number"),
+        (F.shiftleft("pair", 40) + F.col("ordinal")).alias("record_number"),
     )
-    rejects = judged.filter("problem IS NOT NULL").select(
-        "sample_id", "ordinal", (F.col("ordinal") * 4 + 1).alias("line"), "problem", "r1_head", "r2_head"
+    ends = judged.filter("problem IS NULL OR problem <> 'blank'").groupBy("pair").agg(F.max("ordinal").alias("last"))
+    rejects = (
+        judged.filter("problem IS NOT NULL")
+        .join(ends, "pair", "left")
+        .filter("problem <> 'blank' OR ordinal < last")
+        .select("sample_id", "pair", "ordinal", (F.col("ordinal") * 4 + 1).alias("line"), "problem", "r1_head", "r2_head")
     )
     return fragments, rejects
 
@@ -103,8 +140,11 @@ def pair_mates(records: DataFrame, sort_order: str | None = None) -> tuple[DataF
         "seq",
         "qual",
     )
-    pairs = records.groupBy("sample_id", F.floor((F.col("record_number") - 1) / 2).alias("pair")).agg(
-        F.count(F.lit(1)).alias("mates"), F.min(mate).alias("a"), F.max(mate).alias("b")
+    # Each record moves once, to its pair.
+    keyed = records.withColumn("pair", F.floor((F.col("record_number") - 1) / 2)).repartition("sample_id", "pair")
+    gathered = keyed.groupBy("sample_id", "pair").agg(F.array_sort(F.collect_list(mate)).alias("all"))
+    pairs = gathered.select(
+        "sample_id", "pair", F.size("all").alias("mates"), F.col("all")[0].alias("a"), F.element_at("all", -1).alias("b")
     )
     problem = (
         F.when(F.col("mates") < 2, "orphan").when(F.col("mates") > 2, "repeated_record").when(

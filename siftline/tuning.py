@@ -1,4 +1,4 @@
-"""Join-size checks."""
+"""Join-size checks, and the shared folder."""
 
 import tempfile
 
@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting the rows of ``df`` and the bytes of its columns, spelled out as text.
 
-    The count stops at ``max_rows + 1``. Larger sides keep a shuffle join, which
+    The count stops at ``max_rows + 1``. A larger side keeps a shuffle join, which
     adaptive execution splits where a key is skewed.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    width = sum((F.coalesce(F.octet_length(df[c].cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    rows, size = df.select(width.alias("width")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def shared_folder(spark) -> str:
-    """The shared folder the session names.
-
-    A folder is chosen here only when the session has none, as in local tests.
-    """
+    """The shared folder that spark.checkpoint.dir names. Without one, only a local master gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -29,6 +29,32 @@ def test_fastq_pairs(spark, tmp_path):
     assert sorted((r.sample_id, r.ordinal, r.problem) for r in rejects.collect()) == [("s2", 1, "key_mismatch"), ("s2", 2, "orphan_r1")]
 
 
+def test_standard_names_and_equal_names_in_two_folders(spark, tmp_path):
+    """Files pair by place: lanes of one sample, and files of one name in two folders, keep all reads."""
+    lists = {1: [], 2: []}
+    for lane in ("x", "y"):
+        (tmp_path / lane).mkdir()
+        for mate in (1, 2):
+            path = tmp_path / lane / f"S1_L001_R{mate}_001.fastq"
+            path.write_text(fastq_text([f"{lane}1", f"{lane}2"], mate))
+            lists[mate].append(str(path))
+    fragments, rejects = fastq.read_fastq_pairs(spark, lists[1], lists[2])
+    rows = fragments.orderBy("record_number").collect()
+    assert [r.fragment_key for r in rows] == ["x1", "x2", "y1", "y2"] and rejects.count() == 0
+    assert len({(r.sample_id, r.record_number) for r in rows}) == 4 and len({r.sample_id for r in rows}) == 1
+    with pytest.raises(ValueError):
+        fastq.read_fastq_pairs(spark, lists[1], lists[2][:1])
+
+
+def test_blank_records(spark, tmp_path):
+    """Blank lines at the end are nothing; a blank record before other records is a reject, one with bases is malformed."""
+    for mate in (1, 2):
+        (tmp_path / f"b_R{mate}.fq").write_text(fastq_text(["a"], mate) + "\n\n\n\n" + f"\nACGT\n+\nIIII\n" + fastq_text(["c"], mate) + "\n\n\n\n\n\n")
+    fragments, rejects = fastq.read_fastq_pairs(spark, str(tmp_path / "b_R1.fq"), str(tmp_path / "b_R2.fq"))
+    assert sorted(r.fragment_key for r in fragments.collect()) == ["a", "c"]
+    assert sorted((r.ordinal, r.problem) for r in rejects.collect()) == [(1, "blank"), (2, "malformed")]
+
+
 def test_malformed_fastq(spark, tmp_path):
     (tmp_path / "m_R1.fq").write_text("@a/1\nACGT\n+\nIII\n")
     (tmp_path / "m_R2.fq").write_text("@a/2\nACGT\n+\nIIII\n")
