@@ -38,8 +38,11 @@ def _differs(name: str, left: Column, right: Column, a: str, b: str) -> Column:
     )
 
 
-def audit_completeness(files: DataFrame) -> DataFrame:
-    """Required legacy files, and canonical artifacts where any canonical path exists."""
+def audit_completeness(files: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """Required legacy files, and canonical artifacts where any canonical path exists.
+
+    ``bundles`` (sample_id) names the bundles to judge; one without any file misses all of them.
+    """
     canonical = [(path, kind) for _key, path, _alias, kind in L.ARTIFACT_CONTRACT]
     directories = [path for path, kind in canonical if kind == "directory"]
     path = F.col("path")
@@ -51,6 +54,9 @@ def audit_completeness(files: DataFrame) -> DataFrame:
         # At most one element per contract path.
         F.collect_set(F.when(F.col("entry").isin(*known), F.col("entry"))).alias("present")
     )
+    if bundles is not None:
+        named = bundles.select("sample_id").distinct().join(present, "sample_id", "left")
+        present = named.withColumn("present", F.coalesce("present", F.array().cast("array<string>")))
     missing = lambda names: F.array_except(F.array(*map(F.lit, names)), F.col("present"))
     names = [p for p, _ in canonical]
     has_canonical = F.arrays_overlap("present", F.array(*map(F.lit, names)))
@@ -146,6 +152,7 @@ def audit_aliases(files: DataFrame) -> DataFrame:
     for i, (label, legacy, path, kind) in enumerate(_ALIAS_PAIRS):
         a, b = F.col(f"f{2 * i}"), F.col(f"f{2 * i + 1}")
         missing = a.isNull() | b.isNull()
+        # A null is a document that cannot be read: it agrees with nothing.
         same = F.coalesce(canonical(a, kind) == canonical(b, kind), F.lit(False))
         status = F.when(missing, "skip").when(same, "pass").otherwise("fail")
         detail = (
@@ -212,10 +219,11 @@ def audit_bindings(summary: DataFrame, manifest: DataFrame, bundle_version: str
     s = summary.select("sample_id", *[F.col(f).alias(f"s_{f}") for f in fields])
     m = manifest.select("sample_id", *[F.col(f).alias(f"m_{f}") for f in fields])
     both = s.join(m, "sample_id")
+    absent = [F.when(F.col(f"s_{f}").isNull() & F.col(f"m_{f}").isNull(), f"{f} is missing from both") for f in fields]
     out = _from_problems(
         both,
         "report bundle bindings",
-        F.array(*[_differs(f, F.col(f"s_{f}"), F.col(f"m_{f}"), "sample_summary", "run_manifest") for f in fields]),
+        F.array(*[_differs(f, F.col(f"s_{f}"), F.col(f"m_{f}"), "sample_summary", "run_manifest") for f in fields], *absent),
         "sample summary and run manifest agree",
     )
     if bundle_version is not None:
@@ -258,10 +266,12 @@ def _offenders(rows: DataFrame, check: Column, offender: Column) -> DataFrame:
 
 
 def audit_ci_labels(calls: DataFrame) -> DataFrame:
-    """Interval bounds in order, and exactly one correct sampling-only label."""
+    """Readable interval bounds in order, and exactly one correct sampling-only label."""
     found = F.filter("decision_reasons", lambda r: r.startswith(L.CI_REASON_PREFIX))
     problem = (
-        F.when(F.col("fraction_ci_95_low") > F.col("fraction_ci_95_high"), "has invalid fraction_ci_95 bounds")
+        F.when(F.col("decision_reasons").isNull(), "has unreadable decision_reasons")
+        .when(F.col("fraction_ci_95_low").isNull() | F.col("fraction_ci_95_high").isNull(), "has an unreadable fraction_ci_95")
+        .when(F.col("fraction_ci_95_low") > F.col("fraction_ci_95_high"), "has invalid fraction_ci_95 bounds")
         .when(F.size(found) == 0, "is missing the sampling-only label")
         .when(F.size(found) > 1, "must carry exactly one interval label")
         .when(found[0] != L.CI_REASON_PREFIX + L.CI_LABEL, "carries another interval label")
@@ -275,7 +285,7 @@ def audit_resolution(calls: DataFrame, artifact_level: str = "artifact_level") -
     expected, level = F.col(artifact_level), F.col("aggregation_level")
     resolution, algorithm = F.col("accession_resolution"), F.col("nonoverlap_fragments_algorithm")
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
-    legal = F.when(expected == "group", resolution == "not_applicable").otherwise(
+    legal = F.when(expected == "group", F.coalesce(resolution, F.lit("")) == "not_applicable").otherwise(
         resolution.isin("high", "low_resolution", "unresolved")
     )
     problem = (
@@ -293,8 +303,9 @@ def audit_facts(summary: DataFrame, manifest: DataFrame, rounds: DataFrame, samp
     """Round counts and the facts repeated in the summary documents.
 
     ``sample_run`` repeats summary columns; ``overview`` has sample and run facts as
-    flat columns.
+    flat columns. Where they have ``own_sample_id``, the sample a document says it is of, it must be the bundle's.
     """
+    named = lambda df: [F.col("own_sample_id").alias("o_sample_id")] if "own_sample_id" in df.columns else [F.col("sample_id").alias("o_sample_id")]
     counted = rounds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("round_rows"))
     base = summary.join(counted, "sample_id", "left").withColumn("round_rows", F.coalesce("round_rows", F.lit(0)))
     facts = _from_problems(
@@ -304,8 +315,8 @@ def audit_facts(summary: DataFrame, manifest: DataFrame, rounds: DataFrame, samp
         "round rows match rounds_run",
     )
     repeated = ("decision_status", "release_status", "stop_reason", "input_fragments", "qc_passing_fragments", "sampled_fragments")
-    run = sample_run.select("sample_id", *[F.col(c).alias(f"o_{c}") for c in (*repeated, "rounds_run")])
-    pairs = [(c, F.col(c), F.col(f"o_{c}")) for c in repeated] + [("rounds_run", F.col("round_rows"), F.col("o_rounds_run"))]
+    run = sample_run.select("sample_id", *named(sample_run), *[F.col(c).alias(f"o_{c}") for c in (*repeated, "rounds_run")])
+    pairs = [(c, F.col(c), F.col(f"o_{c}")) for c in ("sample_id", *repeated)] + [("rounds_run", F.col("round_rows"), F.col("o_rounds_run"))]
     facts = facts.unionByName(
         _from_problems(
             base.join(run, "sample_id"),
@@ -316,13 +327,13 @@ def audit_facts(summary: DataFrame, manifest: DataFrame, rounds: DataFrame, samp
     )
     of_summary = ("decision_status", "release_status")
     of_manifest = ("reference_bundle_version", "calibration_profile_version", "backend", "sampling_mode", "negative_control_status")
-    seen = overview.select("sample_id", *[F.col(c).alias(f"o_{c}") for c in (*of_summary, *of_manifest)])
+    seen = overview.select("sample_id", *named(overview), *[F.col(c).alias(f"o_{c}") for c in (*of_summary, *of_manifest)])
     joined = summary.select("sample_id", *of_summary).join(manifest.select("sample_id", *of_manifest), "sample_id").join(seen, "sample_id")
     return facts.unionByName(
         _from_problems(
             joined,
             "canonical result overview facts",
-            F.array(*[_differs(c, F.col(c), F.col(f"o_{c}"), "source", "overview") for c in (*of_summary, *of_manifest)]),
+            F.array(*[_differs(c, F.col(c), F.col(f"o_{c}"), "source", "overview") for c in ("sample_id", *of_summary, *of_manifest)]),
             "result overview agrees",
         )
     )
@@ -369,6 +380,21 @@ def audit_release(runs: DataFrame) -> DataFrame:
     return compliance.unionByName(artifact)
 
 
+def audit_readable(parts: DataFrame) -> DataFrame:
+    """Every document and table that is there can be read: sample_id, path, problem (null if it can)."""
+    return _offenders(
+        parts, F.lit("readable documents"), F.when(F.col("problem").isNotNull(), F.concat(F.lit("`"), "path", F.lit("` "), "problem"))
+    )
+
+
+def with_skips(checks: DataFrame, bundles: DataFrame, names) -> DataFrame:
+    """``checks``, and a skip for each named check that a bundle has no row of."""
+    every = bundles.select("sample_id", F.explode(F.array(*map(F.lit, names))).alias("check"))
+    gaps = every.join(checks, ["sample_id", "check"], "left_anti")
+    skipped = gaps.select("sample_id", *_row("", F.lit("skip"), F.lit("it depends on a document that is missing or unreadable"))[1:], "check")
+    return checks.select(*OUTPUT).unionByName(skipped.select(*OUTPUT))
+
+
 def audit_verdict(checks: DataFrame) -> DataFrame:
     """Pass unless a check failed; lines rendered in check order (a few dozen per sample)."""
     line = F.concat(F.lit("["), F.upper("status"), F.lit("] "), "check", F.lit(": "), "detail")

@@ -19,7 +19,7 @@ RUN_MANIFEST = (
     "negative_control STRUCT<required: BOOLEAN, status: STRING, control_id: STRING, control_status: STRING>"
 )
 OVERVIEW = (
-    "sample STRUCT<decision_status: STRING, release_status: STRING>, run STRUCT<reference_bundle_version: STRING, "
+    "sample STRUCT<sample_id: STRING, decision_status: STRING, release_status: STRING>, run STRUCT<reference_bundle_version: STRING, "
     "calibration_profile_version: STRING, backend: STRING, sampling_mode: STRING, negative_control_status: STRING>"
 )
 SCHEMAS = "report_bundle_schema STRING, canonical_outputs MAP<STRING, STRING>, legacy_outputs MAP<STRING, STRING>"
@@ -27,10 +27,13 @@ GATE = "status STRING, primary_blockers ARRAY<STRING>, secondary_blockers ARRAY<
 
 
 def _document(files: DataFrame, path: str, schema: str) -> DataFrame:
-    rows = files.filter(F.col("path") == path)
+    """The readable documents at ``path``, one row a bundle; ``own_sample_id`` is the sample that the document names."""
+    rows = files.filter((F.col("path") == path) & F.try_parse_json("content").isNotNull())
     parsed = F.from_json("content", schema, {"mode": "PERMISSIVE"})
+    fields = [c.split()[0] for c in _fields(schema)]
+    own = [F.col("d.sample_id").alias("own_sample_id")] if "sample_id" in fields else []
     return rows.select(F.col("sample_id").alias("bundle_id"), parsed.alias("d")).filter("d IS NOT NULL").select(
-        F.col("bundle_id").alias("sample_id"), *[F.col(f"d.{c.split()[0]}") for c in _fields(schema) if c.split()[0] != "sample_id"]
+        F.col("bundle_id").alias("sample_id"), *own, *[F.col(f"d.{c}") for c in fields if c != "sample_id"]
     )
 
 
@@ -44,25 +47,26 @@ def _fields(schema: str) -> list[str]:
     return out
 
 
-def _table(files: DataFrame, path: str, columns: int) -> DataFrame:
-    """TSV rows as arrays of cells; quoted cells keep their doubled quotes undone."""
+def _table(files: DataFrame, path: str) -> DataFrame:
+    """All TSV rows as arrays of cells, whatever their number; quoted cells keep their doubled quotes undone."""
     rows = files.filter(F.col("path") == path).select("sample_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     unquote = lambda c: F.when(
         c.startswith('"') & c.endswith('"'),
         F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
     ).otherwise(c)
     cells = F.transform(F.split("line", "\t"), unquote)
-    return rows.filter("n > 0 AND line <> ''").select("sample_id", cells.alias("cells")).filter(F.size("cells") == columns)
+    return rows.filter("n > 0 AND line <> ''").select("sample_id", "n", cells.alias("cells"))
 
 
 def _calls(files: DataFrame, path: str, level: str) -> DataFrame:
+    """Call rows; a row that is too short has null cells, and so offends in the checks of calls."""
     from siftline.labels import CANDIDATE_CALLS_HEADER as H
 
-    cell = lambda name: F.col("cells")[H.index(name)]
+    cell = lambda name: F.get("cells", F.lit(H.index(name)))
     interval = F.from_json(cell("fraction_ci_95"), "ARRAY<DOUBLE>")
-    return _table(files, path, len(H)).select(
+    return _table(files, path).select(
         "sample_id",
-        cell("accession_or_group").alias("accession_or_group"),
+        F.coalesce(cell("accession_or_group"), F.format_string("line %d", F.col("n") + 1)).alias("accession_or_group"),
         cell("aggregation_level").alias("aggregation_level"),
         cell("accession_resolution").alias("accession_resolution"),
         cell("nonoverlap_fragments_algorithm").alias("nonoverlap_fragments_algorithm"),
@@ -73,10 +77,42 @@ def _calls(files: DataFrame, path: str, level: str) -> DataFrame:
     )
 
 
-def audit_bundles(files: DataFrame, bundle_version: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
+def _readability(files: DataFrame) -> DataFrame:
+    """(sample_id, path, problem) of every document, and of every row of a table."""
+    from siftline import labels as L
+
+    widths = {
+        "candidate_calls.tsv": len(L.CANDIDATE_CALLS_HEADER), "results/candidate_calls.accession.tsv": len(L.CANDIDATE_CALLS_HEADER),
+        "results/detection_calls.group.tsv": len(L.CANDIDATE_CALLS_HEADER), "rounds.tsv": len(L.ROUNDS_HEADER),
+        "results/sampling_rounds.tsv": len(L.ROUNDS_HEADER), "summary/virus_summary.tsv": len(L.VIRUS_SUMMARY_HEADER),
+    }
+    documents = files.filter(F.col("path").endswith(".json")).select(
+        "sample_id", "path", F.when(F.try_parse_json("content").isNull(), "is not JSON").alias("problem")
+    )
+    lines = files.filter(F.col("path").isin(*widths)).select("sample_id", "path", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    wanted = F.element_at(F.create_map(*(F.lit(x) for pair in widths.items() for x in pair)), F.col("path"))
+    cells = F.size(F.split("line", "\t"))
+    rows = lines.filter("line <> '' OR n = 0").select(
+        "sample_id", "path",
+        F.when(cells != wanted, F.format_string("line %d has %d cells of %d", F.col("n") + 1, cells, wanted)).alias("problem"),
+    )
+    return documents.unionByName(rows)
+
+
+# Checks that read documents: a bundle whose documents are missing or unreadable gets a skip.
+DEPENDENT = (
+    "schema metadata contract", "report bundle bindings", "rounds.tsv", "canonical sample summary facts",
+    "canonical result overview facts", "candidate CI labeling", "detection_calls.group.tsv", "candidate_calls.accession.tsv",
+)
+
+
+def audit_bundles(
+    files: DataFrame, bundle_version: str | None = None, profiles: DataFrame | None = None, bundles: DataFrame | None = None
+) -> DataFrame:
     """Every check of every bundle, as (sample_id, check, status, detail).
 
-    ``files``: sample_id, path, content. ``profiles`` (sample_id, profile_id,
+    ``files``: sample_id, path, content. ``bundles`` (sample_id) names the bundles to judge, also those without
+    files; it defaults to those that have some. ``profiles`` (sample_id, profile_id,
     reference_bundle, profile_backend, profile_status, profile_sampling_mode,
     profile_control_required, gates) enables the profile binding and the release
     recomputation; without it those checks are skipped.
@@ -85,9 +121,12 @@ def audit_bundles(files: DataFrame, bundle_version: str | None = None, profiles:
     manifest = _document(files, "provenance/run_manifest.json", RUN_MANIFEST).withColumn(
         "negative_control_status", F.col("negative_control.status")
     )
-    overview = _document(files, "summary/result_overview.json", OVERVIEW).select("sample_id", "sample.*", "run.*")
+    overview = _document(files, "summary/result_overview.json", OVERVIEW).select(
+        "sample_id", F.col("sample.sample_id").alias("own_sample_id"), "sample.decision_status", "sample.release_status", "run.*"
+    )
     sample_run = _document(files, "summary/sample_run_summary.json", SUMMARY)
-    rounds = _table(files, "results/sampling_rounds.tsv", 3)
+    rounds = _table(files, "results/sampling_rounds.tsv")
+    bundles = (files if bundles is None else bundles).select("sample_id").distinct()
     calls = _calls(files, "results/candidate_calls.accession.tsv", "accession")
     groups = _calls(files, "results/detection_calls.group.tsv", "group")
     headers = files.filter(F.col("path").rlike("^(results|summary)/.*[.]tsv$")).select(
@@ -96,7 +135,8 @@ def audit_bundles(files: DataFrame, bundle_version: str | None = None, profiles:
         F.substring_index("content", "\n", 1).alias("header"),
     )
     checks = [
-        audit.audit_completeness(files),
+        audit.audit_completeness(files, bundles),
+        audit.audit_readable(_readability(files)),
         audit.audit_schema(_document(files, "audit/schema_versions.json", SCHEMAS)),
         audit.audit_headers(headers),
         audit.audit_aliases(files),
@@ -120,4 +160,4 @@ def audit_bundles(files: DataFrame, bundle_version: str | None = None, profiles:
     out = checks[0].select(*audit.OUTPUT)
     for check in checks[1:]:
         out = out.unionByName(check.select(*audit.OUTPUT))
-    return out
+    return audit.with_skips(out, bundles, DEPENDENT)

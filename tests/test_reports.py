@@ -100,11 +100,17 @@ TAMPERING = [
     ("audit/schema_versions.json", lambda c: F.replace(c, F.lit("v4"), F.lit("v3")), {"schema metadata contract"}),
     ("results/candidate_calls.accession.tsv", lambda c: F.replace(c, F.lit("fraction_ci_95_label="), F.lit("other=")), {"candidate CI labeling", "dual-layout candidate TSV"}),
     ("summary/virus_summary.tsv", lambda c: F.concat(F.lit("x"), c), {"table headers"}),
+    ("summary/sample_run_summary.json", lambda c: F.regexp_replace(c, '"sample_id":"A"', '"sample_id":"B"'), {"canonical sample summary facts"}),
+    ("summary/result_overview.json", lambda c: F.regexp_replace(c, '"sample_id":"A"', '"sample_id":"B"'), {"canonical result overview facts"}),
+    ("summary/virus_summary.tsv", lambda c: F.concat(c, F.lit("1\ttwo cells\n")), {"readable documents"}),
+    ("results/candidate_calls.accession.tsv", lambda c: F.concat(c, F.lit("x\ty\n")), {"readable documents", "candidate CI labeling", "candidate_calls.accession.tsv"}),
+    ("results/candidate_calls.accession.tsv", lambda c: F.regexp_replace(c, "\\[[0-9.eE-]+,[0-9.eE-]+\\]", "none"), {"candidate CI labeling"}),
+    ("sample_summary.json", lambda c: F.concat(F.lit("{"), c), {"readable documents"}),
     ("checksum.sha256", lambda c: F.concat(c, F.lit("zz  nowhere\n")), {"checksum.sha256", "dual-layout checksum inventory"}),
 ]
 
 
-@pytest.mark.parametrize("path,change,expected", TAMPERING, ids=[t[0] for t in TAMPERING])
+@pytest.mark.parametrize("path,change,expected", TAMPERING, ids=[f"{i}-{t[0]}" for i, t in enumerate(TAMPERING)])
 def test_tampering_is_found(spark, bundle, path, change, expected):
     victim = (F.col("sample_id") == "A") & (F.col("path") == path)
     tampered = bundle.withColumn("content", F.when(victim, change(F.col("content"))).otherwise(F.col("content")))
@@ -113,6 +119,21 @@ def test_tampering_is_found(spark, bundle, path, change, expected):
     assert expected <= {c for _, c in found}
 
 
+def test_unreadable_documents_do_not_agree(spark, bundle):
+    victims = (F.col("sample_id") == "A") & F.col("path").isin("sample_summary.json", "run_manifest.json", "provenance/run_manifest.json")
+    broken = bundle.withColumn("content", F.when(victims, "not json").otherwise(F.col("content")))
+    found = {(r["check"]): r.status for r in audit_bundles(broken, "bundle-1").filter("sample_id = 'A'").collect()}
+    assert found["readable documents"] == "fail" and found["dual-layout run manifest"] == "fail"
+    assert found["report bundle bindings"] == "skip" and found["canonical sample summary facts"] == "skip"
+
+
+def test_bundle_without_files_fails(spark, bundle):
+    named = bundle.select("sample_id").distinct().unionByName(spark.createDataFrame([("gone",)], "sample_id STRING"))
+    rows = audit_bundles(bundle, "bundle-1", bundles=named).filter("sample_id = 'gone'").collect()
+    assert {r["check"] for r in rows if r.status == "fail"} == {"report bundle completeness"}
+    assert {r.status for r in rows} == {"fail", "skip"}
+
+
 def test_missing_file_is_found(spark, bundle):
     found = failures(bundle.filter(~((F.col("sample_id") == "N") & (F.col("path") == "rounds.tsv"))))
     assert ("N", "report bundle completeness") in found and ("N", "checksum.sha256") in found
