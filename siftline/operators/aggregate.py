@@ -4,8 +4,8 @@ Interval results are computed once per (sample, round, contig): a contig belongs
 to one accession and one group, so both levels are sums over contigs. Before any
 list is built, intervals are reduced map-side to the furthest end per start (all a
 union needs) and the latest start per end (all earliest-end scheduling needs), so
-lists hold at most one entry per contig position and round, however many fragments
-pile up on a contig.
+lists hold at most one entry per contig position and entry round, however many
+fragments pile up on a contig. Rounds are told apart on these lists.
 """
 
 from __future__ import annotations
@@ -158,20 +158,22 @@ def cumulative_rounds(reduced: DataFrame, rounds: int, samples: DataFrame | None
             "CAST(NULL AS BIGINT) AS pos", "0L AS n", "CAST(NULL AS BIGINT) AS val",
         )
         reduced = reduced.unionByName(empty)
-    kind, n = F.col("kind"), F.col("n")
-    points = lambda name: F.sort_array(F.collect_list(F.when(kind == name, F.struct("pos", "val"))))
-    total = lambda name: F.coalesce(F.sum(F.when(kind == name, n)), F.lit(0))
-    grouped = (
-        reduced.withColumn("round", F.explode(F.sequence("entry_round", F.lit(rounds))))
-        .groupBy("sample_id", "round", "contig")
-        .agg(
-            total("s").alias("sampled"),
-            total("v").alias("accepted"),
-            total("a").alias("ambiguous_accession"),
-            total("b").alias("ambiguous_group"),
-            points("u").alias("starts"),
-            points("g").alias("ends"),
-        )
+    kind = F.col("kind")
+    points = lambda name: F.sort_array(F.collect_list(F.when(kind == name, F.struct("pos", "val", "entry_round"))))
+    counts = F.collect_list(F.when(F.col("pos").isNull(), F.struct("entry_round", "kind", "n")))
+    # Evidence moves once, to its contig; rounds multiply contigs, not evidence.
+    gathered = reduced.groupBy("sample_id", "contig").agg(
+        counts.alias("counts"), points("u").alias("all_starts"), points("g").alias("all_ends"), F.min("entry_round").alias("first")
+    )
+    looks = gathered.withColumn("round", F.explode(F.sequence("first", F.lit(rounds))))
+    entered = lambda rows: F.filter(rows, lambda x: x["entry_round"] <= F.col("round"))
+    zero = F.lit(0).cast("bigint")
+    total = lambda name: F.aggregate("counts", zero, lambda acc, x: acc + F.when((x["kind"] == name) & (x["entry_round"] <= F.col("round")), x["n"]).otherwise(0))
+    grouped = looks.select(
+        "sample_id", "round", "contig",
+        total("s").alias("sampled"), total("v").alias("accepted"),
+        total("a").alias("ambiguous_accession"), total("b").alias("ambiguous_group"),
+        entered(F.col("all_starts")).alias("starts"), entered(F.col("all_ends")).alias("ends"),
     )
     return grouped.withColumn("union", merged_coverage(F.col("starts"))).select(
         "sample_id",

@@ -1,8 +1,8 @@
 """Alignment hits: contig classes, manifest join, per-contig aggregates, best hits.
 
-Every argmax is ``min(struct)``, ordered so that the smallest struct wins. Such
-aggregates combine map-side, so a fragment or contig that holds a large share of
-the mappings is collapsed before it is shuffled.
+Every argmax is ``min(struct)``, ordered so that the smallest struct wins. A fragment
+has few mappings on a contig, so mappings are not combined before they move: one
+exchange by fragment serves the per-contig and the per-fragment aggregates.
 """
 
 from __future__ import annotations
@@ -95,9 +95,12 @@ def _mapping_order() -> Column:
 def aggregate_hits(hits: DataFrame, carry=()) -> DataFrame:
     """One row per (sample, fragment, contig) with per-mate evidence and the best mapping.
 
-    ``carry`` columns are constant per fragment. The manifest joins afterwards, on
-    fewer rows, so that mappings shuffle without its columns.
+    ``carry`` columns are constant per fragment. Mappings move once, to their fragment;
+    every later step of a fragment finds them together. The manifest joins afterwards,
+    on fewer rows, so that mappings move without its columns.
     """
+    used = ("contig", "mate", "mapq", "as_score", "nm", "is_primary", "is_supplementary", "segment_id", "target_start", "target_end")
+    hits = hits.select("sample_id", "fragment_key", *carry, *used).repartition("sample_id", "fragment_key")
     mate1, mate2 = F.col("mate") == 1, F.col("mate") == 2
     valid = (F.col("target_start") >= 0) & (F.col("target_end") >= F.col("target_start"))
     start, end = F.min(F.when(valid, F.col("target_start"))), F.max(F.when(valid, F.col("target_end")))
