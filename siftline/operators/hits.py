@@ -76,6 +76,19 @@ def unknown_contig_hits(hits: DataFrame, classified: DataFrame) -> DataFrame:
     return hits.join(classified.select("contig"), "contig", "left_anti")
 
 
+def rejected_hits(hits: DataFrame, classified: DataFrame) -> DataFrame:
+    """(sample_id, contig, problem, hits) of hits that no usable contig takes.
+
+    ``classified`` has every contig with its ``violation``; a contig of another name is ``unknown_contig``.
+    """
+    contigs = classified.groupBy("contig").agg(F.max("violation").alias("violation"), F.lit(True).alias("_known"))
+    counted = hits.filter("contig IS NOT NULL").groupBy("sample_id", "contig").agg(F.count(F.lit(1)).alias("hits"))
+    problem = F.when(F.col("_known").isNull(), "unknown_contig").otherwise(F.col("violation"))
+    return counted.join(contigs, "contig", "left").withColumn("problem", problem).filter("problem IS NOT NULL").select(
+        "sample_id", "contig", "problem", "hits"
+    )
+
+
 def _mapping_order() -> Column:
     """Preference among mappings; the smallest struct is the best mapping."""
     return F.struct(

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 FAILED_PROFILE = "benchmark_failed"
 
 
-def release_blockers() -> tuple[Column, Column]:
-    """(primary, secondary) blocker arrays."""
+def release_blockers(rejects: bool = False) -> tuple[Column, Column]:
+    """(primary, secondary) blocker arrays; with ``rejects``, runs whose ``rejected_hits`` is positive are blocked."""
     gates = F.col("gates")
     failed = lambda name: F.coalesce(gates[f"{name}_gate"]["status"] == "fail", F.lit(False))
     primary = F.array_compact(
@@ -20,6 +20,7 @@ def release_blockers() -> tuple[Column, Column]:
             F.when(F.lower(F.trim("profile_status")) == FAILED_PROFILE, "benchmark_failed_profile"),
             F.when(F.col("negative_control_status") == "fail", "failed_negative_control"),
             F.when(gates.isNull(), "missing_calibration_release_gate"),
+            *([F.when(F.col("rejected_hits") > 0, "rejected_hits")] if rejects else []),
             *[
                 F.when(failed(name), f"{name}_gate_failed")
                 for name in ("backend", "reference", "specificity", "sensitivity")
@@ -37,7 +38,7 @@ def release_status(runs: DataFrame) -> DataFrame:
 
     A weak positive may not be released as final.
     """
-    primary, secondary = release_blockers()
+    primary, secondary = release_blockers("rejected_hits" in runs.columns)
     marked = runs.withColumns({"release_primary_blockers": primary, "release_secondary_blockers": secondary})
     status = (
         F.when(F.size("release_primary_blockers") > 0, "blocked")

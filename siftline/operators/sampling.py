@@ -223,6 +223,25 @@ def round_plan_report(rounds: DataFrame) -> DataFrame:
     )
 
 
+def absolute_plan_report(totals: DataFrame, rounds) -> DataFrame:
+    """The same row per sample for a plan of absolute rounds: what was asked for and what a sample can give."""
+    n = F.col("qc_passing_fragments").cast("bigint")
+    return totals.select(
+        "sample_id",
+        F.lit("absolute").alias("round_mode"),
+        F.array(*[F.lit(r).cast("bigint") for r in rounds]).alias("requested_rounds"),
+        prefix_sizes(rounds, n).alias("effective_counts"),
+        n.alias("qc_passing_denominator"),
+    )
+
+
+def plan_report(totals: DataFrame, plan: SamplingPlan) -> DataFrame:
+    """The sampling accounting of every sample (sample_id, qc_passing_fragments), for either kind of plan."""
+    if plan.proportional:
+        return round_plan_report(resolve_rounds(totals, plan.proportions, plan.allow_threshold_override))
+    return absolute_plan_report(totals, plan.rounds)
+
+
 def qc_baseline(looks: DataFrame) -> DataFrame:
     """Running maximum of each QC counter across re-opened looks; a shrinking total is flagged."""
     history = Window.partitionBy("sample_id").orderBy("round")

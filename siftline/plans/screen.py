@@ -62,12 +62,17 @@ def evaluated_looks(calls: DataFrame, profile: Profile, sample_controls=None, ba
 
 @dataclass(frozen=True)
 class Screening:
+    """``contig_violations`` and ``rejected_hits`` are what the panel could not take, ``round_plan`` the sampling accounting."""
+
     evaluated: DataFrame
     looks: DataFrame
     final_calls: DataFrame
     decisions: DataFrame
     rounds: DataFrame
     runs: DataFrame
+    contig_violations: DataFrame
+    rejected_hits: DataFrame
+    round_plan: DataFrame
 
 
 def sample_fragments(fragments: DataFrame, profile: Profile, order_col: str = "record_number") -> DataFrame:
@@ -89,19 +94,29 @@ def screen(
 ) -> Screening:
     """Reads and hits of a cohort to decisions and release statuses.
 
-    ``sample_controls`` and ``background`` come from the control operators; ``gates``
-    is the one-row calibration gate table.
+    ``sample_controls`` and ``background`` come from the control operators; ``gates`` has
+    the calibration gates of the profile, in one row, or one row for each ``profile_id``.
+    Reads are read and judged once; what follows works on their keys and verdicts. A sample
+    with hits that no usable contig takes is blocked from release.
     """
-    stats = qc.qc_stats(qc.qc_verdict(fragments, profile.qc))
-    passing = qc.qc_passing(fragments, profile.qc).drop("r1_seq", "r1_qual", "r2_seq", "r2_qual")
+    judged = settle(
+        qc.qc_verdict(fragments, profile.qc).select("sample_id", "fragment_key", "record_number", F.struct("qc.reason").alias("qc"))
+    )
+    stats = settle(qc.qc_stats(judged))
+    passing = judged.filter("qc.reason = 'pass'").drop("qc")
     sampled = sample_fragments(passing, profile)
-    calls = look_calls(mappings, manifest, sampled, profile, samples=fragments.select("sample_id"))
+    calls = look_calls(mappings, manifest, sampled, profile, samples=stats.select("sample_id"))
     # A few rows per sample, candidate and look; several outputs read it.
     evaluated = settle(evaluated_looks(calls, profile, sample_controls, background))
     looks = decision.decide(evaluated, profile.sampling.look_count, profile.decision)
     decisions = decision.sample_decisions(looks)
     runs = summary.run_summary(decisions, stats, profile.run, profile.sampling)
+    contigs = hits.classify_contigs(manifest)
+    rejected = settle(hits.rejected_hits(mappings, contigs))
+    counts = rejected.groupBy("sample_id").agg(F.sum("hits").alias("rejected_hits"))
+    runs = runs.join(counts, "sample_id", "left").withColumn("rejected_hits", F.coalesce("rejected_hits", F.lit(0)))
     runs = attach_release_inputs(runs, profile, sample_controls, gates)
+    totals = stats.select("sample_id", F.col("passed_fragments").alias("qc_passing_fragments"))
     return Screening(
         evaluated=evaluated,
         looks=looks,
@@ -109,11 +124,17 @@ def screen(
         decisions=decisions,
         rounds=decision.round_records(looks),
         runs=release.release_status(runs),
+        contig_violations=contigs.filter("violation IS NOT NULL"),
+        rejected_hits=rejected,
+        round_plan=sampling.plan_report(totals, profile.sampling),
     )
 
 
 def attach_release_inputs(runs: DataFrame, profile: Profile, sample_controls=None, gates=None) -> DataFrame:
-    """Add control status and calibration gates to run rows."""
+    """Add control status and calibration gates to run rows.
+
+    ``gates`` describes calibration profiles, not samples; the profile of the run must have one row there.
+    """
     if sample_controls is None:
         runs = runs.withColumns(
             {
@@ -132,6 +153,10 @@ def attach_release_inputs(runs: DataFrame, profile: Profile, sample_controls=Non
         from siftline.schema import GATES
 
         return runs.withColumn("gates", F.lit(None).cast(f"struct<{GATES}>"))
-    names = ("backend_gate", "reference_gate", "specificity_gate", "sensitivity_gate")
-    one = gates.select(F.lit(1).alias("_one"), F.struct(*names).alias("gates")).limit(1)
-    return runs.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "left").drop("_one")
+    if "profile_id" in gates.columns:
+        gates = gates.filter(F.col("profile_id") == profile.run.calibration_profile_version)
+    one = gates.select(F.struct("backend_gate", "reference_gate", "specificity_gate", "sensitivity_gate").alias("gates"))
+    texts = one.select(F.to_json("gates")).take(2)
+    if len(texts) != 1:
+        raise ValueError(f"calibration profile {profile.run.calibration_profile_version} has {'several rows' if texts else 'no row'} of gates")
+    return runs.withColumn("gates", F.from_json(F.lit(texts[0][0]), one.schema["gates"].dataType))

@@ -251,6 +251,21 @@ def test_screen_end_to_end(spark):
     assert runs["clean"].release_status == "blocked"
     assert runs["clean"].release_primary_blockers == ["missing_calibration_release_gate"]
     assert {r.sample_id for r in result.final_calls.collect()} == {"titer"}
+    assert result.contig_violations.count() == 0 and result.rejected_hits.count() == 0
+    plan = {r.sample_id: r for r in result.round_plan.collect()}["clean"]
+    assert (plan.round_mode, plan.requested_rounds, plan.effective_counts, plan.qc_passing_denominator) == ("absolute", [50, 100], [50, 100], 180)
+    # Hits on a contig that stands twice, or not at all, are reported and block their sample.
+    twice = panel(spark).unionByName(panel(spark).filter("contig = 'va'"))
+    stray = rows + pair("clean0", "nowhere", sample="clean")
+    bad = screen.screen(fragments, table(spark, stray), twice, profile)
+    assert {(r.sample_id, r.contig, r.problem, r.hits) for r in bad.rejected_hits.collect()} == {("titer", "va", "duplicate_contig", 134), ("clean", "nowhere", "unknown_contig", 2)}
+    assert {r.contig for r in bad.contig_violations.collect()} == {"va"}
+    assert all("rejected_hits" in r.release_primary_blockers for r in bad.runs.collect())
+    gates = spark.createDataFrame([("profile-1", "pass"), ("profile-2", "fail")], "profile_id STRING, status STRING").select("profile_id", *(F.struct("status").alias(f"{g}_gate") for g in ("backend", "reference", "specificity", "sensitivity")))
+    passed = {r.sample_id: r for r in screen.screen(fragments, table(spark, rows), panel(spark), profile, gates=gates).runs.collect()}
+    assert passed["clean"].release_status == "final"
+    with pytest.raises(ValueError):
+        screen.attach_release_inputs(result.runs.drop("gates", "negative_control_status", "control_id", "control_status", "negative_control_required"), profile, gates=gates.drop("profile_id"))
     streaming = Profile(sampling=SamplingPlan(mode="streaming", rounds=(50, 100)))
     live = {r.sample_id: r for r in screen.screen(fragments, table(spark, rows), panel(spark), streaming).runs.collect()}
     assert live["titer"].decision_status == "positive"
