@@ -330,6 +330,20 @@ def round_plan_reports(spark, sf):
     )
 
 
+@query(
+    "absolute_round_plans",
+    f"""SELECT sample_id, 'absolute' AS round_mode, '{",".join(map(str, PLAN.rounds))}' AS requested_rounds,
+        concat_ws(',', {", ".join(f"least({r}, n)" for r in PLAN.rounds)}) AS effective_counts, n AS qc_passing_denominator
+        FROM (SELECT sample_id, count(*) AS n FROM ({A.plain_sql(A.HIT_FRAGMENTS)}) f GROUP BY 1) g""",
+)
+def absolute_round_plans(spark, sf):
+    totals = table(spark, sf, A.HIT_FRAGMENTS).groupBy("sample_id").agg(F.count(F.lit(1)).alias("qc_passing_fragments"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return sampling.plan_report(totals, PLAN).select(
+        "sample_id", "round_mode", joined("requested_rounds"), joined("effective_counts"), "qc_passing_denominator"
+    )
+
+
 # ---- hits --------------------------------------------------------------------------
 
 
@@ -370,6 +384,16 @@ def unknown_contig_hits(spark, sf):
     )
 
 
+@query(
+    "rejected_hits",
+    f"""SELECT h.sample_id, h.contig, CASE WHEN m.contig IS NULL THEN 'unknown_contig' ELSE m.violation END AS problem, count(*) AS hits
+        FROM ({A.plain_sql(A.HITS)}) h LEFT JOIN (SELECT contig, max(violation) AS violation FROM ({O._classified(A.CONFLICTED_MANIFEST)}) c GROUP BY contig) m ON h.contig = m.contig
+        WHERE m.contig IS NULL OR m.violation IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def rejected_hits(spark, sf):
+    return hits.rejected_hits(table(spark, sf, A.HITS), hits.classify_contigs(table(spark, sf, A.CONFLICTED_MANIFEST)))
+
+
 @query(
     "contig_hit_aggregates",
     O.whole(
