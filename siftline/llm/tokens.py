@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 
 from siftline.llm.shared import ragged, strings
 
-# Cached pieces before the cache starts anew, and pieces that are encoded in one call.
-CACHE_MOST, AT_ONCE = 600_000, 2_000
-# Bytes of texts that are cut into pieces at once.
-BYTES_AT_ONCE = 1 << 21
-# Stands alone between pieces that are encoded together; pieces that hold it are encoded alone.
-BETWEEN = "~"
-_TAIL = frozenset(".,!?;:|")
-# Words that the normalizer leaves as they are and the pre-tokenizer leaves whole.
-_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+# Cached pieces before the cache starts anew.
+CACHE_MOST = 1_000_000
+# Bytes of texts that are encoded together where offsets are kept.
+BYTES_AT_ONCE = 1 << 20
+# Lower-case pieces that the normalizer leaves as they are, and the units that the pre-tokenizer makes of them: runs of letters,
+# single digits, runs of marks. Pieces with an apostrophe (contractions) or with other characters go to the library whole.
+_LETTERS, _MARKS = "a-z\u00df-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+").fullmatch
+_UNITS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+").findall
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,8 +33,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Ids of whole texts from a tokenizer that drops white space, so that texts fall into pieces at blanks and line ends.
+class Encoder(dict):
+    """Ids of whole texts from a tokenizer that lowers case and drops white space, so that texts fall into pieces at blanks and line ends.
 
     Each distinct piece is encoded once by the library and its ids kept; the ids of a text are its pieces' ids in order,
     the same as the library gives for the whole text.
@@ -43,71 +44,51 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.largest = self.tokenizer.get_vocab_size(with_added_tokens=True) - 1
         self.kind = np.dtype("<u2" if self.largest < 1 << 16 else "<u4")
-        self._letters = byte_letters()
-        self._between = self._alone(BETWEEN)
-        self._pieces: dict[str, bytes] = {"": b""}
-        self._cores: dict[str, bytes] = {}
-
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _core(self, piece: str) -> tuple[str, str]:
-        """A piece without a mark that ends it, in lower case where that is plain ASCII; the tokenizer does the same."""
-        tail = ""
-        if piece[-1] in _TAIL and len(piece) > 1 and piece[-2].isalpha():
-            piece, tail = piece[:-1], piece[-1]
-        return (piece.lower() if piece.isascii() else piece), tail
-
-    def _learn(self, missing: set[str]) -> None:
-        cut, together, model = {}, [], self.tokenizer.model
-        for piece in missing:
-            if "<|" in piece or BETWEEN in piece:
-                self._pieces[piece] = self._alone(piece)
-                continue
-            cut[piece] = core, tail = self._core(piece)
-            for x in (core, tail):
-                if x and x not in self._cores:
-                    if _PLAIN(x):
-                        letters = x if x.isascii() else x.encode().decode("latin-1").translate(self._letters)
-                        self._cores[x] = np.array([t.id for t in model.tokenize(letters)], self.kind).tobytes()
-                    else:
-                        self._cores[x] = b""
-                        together.append(x)
-        size, between = self.kind.itemsize, np.frombuffer(self._between, self.kind)[0]
-        for at in range(0, len(together), AT_ONCE):
-            some = together[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(some), add_special_tokens=False).ids, self.kind)
-            marks = np.flatnonzero(ids == between)
-            raw = ids.tobytes()
-            for x, a, b in zip(some, [0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)], strict=True):
-                self._cores[x] = raw[a:b]
-        for piece, (core, tail) in cut.items():
-            self._pieces[piece] = self._cores[core] + (self._cores[tail] if tail else b"")
+        self._code = "H" if self.kind.itemsize == 2 else "I"
+        self._model, self._letters = self.tokenizer.model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        lower = piece.lower() if _in_latin(piece) else piece
+        if not piece:
+            ids = b""
+        elif "<|" in piece or not _PLAIN(lower):
+            ids = array(self._code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        elif len(units := _UNITS(lower)) > 1:
+            ids = b"".join([self[u] for u in units])
+        elif lower != piece:
+            ids = self[lower]
+        else:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+            ids = array(self._code, [t.id for t in self._model.tokenize(letters)]).tobytes()
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each UTF-8 text."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            stop, held = at, 0
-            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= BYTES_AT_ONCE):
-                held += len(texts[stop])
-                stop += 1
-            cut = [text.decode("utf-8", "replace").replace("\n", " ").split(" ") for text in texts[at:stop]]
-            if len(self._pieces) > CACHE_MOST:
-                self._pieces, self._cores = {"": b""}, {}
-            missing = set().union(*cut).difference(self._pieces)
-            if missing:
-                self._learn(missing)
-            known = self._pieces
-            out += [b"".join([known[p] for p in pieces]) for pieces in cut]
-            at = stop
+        out = []
+        for raw in texts:
+            if len(self) > CACHE_MOST:
+                self.clear()
+            text = raw.decode("utf-8", "replace").replace("\n", " ")
+            if "<|" not in text and _in_latin(text):
+                text = text.lower()
+            out.append(b"".join(map(self.__getitem__, text.split(" "))))
         return out
 
 
+def _in_latin(text: str) -> bool:
+    """Only Latin-1: there lower case goes letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The encoder of a worker process, whose cache outlives a task."""
@@ -200,7 +181,7 @@ def attributed(
             at = 0
             while at < len(texts):
                 stop, held = at, 0
-                while stop < len(texts) and (stop == at or held < BYTES_AT_ONCE // 2):
+                while stop < len(texts) and (stop == at or held < BYTES_AT_ONCE):
                     held += sum(map(len, texts[stop]))
                     stop += 1
                 rows, section, names, spans, counts, crossing = [], [], [], [], [], []
