@@ -18,6 +18,9 @@ INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 # Fixed value: score contributed by a mate without an alignment score.
 MISSING_MATE_SCORE = -(2**31) // 4
 
+# Positions of a piece of a sequence.
+PIECE = 512
+
 TARGET_COLUMNS = ("accession", "group", "taxid", "virus_name", "genome_length")
 
 
@@ -250,12 +253,17 @@ def secondary_hits(attached: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def _exploded_seeds(rows: DataFrame, seq: str, k: int, pos: str) -> DataFrame:
-    """One row per position; the substring is taken after the explode, inside generated code."""
+    """One row per position, by way of pieces that overlap by k - 1: no array is as long as a
+    contig, and the substring is taken inside a piece."""
     last = F.length(seq) - k
     return (
         rows.filter(last >= 0)
-        .withColumn(pos, F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("kmer", F.substring(F.col(seq), F.col(pos) + 1, F.lit(k)))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0), last, F.lit(PIECE))))
+        .withColumn("_piece", F.substring(F.col(seq), F.col("_from") + 1, F.lit(PIECE + k - 1)))
+        .withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("_piece") - k)))
+        .withColumn(pos, F.col("_from") + F.col("_at"))
+        .withColumn("kmer", F.substring(F.col("_piece"), F.col("_at") + 1, F.lit(k)))
+        .drop("_from", "_piece", "_at")
     )
 
 

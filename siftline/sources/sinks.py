@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +13,10 @@ from siftline import labels as L
 from siftline.functions.text import sanitize_component
 
 
-def _tsv(df: DataFrame, path: str, columns) -> None:
-    df.select("sample_id", *columns).write.mode("overwrite").partitionBy("sample_id").option("sep", "\t").option(
+def _tsv(df: DataFrame, path: str, columns, order=()) -> None:
+    """One file a sample, its rows in order: a sample has no more rows than its panel and looks."""
+    ordered = df.repartition("sample_id").sortWithinPartitions("sample_id", *order)
+    ordered.select("sample_id", *columns).write.mode("overwrite").partitionBy("sample_id").option("sep", "\t").option(
         "header", True
     ).option("escape", '"').csv(path)
 
@@ -27,7 +33,7 @@ def calls_table(calls: DataFrame) -> DataFrame:
 
 
 def write_calls(calls: DataFrame, path: str) -> None:
-    _tsv(calls_table(calls), path, L.CANDIDATE_CALLS_HEADER)
+    _tsv(calls_table(calls), path, L.CANDIDATE_CALLS_HEADER, ("aggregation_level", "accession_or_group"))
 
 
 def rounds_table(rounds: DataFrame) -> DataFrame:
@@ -35,8 +41,7 @@ def rounds_table(rounds: DataFrame) -> DataFrame:
 
 
 def write_rounds(rounds: DataFrame, path: str) -> None:
-    ordered = rounds_table(rounds).sortWithinPartitions("sample_id", "round")
-    _tsv(ordered, path, L.ROUNDS_HEADER)
+    _tsv(rounds_table(rounds), path, L.ROUNDS_HEADER, ("round",))
 
 
 def virus_summary_table(summary: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def virus_summary_table(summary: DataFrame) -> DataFrame:
 
 
 def write_virus_summary(summary: DataFrame, path: str) -> None:
-    _tsv(virus_summary_table(summary).sortWithinPartitions("sample_id", "rank"), path, L.VIRUS_SUMMARY_HEADER)
+    _tsv(virus_summary_table(summary), path, L.VIRUS_SUMMARY_HEADER, ("rank",))
 
 
 def coverage_index(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,6 +77,7 @@ def coverage_index(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, duplicates
 
 
+# The fields of the run summary document.
 SUMMARY_FIELDS = (
     "sample_id",
     "reference_bundle_version",
@@ -227,11 +233,13 @@ def bundle_files(runs: DataFrame, calls: DataFrame, rounds: DataFrame, summary:
     summary_text = runs.select("sample_id").join(
         _tsv_text(virus_summary_table(summary), L.VIRUS_SUMMARY_HEADER, ("rank",)), "sample_id", "left"
     ).withColumn("content", F.coalesce("content", F.lit(header_only(L.VIRUS_SUMMARY_HEADER))))
-    coverage, _duplicates = coverage_index(calls)
+    coverage, duplicates = coverage_index(calls)
+    if clashes := duplicates.take(3):
+        raise ValueError("candidates share an evidence file: " + ", ".join(f"{r.sample_id}/{r.file_name}" for r in clashes))
     evidence = coverage.select(
         "sample_id", F.concat(F.lit("evidence/positive_candidate_coverage/"), "file_name").alias("path"), "content"
     )
-    marker = runs.select("sample_id", F.lit("evidence/positive_candidate_coverage/.keep").alias("path"), F.lit("").alias("content"))
+    marker = runs.select("sample_id", F.lit(MARKER).alias("path"), F.lit("").alias("content"))
     files = (
         run_documents(runs, calls, summaries, tops)
         .unionByName(at(calls_text("accession"), "candidate_calls.tsv", "results/candidate_calls.accession.tsv"))
@@ -259,10 +267,17 @@ def checksum_text(files: DataFrame) -> DataFrame:
     )
 
 
+def _relative(root: str):
+    """The path of a file below ``root``, however its scheme is spelled."""
+    bare = lambda path: F.regexp_replace(path, r"^file:/+", "/")
+    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    return F.regexp_replace(bare(F.col("path")), "^.*?" + _quote(base) + "/", "")
+
+
 def checksum_inventory(spark, root: str) -> DataFrame:
     """SHA-256 of every file under ``root``, by relative path, checksum files excluded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^.*?" + _quote(root.rstrip("/")) + "/", "")
+    relative = _relative(root)
     return (
         files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
         .filter(~F.element_at(F.split("path", "/"), -1).isin("checksum.sha256"))
@@ -279,12 +294,58 @@ def write_documents(files: DataFrame, path: str) -> None:
     files.write.mode("overwrite").partitionBy("sample_id").parquet(path)
 
 
+def write_bundles(files: DataFrame, root: str) -> int:
+    """Write (sample_id, path, content) rows as files ``root/<sample>/<path>``; the number of files written.
+
+    ``root`` must be a folder that all executors share. A file is moved into place when whole, so a task that runs again
+    leaves the same files.
+    """
+
+    def batches(tables):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in tables:
+            for sample, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                place = f"{base}/{sample}/{path}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                fresh = f"{base}/{sample}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(fresh) as out:
+                    out.write((content or "").encode())
+                store.move(fresh, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("sample_id", "path", "content").mapInArrow(batches, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+# Fixed value: the marker that keeps an evidence folder without evidence.
+MARKER = "evidence/positive_candidate_coverage/.keep"
+
+
 def read_bundles(spark, root: str) -> DataFrame:
-    """Report bundles laid out as ``root/<sample>/<path>`` files, as (sample_id, path, content)."""
+    """Report bundles laid out as ``root/<sample>/<path>`` files, as (sample_id, path, content).
+
+    Spark's readers pass over names that begin with a dot; the marker is looked for in each bundle.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^.*?" + _quote(root.rstrip("/")) + "/", "")
-    return files.select(relative.alias("p"), F.col("content").cast("string").alias("content")).select(
+    found = files.select(_relative(root).alias("p"), F.col("content").cast("string").alias("content")).select(
         F.substring_index("p", "/", 1).alias("sample_id"),
         F.regexp_replace("p", "^[^/]+/", "").alias("path"),
         "content",
     )
+
+    def markers(tables):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in tables:
+            rows = []
+            for sample in batch.column(0).to_pylist():
+                if store.get_file_info(f"{base}/{sample}/{MARKER}").type == fs.FileType.File:
+                    with store.open_input_stream(f"{base}/{sample}/{MARKER}") as marker:
+                        rows.append((sample, MARKER, marker.read().decode("utf-8", "replace")))
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["sample_id", "path", "content"])
+
+    samples = found.select("sample_id").distinct()
+    return found.unionByName(samples.mapInArrow(markers, "sample_id string, path string, content string"))

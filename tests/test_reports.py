@@ -151,6 +151,15 @@ def test_release_recomputation(spark, bundle):
     assert ("A", "release_gate artifact blockers") in failures(forged, profiles=profiles)
 
 
+def test_bundles_as_folders(spark, bundle, tmp_path):
+    root = str(tmp_path / "bundles")
+    assert sinks.write_bundles(bundle, root) == bundle.count()
+    as_set = lambda df: {tuple(r) for r in df.select("sample_id", "path", "content").collect()}
+    assert as_set(sinks.read_bundles(spark, root)) == as_set(bundle)
+    twice = spark.createDataFrame([("s", n, "positive", ["aggregation_level=accession"]) for n in ("a b", "a/b")], "sample_id STRING, accession_or_group STRING, decision STRING, decision_reasons ARRAY<STRING>")
+    assert sinks.coverage_index(twice)[1].first().copies == 2
+
+
 def test_table_sinks_round_trip(spark, sf_dir, tmp_path):
     rows = settle(R.final_calls(spark, sf_dir, reasons=True))
     sinks.write_calls(rows, str(tmp_path / "calls"))
