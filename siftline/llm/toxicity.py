@@ -31,6 +31,8 @@ BEGINNINGS = (4, 5)
 # Where all labels are positive, the share of toxic texts must be assumed.
 PRIOR = 0.1
 REJECTED = 0.7
+# Texts whose words are looked up at once.
+ROWS_AT_ONCE = 256
 
 _MODEL = "bag int, words array<long>, weights array<double>, bias double"
 
@@ -132,22 +134,26 @@ def scored(docs: DataFrame, model: list[tuple], text_col: str = "text", name: st
     docs = docs.drop(name)
     columns = docs.columns
 
+    def scores(lists: pa.ListArray) -> np.ndarray:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.zeros(len(sizes))
+        for words, weights, bias in model:
+            f = np.full(len(sizes), bias)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+                hit = words[at] == flat
+                f += np.bincount(rows[hit], weights[at[hit]], minlength=len(sizes))
+            total += 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        return total / len(model)
+
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             lists = batch.column(len(columns))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.zeros(len(sizes))
-            for words, weights, bias in model:
-                f = np.full(len(sizes), bias)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-                    hit = words[at] == flat
-                    f += np.bincount(rows[hit], weights[at[hit]], minlength=len(sizes))
-                total += 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+            found = [scores(lists.slice(i, ROWS_AT_ONCE)) for i in range(0, len(lists), ROWS_AT_ONCE)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(columns))), pa.array(total / len(model))], names=[*columns, name]
+                [*(batch.column(i) for i in range(len(columns))), pa.array(np.concatenate([np.zeros(0), *found]))], names=[*columns, name]
             )
 
     with_words = docs.withColumn("_toxicity_words", word_hashes(F.col(text_col)))
