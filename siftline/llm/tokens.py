@@ -139,7 +139,7 @@ def field_sections(texts: list[str], gap: int) -> tuple[list[int], np.ndarray]:
         if number + 1 < len(texts):
             parts = [(0, len(text))]
         else:
-            ends = [-1, *(i for i, c in enumerate(text) if c == "\n"), len(text)]
+            ends = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
             parts = [(a + 1, b) for a, b in zip(ends, ends[1:])]
         for a, b in parts:
             if a < b:
@@ -149,14 +149,77 @@ def field_sections(texts: list[str], gap: int) -> tuple[list[int], np.ndarray]:
     return fields, np.array(spans, np.int64).reshape(-1, 2)
 
 
-@lru_cache(maxsize=1)
-def offset_tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+# White space of plain texts, how a byte-level pre-tokenizer cuts texts around it, and white space that is not plain.
+_BLANK = r" \t\n\x0b\x0c\r"
+_CUTS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+").findall
+_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+# Pieces of Latin-1 letters, digits and ASCII marks, and the units that the pre-tokenizer makes of them. Apostrophes (contractions) and other
+# characters go to the library.
+_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(f" ?[{_LATIN}0-9{_MARKS}]+").fullmatch
+_SIMPLE_UNITS = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+").findall
+
+
+class OffsetEncoder(dict):
+    """Places of the tokens of whole texts, from a byte-level tokenizer.
+
+    Its pre-tokenizer never joins what stands before a blank with what stands after, so a text is the sequence of its
+    words with the blank before each; each distinct one is encoded once by the library and its places kept.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self._model, self._letters = self.tokenizer.model, byte_letters()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    def __missing__(self, piece: str) -> bytes:
+        places = array("i")
+        if not _SIMPLE(piece):
+            for a, b in self.tokenizer.encode(piece, add_special_tokens=False).offsets:
+                places.extend((a, b))
+        elif len(units := _SIMPLE_UNITS(piece)) > 1:
+            at = 0
+            for unit in units:
+                own = array("i", self[unit])
+                places.extend([x + at for x in own] if at else own)
+                at += len(unit)
+        else:
+            # A token's letters are bytes; a character of two bytes counts for each token that holds one of them.
+            letters = piece.encode().decode("latin-1").translate(self._letters)
+            of_byte = None if len(letters) == len(piece) else [i for i, c in enumerate(piece) for _ in range(1 + (c > "\x7f"))]
+            at = 0
+            for token in self._model.tokenize(letters):
+                end = at + len(token.value)
+                places.extend((at, end) if of_byte is None else (of_byte[at], of_byte[end - 1] + 1))
+                at = end
+        found = self[piece] = places.tobytes()
+        return found
+
+    def offsets(self, text: str) -> np.ndarray:
+        """(start, end) of each token, in code points."""
+        if _ODD_BLANK(text):
+            return self.whole(text)
+        if len(self) > CACHE_MOST:
+            self.clear()
+        pieces = _CUTS(text)
+        known = list(map(self.__getitem__, pieces))
+        places = np.frombuffer(b"".join(known), np.int32).reshape(-1, 2).astype(np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = np.fromiter(map(len, known), np.int64, len(known)) // 8
+        return places + np.repeat(np.cumsum(sizes) - sizes, tokens)[:, None]
+
+
+@lru_cache(maxsize=1)
+def offset_encoder(path: str) -> OffsetEncoder:
+    """The encoder of a worker process, whose cache outlives a task."""
+    return OffsetEncoder(path)
 
 
 def attributed(
@@ -175,7 +238,7 @@ def attributed(
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, section int, field string, start long, end long, tokens double, crossing long"
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = offset_tokenizer(tokenizer)
+        encoder = offset_encoder(tokenizer)
         for batch in tables:
             texts = [[t.decode("utf-8", "replace") for t in row] for row in zip(*(strings(batch.column(i + 1)) for i in range(len(fields))))]
             at = 0
@@ -186,8 +249,7 @@ def attributed(
                     stop += 1
                 rows, section, names, spans, counts, crossing = [], [], [], [], [], []
                 for row in range(at, stop):
-                    (encoded,) = encoder.encode_batch([gap.join(texts[row])], add_special_tokens=False)
-                    tokens = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+                    tokens = encoder.offsets(gap.join(texts[row]))
                     numbers, own = field_sections(texts[row], len(gap))
                     inside, edges, outside = allotted(tokens, own, rule)
                     rows += [row] * (len(own) + 1)

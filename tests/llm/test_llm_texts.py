@@ -21,6 +21,13 @@ def test_encoder_is_the_library():
     assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])] == want
 
 
+def test_offsets_are_the_library():
+    rng = random.Random(3)
+    encoder = tokens.OffsetEncoder(BYTES)
+    texts = ["", " ", "a  b\n\n c\t d", "don't <|endoftext|> É\u2019s 12 34", "x" * 3000] + ["".join(rng.choices("ab Éçªß÷ µ' \n\t12.,!#\U0001f600\xa0\x1c<|>", k=rng.randint(0, 40))) for _ in range(4000)]
+    assert all((encoder.offsets(t) == encoder.whole(t)).all() and len(encoder.offsets(t)) == len(encoder.whole(t)) for t in texts)
+
+
 def naive_allotment(spans, sections, rule):
     counts, outside = [0.0] * len(sections), 0
     for s, e in spans:
@@ -52,7 +59,7 @@ def test_allotment_rules():
 def test_attribution_sums_to_the_document(documents, odd_rows):
     docs = documents(odd_rows)
     found = tokens.attributed(docs, BYTES)
-    tokenizer = tokens.offset_tokenizer(BYTES)
+    tokenizer = tokens.offset_encoder(BYTES).tokenizer
     want = sorted(len(tokenizer.encode(f"{s or ''} en {t or ''}", add_special_tokens=False).ids) for _i, t, s in odd_rows)
     counted = found.groupBy("doc_id").agg(F.sum("tokens").alias("n"))
     assert counted.agg(F.sum("n")).first()[0] == sum(want)
