@@ -21,6 +21,8 @@ from siftline.llm.shared import strings
 WINDOW = 10
 # Words of items in one automaton, and so in one broadcast; more items make more automata, and documents meet each in turn.
 AUTOMATON_WORDS = 200_000
+# Bytes of documents that meet several automata in turn; each automaton is built once for so many.
+BLOCK_BYTES = 32 << 20
 # A document whose words are hit in at least this share goes; else its hit spans go.
 COVERAGE = 0.5
 
@@ -187,73 +189,98 @@ def automaton(group: tuple[tuple[str, bytes], ...], window: int) -> Automaton:
     return _built[key]
 
 
+def blocks(tables: Iterator[pa.RecordBatch], groups: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that meet the automata together; with one automaton, each batch alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in tables:
+        held.append(batch)
+        if groups < 2 or sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def found_in(texts: list[bytes], groups: list, window: int) -> tuple[list[np.ndarray], list[set[str]]]:
+    """Hit words and found items of each text, over the items of all groups; one automaton is held at a time."""
+    hits: list[np.ndarray] = []
+    names: list[set[str]] = [set() for _ in texts]
+    for turn, group in enumerate(groups):
+        machine = automaton(group.value, window)
+        for i, text in enumerate(texts):
+            hit, numbers = machine.match(words_of(text))
+            if turn:
+                hits[i] |= hit
+            else:
+                hits.append(hit)
+            names[i].update(machine.names[n] for n in numbers)
+        # The next one is built after this one has gone.
+        machine = None
+    return hits, names
+
+
 def matches(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_hit, n_items, items array) of each row; null and empty texts have no words.
 
-    One pass over the texts for each group of items; a pass holds one automaton and adds to the hits of those before.
+    One pass over the texts: each block of them meets the automata of all groups in turn.
     """
-    kind = dict(docs.dtypes)[id_col]
-    found = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"),
-        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
-    )
-    schema = f"id {kind}, text string, hits binary, n_words long, n_hit long, items array<string>"
-    spark = docs.sparkSession.sparkContext
-
-    def one_pass(shared):
-        def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tables:
-                machine = automaton(shared.value, window)
-                marks, sizes, counts, names = [], [], [], []
-                for text, before, known in zip(strings(batch.column(1)), batch.column(2).to_pylist(), batch.column(5).to_pylist()):
-                    words = words_of(text)
-                    hit, numbers = machine.match(words)
-                    if before is not None:
-                        hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool)
-                    marks.append(np.packbits(hit).tobytes())
-                    sizes.append(len(words))
-                    counts.append(int(hit.sum()))
-                    names.append(sorted({*known, *(machine.names[n] for n in numbers)}))
+    groups = [docs.sparkSession.sparkContext.broadcast(g) for g in items.groups]
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(tables, len(groups)):
+            old = [t for batch in block for t in strings(batch.column(1))]
+            hits, names = found_in(old, groups, window)
+            at = 0
+            for batch in block:
+                own = slice(at, at + len(batch))
+                at += len(batch)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()),
-                        pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.string())),
+                        batch.column(0), pa.array([len(h) for h in hits[own]], pa.int64()), pa.array([int(h.sum()) for h in hits[own]], pa.int64()),
+                        pa.array([len(n) for n in names[own]], pa.int64()), pa.array([sorted(n) for n in names[own]], pa.list_(pa.string())),
                     ],
-                    names=["id", "text", "hits", "n_words", "n_hit", "items"],
+                    names=[id_col, "n_words", "n_hit", "n_items", "items"],
                 )
 
-        return batches
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_hit long, n_items long, items array<string>"
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(batches, schema)
+
 
-    for group in items.groups:
-        found = found.mapInArrow(one_pass(spark.broadcast(group)), schema)
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+def cut(text: bytes, hit: np.ndarray) -> bytes:
+    """``text`` without its hit words, each run of them replaced by a line end."""
+    # Byte spans of the words, from the edges of runs that are not blank.
+    solid = np.concatenate(([0], (np.frombuffer(text.translate(_WORDS), np.uint8) != 32).view(np.int8), [0]))
+    edges = np.flatnonzero(np.diff(solid))
+    starts, stops = edges[::2], edges[1::2]
+    turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    parts, at = [], 0
+    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
+        parts += (text[at : starts[a]], b"\n")
+        at = int(stops[b - 1])
+    return b"".join([*parts, text[at:]])
 
 
-def cleaned(text: bytes, machine: Automaton, coverage: float) -> bytes | None:
-    """``text`` without its hit spans, each replaced by a line end; None where the hit share reaches ``coverage``.
+def cleaned(texts: list[bytes], groups: list, window: int, coverage: float) -> list[bytes | None]:
+    """Each text without what items of any group hit; None where the share of all hit words reaches ``coverage``.
 
-    What stands left and right of a gap may match across it, so the scan repeats until nothing is hit.
+    What stands left and right of a gap may match across it, with items of any group, so the scan of all groups
+    repeats until nothing is hit.
     """
-    first = True
-    while True:
-        plain = text.translate(_WORDS)
-        words = [w for w in plain.split(b" ") if w]
-        hit, _numbers = machine.match(words)
-        if not hit.any():
-            return text
-        if first and hit.mean() >= coverage:
-            return None
-        first = False
-        # Byte spans of the words, from the edges of runs that are not blank.
-        solid = np.concatenate(([0], (np.frombuffer(plain, np.uint8) != 32).view(np.int8), [0]))
-        edges = np.flatnonzero(np.diff(solid))
-        starts, stops = edges[::2], edges[1::2]
-        turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        parts, at = [], 0
-        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
-            parts += (text[at : starts[a]], b"\n")
-            at = int(stops[b - 1])
-        text = b"".join([*parts, text[at:]])
+    out: list[bytes | None] = list(texts)
+    left, first = list(range(len(texts))), True
+    while left:
+        hits, _names = found_in([out[i] for i in left], groups, window)
+        again = []
+        for i, hit in zip(left, hits):
+            if not hit.any():
+                continue
+            if first and hit.mean() >= coverage:
+                out[i] = None
+            else:
+                out[i] = cut(out[i], hit)
+                again.append(i)
+        left, first = again, False
+    return out
 
 
 def decontaminate(
@@ -262,17 +289,20 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with the words of every occurring window cut out; documents that are hit in ``coverage`` of their words go.
 
-    Null and empty texts stay as they are. ``chars_col``, where there is one, becomes the length of the new text.
+    Null and empty texts stay as they are. ``chars_col``, where there is one, becomes the length of the new text. How
+    the items are grouped has no part in the result.
     """
-
-    def one_pass(shared):
-        def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tables:
-                machine = automaton(shared.value, window)
+    groups = [docs.sparkSession.sparkContext.broadcast(g) for g in items.groups]
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(tables, len(groups)):
+            cleaned_texts = cleaned([t for batch in block for t in strings(batch.column(text_col))], groups, window, coverage)
+            at = 0
+            for batch in block:
+                new = cleaned_texts[at : at + len(batch)]
+                at += len(batch)
                 texts = batch.column(text_col)
-                known = texts.is_valid().to_pylist()
-                old = strings(texts)
-                new = [cleaned(t, machine, coverage) for t in old]
+                known, old = texts.is_valid().to_pylist(), strings(texts)
                 columns = {name: batch.column(name) for name in batch.schema.names}
                 as_text = [t.decode("utf-8", "replace") if t is not None and k else None for t, k in zip(new, known)]
                 columns[text_col] = pa.array(as_text, pa.string())
@@ -284,8 +314,4 @@ def decontaminate(
                 kept = pa.array([t is not None for t in new])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(kept)
 
-        return batches
-
-    for group in items.groups:
-        docs = docs.mapInArrow(one_pass(docs.sparkSession.sparkContext.broadcast(group)), docs.schema)
-    return docs
+    return docs.mapInArrow(batches, docs.schema)

@@ -146,6 +146,25 @@ def test_cut_texts_hold_no_window(spark, documents):
     assert decontaminate.matches(spark.createDataFrame([tuple(r)[:2] for r in left.values()], "doc_id long, text string"), items).filter("n_hit > 0").count() == 0
 
 
+def test_groups_of_items_cut_as_one(spark, documents, monkeypatch):
+    words = lambda letter, a, b: " ".join(f"{letter}{i}" for i in range(a, b))
+    # Each item is a group of its own: 'q' is hit alone in 40%, 'r' in 20% of the first document.
+    rows = [("1", words("q", 0, 20)), ("2", words("r", 0, 10)), ("3", words("s", 0, 10))]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    one, many = decontaminate.bounded_items(items), decontaminate.bounded_items(items, most=5)
+    # The cut of 's' joins the halves of 'q', the cut of which joins the halves of 's'.
+    nested = f"{words('s', 0, 5)} {words('q', 0, 5)} {words('s', 0, 10)} {words('q', 5, 12)} {words('s', 5, 10)}"
+    docs = documents([
+        (1, f"{words('q', 0, 20)} {words('x', 0, 20)} {words('r', 0, 10)}"), (2, f"{nested} {words('x', 0, 60)}"), (3, words("x", 0, 9)), (4, None), (5, "")
+    ])
+    got = []
+    for size in (32 << 20, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size, raising=False)
+        got += [sorted((r.doc_id, r.text, r.n_chars) for r in decontaminate.decontaminate(docs, i).collect()) for i in (one, many)]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert [r[0] for r in got[0]] == [2, 3, 4, 5] and got[0][0][1].split() == words("x", 0, 60).split()
+
+
 def naive_top(rows, asked, k):
     out = []
     for q, v in asked:
