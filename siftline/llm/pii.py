@@ -13,6 +13,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,23 @@ TITLES = {
     "señor": "m", "señora": "f", "sr": "m", "sra": "f", "don": "m", "doña": "f",
     "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f", "κύριος": "m", "κυρία": "f",
 }
+# Titles that stand inside a run of titles or behind a name; "don" may be a given name there.
+_NESTED = frozenset(TITLES) - {"don"}
+# Small words inside a name, which stay; the name goes on after them.
+PARTICLES = (
+    "af", "al", "av", "bin", "d", "da", "dal", "das", "de", "degli", "dei", "del", "dell", "della", "den", "der", "des", "di", "do", "dos", "du", "e", "el",
+    "ibn", "l", "la", "las", "le", "los", "ten", "ter", "van", "vom", "von", "y", "zu", "zum", "zur", "фон", "де", "ван",
+)
+# Words that begin sentences. As a name they are one only after a title, not where they stand alone.
+COMMON = frozenset(
+    "a after all an and as at but by for from he her here his how i if in is it its my no not of on one or our she so that the their then there these they "
+    "this those to was we what when where which while who why with yes you your "
+    "aber als am an auch auf aus bei da das dann der die ein eine er es hier ich ihr im in ist mit nach sein sie so um und uns von wenn wer wie wir zu "
+    "au aux avec ce ces dans de des du elle en est et il ils je la le les mais ne nous on ou où par pour que qui sa se si son sur tu un une vous "
+    "al como con cuando de del el ella ellos en es la las lo los no o para pero por que se si su un una y yo "
+    "а без был в все вот вы где для до его ее если и из или как к когда мы на не но о он она они от по с так то у что это я "
+    "η και ο οι σε στη στο τα τη την της το τον του".split()
+)
 # Syllables of surrogate names by script, and how names of a gender end.
 SYLLABLES = {
     "latin": ("ba", "be", "co", "da", "de", "fa", "ge", "jo", "ka", "la", "le", "li", "ma", "mi", "na", "no", "pe", "ra", "ro", "sa", "se", "ta", "ti", "vi"),
@@ -50,13 +68,20 @@ PATTERNS = {
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,5}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    # A title; the capitalised words that follow it, three at most, are the name.
+    # A title; the capitalised words and initials that follow it, over particles, are the name.
     "name": rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.?(?=[ \u00a0])",
 }
 KINDS = tuple(PATTERNS)
 _COMPILED = {kind: re.compile(p, re.IGNORECASE if kind == "name" else 0) for kind, p in PATTERNS.items()}
 
-_NEXT_WORD = re.compile(rf"[ \u00a0]+({_NAME})")
+_INITIALS = r"[^\W\d_]\.(?:-?[^\W\d_]\.)*"
+_SMALL = "|".join(sorted(PARTICLES, key=len, reverse=True))
+_NEXT_PART, _AFTER_INITIALS = (
+    re.compile(rf"(?:[ \u00a0]+(?:{_SMALL})(?=[ \u00a0]))*[ \u00a0]{many}(?:(?:{_SMALL})[-'’](?=[^\W\d_]))?(?:(?P<initials>{_INITIALS})|(?P<word>{_NAME}))")
+    for many in "+*"
+)
+_POSSESSIVE = re.compile(r"['’][sS]\Z")
+_ALONE, _PIECE = re.compile(rf"(?<!\w){_NAME}(?!\w)"), re.compile(r"[^\W\d_]+")
 
 Entity = tuple[str, str, str]
 
@@ -81,32 +106,78 @@ def script_of(word: str) -> str:
 
 
 def entities_in(text: str) -> list[tuple[int, int, Entity]]:
-    """(start, end, entity) by place. Where kinds overlap the one listed first in PATTERNS stays; a name is an entity for each word."""
+    """(start, end, entity) by place. Where kinds overlap the one listed first in PATTERNS stays; a name is an entity for each word.
+
+    The words of a name found after a title are entities wherever else the text has them capitalised.
+    """
     found: list[tuple[int, int, Entity]] = []
     taken: list[tuple[int, int]] = []
     digits = re.search(r"\d", text) is not None
     for kind, pattern in _COMPILED.items():
         if (kind == "email" and "@" not in text) or (kind not in ("email", "name") and not digits):
             continue
+        others = tuple(taken)
         for match in pattern.finditer(text):
-            own = list(_name(text, match) if kind == "name" else _entity(kind, match.group(), match.start()))
+            own = list(_name(text, match, others) if kind == "name" else _entity(kind, match.group(), match.start()))
             if own and not any(own[0][0] < y and x < own[-1][1] for x, y in taken):
                 found += own
                 taken.append((own[0][0], own[-1][1]))
+    named: dict[str, Entity] = {}
+    for _a, _b, entity in found:
+        value = entity[2]
+        if entity[0] == "name" and len(value) > 1 and "." not in value and value not in COMMON:
+            if value not in named or entity[1].endswith("family"):
+                named[value] = entity
+    if named:
+        taken.sort()
+        starts = [a for a, _b in taken]
+        for a, b, entity in _mentions(text, named):
+            before = bisect_right(starts, b - 1) - 1
+            if before < 0 or taken[before][1] <= a:
+                found.append((a, b, entity))
     return sorted(found)
 
 
-def _name(text: str, title: re.Match) -> Iterator[tuple[int, int, Entity]]:
+def _value(word: str) -> str:
+    return unicodedata.normalize("NFC", word).casefold()
+
+
+def _mentions(text: str, named: dict[str, Entity]) -> Iterator[tuple[int, int, Entity]]:
+    """Capitalised words of the text that are parts of its names, also inside words with hyphens."""
+    for match in _ALONE.finditer(text):
+        a = match.start()
+        word = _POSSESSIVE.sub("", match.group())
+        if word[0].isupper() and (entity := named.get(_value(word))):
+            yield a, a + len(word), entity
+        elif len(word) > 1 and not word.isalpha():
+            for piece in _PIECE.finditer(word):
+                if piece.group()[0].isupper() and (entity := named.get(_value(piece.group()))):
+                    yield a + piece.start(), a + piece.end(), entity
+
+
+def _name(text: str, title: re.Match, others: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, int, Entity]]:
+    """The parts of the name after a title; it ends before other kinds, titles and words in lower case that are no particles."""
     gender = TITLES[title.group().rstrip(".").lower()]
-    words, at = [], title.end()
-    while len(words) < 3 and (word := _NEXT_WORD.match(text, at)) and word.group(1)[0].isupper():
-        words.append(word)
-        at = word.end()
-    for number, word in enumerate(words):
+    parts: list[tuple[int, int]] = []
+    at, pattern = title.end(), _NEXT_PART
+    while match := pattern.match(text, at):
+        kind = match.lastgroup
+        a, b = match.span(kind)
+        surface = _POSSESSIVE.sub("", match[kind])
+        if not surface[0].isupper() or (kind == "word" and surface.casefold() in _NESTED) or any(a < y and x < b for x, y in others):
+            break
+        # An initial gives its stop up where a blank and another part follow; before that, the stop may end the sentence.
+        if parts and text[parts[-1][1] : parts[-1][1] + 1] == "." and text[parts[-1][1] + 1] in " \u00a0":
+            parts[-1] = (parts[-1][0], parts[-1][1] + 1)
+        parts.append((a, a + len(surface) - (kind == "initials")))
+        if len(surface) < b - a:
+            break
+        at, pattern = b, _AFTER_INITIALS if kind == "initials" else _NEXT_PART
+    for number, (a, b) in enumerate(parts):
         # The last of several words is the family's; it has no gender of its own.
-        part = "family" if number == len(words) - 1 else f"given-{gender}"
-        value = unicodedata.normalize("NFC", word.group(1)).casefold()
-        yield *word.span(1), ("name", f"{script_of(value)}-{part}", value)
+        part = "family" if number == len(parts) - 1 else f"given-{gender}"
+        value = _value(text[a:b]).rstrip(".")
+        yield a, b, ("name", f"{script_of(value)}-{part}", value)
 
 
 def _entity(kind: str, surface: str, at: int) -> Iterator[tuple[int, int, Entity]]:
@@ -166,7 +237,7 @@ def surrogate(entity: Entity, key: bytes, attempt: int = 0) -> str:
 def in_format(kind: str, surface: str, new: str) -> str:
     """A canonical surrogate in the spelling of a mention: its punctuation, spaces and case."""
     if kind == "name":
-        return new.upper() if surface.isupper() and len(surface) > 1 else new[:1].upper() + new[1:] if surface[:1].isupper() else new
+        return new.upper() if surface.isupper() and len(surface) > 1 and "." not in surface else new[:1].upper() + new[1:] if surface[:1].isupper() else new
     if kind == "ip":
         return new
     if kind == "email":
