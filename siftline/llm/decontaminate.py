@@ -8,19 +8,22 @@ window. Items shorter than a window count only whole: their end states lie on th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import strings
+from siftline.llm.shared import new_folder, strings, written
 
 WINDOW = 10
-# Words of items in one automaton, and so in one broadcast; more items make more automata, and documents meet each in turn.
-AUTOMATON_WORDS = 200_000
+# Words and bytes of items in one automaton; more items make more automata, and documents meet each in turn.
+AUTOMATON_WORDS, AUTOMATON_BYTES = 200_000, 8 << 20
 # Bytes of documents that meet several automata in turn; each automaton is built once for so many.
 BLOCK_BYTES = 32 << 20
 # A document whose words are hit in at least this share goes; else its hit spans go.
@@ -153,39 +156,61 @@ class Automaton:
 
 @dataclass(frozen=True)
 class Items:
-    """Test items in groups, each of which fits one automaton."""
+    """Files of test items in the shared folder, each of which fits one automaton."""
 
-    groups: tuple[tuple[tuple[str, bytes], ...], ...]
+    files: tuple[str, ...]
 
 
-def bounded_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = AUTOMATON_WORDS) -> Items:
-    """The items on the driver, cut into groups of at most ``most`` words (or one item).
+def bounded_items(
+    items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = AUTOMATON_WORDS, most_bytes: int = AUTOMATON_BYTES
+) -> Items:
+    """The items' words in files of at most ``most`` words and ``most_bytes`` bytes (or one item), dealt by hash.
 
-    Test items are a query set: their number does not follow the corpus. Null texts have no words and go unread;
-    null ids read as the word null; repeated items count once.
+    Only the files' names reach the driver. Null texts and texts without words go unread; null ids read as the word null;
+    repeated items count once.
     """
+
+    def worded(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            words = [words_of(t) for t in strings(batch.column(1))]
+            columns = [batch.column(0), pa.array([b" ".join(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "words", "n"]).filter(pa.array([bool(w) for w in words]))
+
     named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    groups: list[list[tuple[str, bytes]]] = [[]]
-    held = 0
-    for row in named.filter("text IS NOT NULL").distinct().sort("id", "text").toLocalIterator():
-        size = len(words_of(bytes(row["text"])))
-        if held and held + size > most:
-            groups.append([])
-            held = 0
-        groups[-1].append((row["id"], bytes(row["text"])))
-        held += size
-    return Items(tuple(tuple(g) for g in groups))
+    known = written(named.filter("text IS NOT NULL").mapInArrow(worded, "id string, words binary, n long").distinct(), "item-words")
+    n_words, n_bytes = known.agg(F.sum("n"), F.sum(F.length("words"))).first()
+    groups = max(-(-(n_words or 0) // most), -(-(n_bytes or 0) // most_bytes), 1)
+    folder = new_folder(items.sparkSession, "items")
+
+    def files(table: pa.Table) -> pa.Table:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        cuts, held, size = [0], 0, 0
+        for i, (words, n) in enumerate(zip(table.column("words").to_pylist(), table.column("n").to_pylist())):
+            if i > cuts[-1] and (held + n > most or size + len(words) > most_bytes):
+                cuts.append(i)
+                held = size = 0
+            held, size = held + n, size + len(words)
+        names = [uuid.uuid4().hex for _ in cuts]
+        for name, start, stop in zip(names, cuts, [*cuts[1:], len(table)]):
+            pq.write_table(table.slice(start, stop - start).select(["id", "words"]), f"{path}/{name}.parquet", filesystem=store)
+        return pa.table({"file": pa.array([f"{folder}/{name}.parquet" for name in names])})
+
+    dealt = known.withColumn("_group", F.pmod(F.xxhash64("id", "words"), F.lit(groups)))
+    return Items(tuple(sorted(r["file"] for r in dealt.groupBy("_group").applyInArrow(files, "file string").collect())))
 
 
 _built: dict[tuple, Automaton] = {}
 
 
-def automaton(group: tuple[tuple[str, bytes], ...], window: int) -> Automaton:
-    """Built once in each worker process."""
-    key = (group, window)
+def automaton(file: str, window: int) -> Automaton:
+    """Built once in each worker process, which holds one."""
+    key = (file, window)
     if key not in _built:
         _built.clear()
-        _built[key] = Automaton([(name, words_of(text)) for name, text in group], window)
+        store, path = fs.FileSystem.from_uri(file)
+        table = pq.read_table(path, filesystem=store)
+        _built[key] = Automaton([(name, words.split(b" ")) for name, words in zip(table.column("id").to_pylist(), table.column("words").to_pylist())], window)
     return _built[key]
 
 
@@ -201,12 +226,12 @@ def blocks(tables: Iterator[pa.RecordBatch], groups: int) -> Iterator[list[pa.Re
         yield held
 
 
-def found_in(texts: list[bytes], groups: list, window: int) -> tuple[list[np.ndarray], list[set[str]]]:
-    """Hit words and found items of each text, over the items of all groups; one automaton is held at a time."""
-    hits: list[np.ndarray] = []
+def found_in(texts: list[bytes], files: tuple[str, ...], window: int) -> tuple[list[np.ndarray], list[set[str]]]:
+    """Hit words and found items of each text, over the items of all files; one automaton is held at a time."""
+    hits: list[np.ndarray] = [] if files else [np.zeros(len(words_of(t)), bool) for t in texts]
     names: list[set[str]] = [set() for _ in texts]
-    for turn, group in enumerate(groups):
-        machine = automaton(group.value, window)
+    for turn, file in enumerate(files):
+        machine = automaton(file, window)
         for i, text in enumerate(texts):
             hit, numbers = machine.match(words_of(text))
             if turn:
@@ -224,12 +249,12 @@ def matches(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str
 
     One pass over the texts: each block of them meets the automata of all groups in turn.
     """
-    groups = [docs.sparkSession.sparkContext.broadcast(g) for g in items.groups]
+    files = items.files
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(tables, len(groups)):
+        for block in blocks(tables, len(files)):
             old = [t for batch in block for t in strings(batch.column(1))]
-            hits, names = found_in(old, groups, window)
+            hits, names = found_in(old, files, window)
             at = 0
             for batch in block:
                 own = slice(at, at + len(batch))
@@ -260,7 +285,7 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def cleaned(texts: list[bytes], groups: list, window: int, coverage: float) -> list[bytes | None]:
+def cleaned(texts: list[bytes], files: tuple[str, ...], window: int, coverage: float) -> list[bytes | None]:
     """Each text without what items of any group hit; None where the share of all hit words reaches ``coverage``.
 
     What stands left and right of a gap may match across it, with items of any group, so the scan of all groups
@@ -269,7 +294,7 @@ def cleaned(texts: list[bytes], groups: list, window: int, coverage: float) -> l
     out: list[bytes | None] = list(texts)
     left, first = list(range(len(texts))), True
     while left:
-        hits, _names = found_in([out[i] for i in left], groups, window)
+        hits, _names = found_in([out[i] for i in left], files, window)
         again = []
         for i, hit in zip(left, hits):
             if not hit.any():
@@ -292,11 +317,11 @@ def decontaminate(
     Null and empty texts stay as they are. ``chars_col``, where there is one, becomes the length of the new text. How
     the items are grouped has no part in the result.
     """
-    groups = [docs.sparkSession.sparkContext.broadcast(g) for g in items.groups]
+    files = items.files
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(tables, len(groups)):
-            cleaned_texts = cleaned([t for batch in block for t in strings(batch.column(text_col))], groups, window, coverage)
+        for block in blocks(tables, len(files)):
+            cleaned_texts = cleaned([t for batch in block for t in strings(batch.column(text_col))], files, window, coverage)
             at = 0
             for batch in block:
                 new = cleaned_texts[at : at + len(batch)]

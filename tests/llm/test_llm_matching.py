@@ -165,6 +165,19 @@ def test_groups_of_items_cut_as_one(spark, documents, monkeypatch):
     assert [r[0] for r in got[0]] == [2, 3, 4, 5] and got[0][0][1].split() == words("x", 0, 60).split()
 
 
+def test_item_files_are_bounded_in_bytes(spark, documents):
+    rows = [(n, f"{'long' * 500}{n} tail") for n in range(8)] + [(8, "?! " * 5000), (9, None)]
+    items = decontaminate.bounded_items(spark.createDataFrame(rows, "item_id long, text string"), most_bytes=5000)
+    sizes = [[len(w) for w in spark.read.parquet(f).toPandas()["words"]] for f in items.files]
+    assert sum(map(len, sizes)) == 8 and len(sizes) >= 4 and max(map(sum, sizes)) <= 5000
+    docs = documents([(n, f"so {text}") for n, text in rows])
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.matches(docs, items).collect()}
+    assert found == {n: (2, [str(n)]) for n in range(8)} | {8: (0, []), 9: (0, [])}
+    # However many groups there are, a task runs one worker with one automaton.
+    plan = decontaminate.matches(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def naive_top(rows, asked, k):
     out = []
     for q, v in asked:
