@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, pii, secrets, simhash, tokens, topk, toxicity, wavelet
-from siftline.llm.shared import crc32_of_id, new_folder, table
+from siftline.llm import chat, decontaminate, mixing, periodic, pii, secrets, simhash, tokens, topk, toxicity, wavelet
+from siftline.llm.shared import WORD, crc32_of_id, new_folder, table
 
 END_ID = 1
 # A key of one's own belongs here; this one only makes the registered query repeatable.
@@ -211,3 +211,37 @@ def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def planted(text: Column, h: Column) -> Column:
+    """The text with a tail of its words written over by a period, where ``h`` divides by ten."""
+    g = F.floor(h / 10).cast("long")
+
+    def written_over(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    # Through a lambda, so that the words are taken once.
+    changed = F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"))), lambda w: F.when(F.size(w) > 0, written_over(w)).otherwise(""))
+    return F.when(h % 10 == 0, changed[0]).otherwise(text)
+
+
+@registered
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), crc32_of_id("doc_id")).alias("text"))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # Runs come by start, then period: a later one must be better to be taken.
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return periodic.with_runs(docs).withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

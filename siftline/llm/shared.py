@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` in order, in slices of about ``most_bytes`` of a text column, and one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = (np.cumsum(sizes) - sizes) // most_bytes
+    cuts = np.flatnonzero(np.diff(place, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def crc32_of_id(column: str):
     """crc32 of an id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
