@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, mixing, periodic, pii, secrets, simhash, tokens, topk, toxicity, wavelet
+from siftline.llm import chat, decontaminate, merkle, mixing, periodic, pii, secrets, simhash, tokens, topk, toxicity, wavelet
 from siftline.llm.shared import WORD, crc32_of_id, new_folder, table
 
 END_ID = 1
@@ -245,3 +245,66 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@registered
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [c if name != "n_chars" else c.cast("decimal(20, 0)") + 1 for name, c in zip(("doc_id", "source", "lang", "n_chars", "text"), named)]
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang",
+        merkle.leaf(*named).alias("leaf"),
+        F.when(crc32_of_id("doc_id") % 7 == 0, merkle.leaf(*tampered)).alias("tampered"),
+    )
+    found = merkle.manifest(rows, "leaf", "lang", "doc_id")
+    return found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), "witness")).select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.siblings("witness"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+# A node's steps up its tree: its sibling's digest behind the side it stands on; nothing where it has none.
+STEPS = """
+    SELECT n.name, list(CASE WHEN s.digest IS NULL THEN '' WHEN s.place % 2 = 0 THEN 'L' || s.digest ELSE 'R' || s.digest END ORDER BY t.level) AS steps
+    FROM {leaves} n JOIN {tree} t ON t.lang = n.lang AND t.place = n.place >> t.level AND t.size > 1
+    LEFT JOIN {tree} s ON s.lang = t.lang AND s.level = t.level AND s.place = xor(t.place, 1) GROUP BY n.name
+"""
+GROWN = """
+    SELECT lang, level + 1, place // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM {tree} WHERE size > 1 GROUP BY lang, level, place // 2, size
+"""
+FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda crc, b:
+        list_reduce(list_prepend(xor(crc, b), [0::BIGINT FOR i IN range(8)]), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE row_leaves AS (
+    SELECT row_number() OVER () AS name, doc_id, coalesce('=' || lang, '') AS lang,
+        sha256({" || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+        sha256({" || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) AS tampered
+    FROM documents
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size FROM row_leaves
+), tree(lang, level, place, size, digest) AS (
+    SELECT lang, 0, place, size, leaf FROM leaves UNION ALL {GROWN.format(tree="tree")}
+), tops AS (
+    SELECT lang AS name, '' AS lang, row_number() OVER (ORDER BY lang) - 1 AS place, count(*) OVER () AS size, digest FROM tree WHERE size = 1
+), crown(lang, level, place, size, digest) AS (
+    SELECT lang, 0, place, size, digest FROM tops UNION ALL {GROWN.format(tree="crown")}
+), low AS ({STEPS.format(leaves="leaves", tree="tree")}), high AS ({STEPS.format(leaves="tops", tree="crown")}),
+proofs AS (
+    SELECT doc_id, leaf, tampered, tops.digest AS subroot, (SELECT digest FROM crown WHERE size = 1) AS root,
+        list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+    FROM leaves JOIN tops ON tops.name = leaves.lang LEFT JOIN low ON low.name = leaves.name LEFT JOIN high ON high.name = leaves.lang
+), ids AS (
+    SELECT doc_id, {CRC32} AS crc FROM (SELECT DISTINCT doc_id FROM documents)
+), folds AS (
+    SELECT proofs.*, list_reduce(list_prepend(CASE WHEN crc % 7 = 0 THEN coalesce(tampered, leaf) ELSE leaf END, steps),
+        lambda node, step: sha256(CASE WHEN step = '' THEN node WHEN step[1] = 'L' THEN step[2:] || node ELSE node || step[2:] END)) AS folded_root
+    FROM proofs LEFT JOIN ids ON ids.doc_id = proofs.doc_id
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s[2:] FOR s IN steps IF s <> ''], '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folds
+"""

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftline.llm import periodic
+from siftline.llm import merkle, periodic
 from siftline.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,3 +106,59 @@ def test_op11_is_brute_force(spark):
         assert tuple(r)[1:] == want
         held += bool(runs)
     assert held > 10
+
+
+def naive_tree(digests):
+    """Root, and each leaf's steps."""
+    steps, level, members = [[] for _ in digests], list(digests), [[i] for i in range(len(digests))]
+    while len(level) > 1:
+        above, held = [], []
+        for i in range(0, len(level), 2):
+            for j, side, other in ((i, "R", i + 1), (i + 1, "L", i)):
+                if j < len(level):
+                    for m in members[j]:
+                        steps[m].append(side + level[other] if other < len(level) else "")
+            above.append(sha("".join(level[i : i + 2])))
+            held.append([m for x in members[i : i + 2] for m in x])
+        level, members = above, held
+    return level[0], steps
+
+
+def test_append_only_witnesses():
+    for n in range(1, 40):
+        digests = [sha(str(i)) for i in range(n)]
+        assert merkle.append_all(digests, None) == naive_tree(digests)
+    root, steps = merkle.append_all(digests[:3], 5)
+    assert root == sha(sha(sha(naive_tree(digests[:3])[0]))) and steps[2][1:] == ["L" + sha(digests[0] + digests[1]), "", "", ""]
+
+
+def test_manifest_in_blocks(spark, documents, odd_rows):
+    rows = [*odd_rows, *((None if i % 50 == 0 else i, f"text {i}", "a") for i in range(100, 300)), *[(7, "again", "c")] * 30]
+    docs = documents(rows).withColumns({
+        "lang": F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") == 299, "").otherwise(F.coalesce("source", F.lit("=x"))),
+        "leaf": merkle.leaf(F.col("doc_id"), F.col("text")), "root": F.lit("x"), "tree": F.lit("y"), "at": F.lit("z"),
+    })
+    found = merkle.manifest(docs, "leaf", "lang", "doc_id", height=2)
+    got = found.withColumns({"fold": merkle.folded("leaf", "witness")}).collect()
+    assert len(got) == len(rows) and {r["tree"] for r in got} == {"y"}
+    want, langs = [], sorted({r["lang"] for r in got}, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for lang in langs:
+        leaves = sorted(((r["doc_id"], r["leaf"]) for r in got if r["lang"] == lang), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        trees[lang] = leaves, *naive_tree([x[1] for x in leaves])
+    root, above = naive_tree([trees[lang][1] for lang in langs])
+    for lang, behind in zip(langs, above):
+        leaves, subroot, steps = trees[lang]
+        want += [(lang, *x, subroot, root, s + behind) for x, s in zip(leaves, steps)]
+    spelled = lambda rows: sorted(map(repr, rows))
+    assert spelled((r["lang"], r["doc_id"], r["leaf"], r["subroot"], r["root"], list(r["witness"])) for r in got) == spelled(want)
+    assert all(r["fold"] == root for r in got)
+
+
+def test_small_manifests(documents):
+    docs = documents([(1, "a", "x"), (2, "b", None)]).withColumn("leaf", F.sha2("text", 256))
+    assert merkle.manifest(docs.limit(0), "leaf", "source", "doc_id").count() == 0
+    rows = {r["doc_id"]: r for r in merkle.manifest(docs, "leaf", "source", "doc_id").collect()}
+    assert rows[1]["root"] == sha(sha("b") + sha("a")) and rows[1]["witness"] == ["L" + sha("b")] and rows[2]["subroot"] == sha("b")
+    alone = merkle.manifest(docs.filter("doc_id = 1"), "leaf", "source", "doc_id").first()
+    assert alone["root"] == sha("a") and alone["witness"] == []
