@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
-from siftline.llm import chat, decontaminate, merkle, mixing, periodic, pii, secrets, simhash, tokens, topk, toxicity, wavelet
+from siftline.llm import chat, decontaminate, merkle, mixing, periodic, pii, secrets, simhash, substrings, tokens, topk, toxicity, wavelet
 from siftline.llm.shared import WORD, crc32_of_id, new_folder, table
 
 END_ID = 1
@@ -247,6 +247,33 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_substring_dedup"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)
+), later AS (
+    SELECT doc_id, i FROM windows JOIN (SELECT s, min(doc_id) AS least FROM windows GROUP BY s) USING (s) WHERE doc_id > least
+), gone AS (
+    SELECT doc_id, list(DISTINCT word) AS words FROM (SELECT doc_id, unnest(range(i, i + 50)) AS word FROM later) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc) each
+    WHERE NOT EXISTS (FROM (SELECT doc_id, unnest(words) AS i FROM gone) g WHERE g.doc_id = each.doc_id AND g.i = each.i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone.words), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @registered
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]

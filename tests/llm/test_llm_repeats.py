@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from siftline.llm import merkle, periodic
+from siftline.llm import merkle, periodic, substrings
 from siftline.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -162,3 +162,51 @@ def test_small_manifests(documents):
     assert rows[1]["root"] == sha(sha("b") + sha("a")) and rows[1]["witness"] == ["L" + sha("b")] and rows[2]["subroot"] == sha("b")
     alone = merkle.manifest(docs.filter("doc_id = 1"), "leaf", "source", "doc_id").first()
     assert alone["root"] == sha("a") and alone["witness"] == []
+
+
+def naive_kept(rows, length):
+    """Kept words of each (id, text)."""
+    least = {}
+    cut = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in cut:
+        for a in range(len(w) - length + 1) if i is not None else ():
+            key = tuple(w[a : a + length])
+            least[key] = min(least.get(key, i), i)
+    kept = []
+    for i, w in cut:
+        gone = set()
+        for a in range(len(w) - length + 1) if i is not None else ():
+            if least[tuple(w[a : a + length])] < i:
+                gone.update(range(a, a + length))
+        kept.append((i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return kept
+
+
+def test_substrings_are_brute_force(spark):
+    rng = random.Random(14)
+    pool = [[f"w{rng.randint(0, 30)}" for _ in range(rng.randint(3, 40))] for _ in range(12)]
+    rows = [(1, None), (2, ""), (None, " ".join(pool[0] * 3)), (3, "a " * 200), (4, "a  " * 90), (4, "a " * 200), (50, "b a " * 30)]
+    for i in range(300):
+        words = [w for _ in range(rng.randint(0, 5)) for w in rng.choice((*pool, [f"w{rng.randint(0, 30)}" for _ in range(7)]))]
+        for k in range(len(words)):
+            if rng.random() < 0.02:
+                words[k] = "x"
+        rows.append((rng.randint(5, 200), rng.choice((" ", "\n", "  ")).join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, naive_kept(rows, 8)))
+    for group in (1 << 30, 4, 0):
+        got = substrings.deduplicated(docs, length=8, seed=3, group=group).collect()
+        assert sorted(repr((r["doc_id"], r["kept"])) for r in got) == want
+        assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_words"] - len(r["kept"].split()) for r in got)
+    named = docs.select(F.col("doc_id").cast("string").alias("name"), F.lit("x").alias("row"), F.lit("y").alias("kept"), F.col("text").alias("body"), F.lit("z").alias("text"))
+    got = substrings.deduplicated(named, "name", "body", length=8, seed=3).collect()
+    spelled = [(None if i is None else str(i), t) for i, t in rows]
+    assert sorted(repr((r["name"], r["kept"])) for r in got) == sorted(map(repr, naive_kept(spelled, 8))) and {r["text"] for r in got} == {"z"}
+
+
+def test_substrings_of_odd_rows(documents, odd_rows):
+    docs = documents([*odd_rows, *[(6, odd_rows[6][1], "c")] * 3])
+    got = {(r["doc_id"], r["source"]): r for r in substrings.deduplicated(docs).collect()}
+    assert [tuple(s) for s in got[6, "c"]["spans"]] == [(0, 30_000)] and got[6, "c"]["kept"] == "" and got[4, "b"]["spans"] == []
+    assert got[2, "a"]["n_words"] == 0 and got[2, "a"]["kept"] == "" and got[None, "b"]["kept"] == "six seven"
+    assert substrings.deduplicated(docs).count() == docs.count() and substrings.deduplicated(docs.limit(0)).count() == 0
