@@ -458,13 +458,33 @@ def coverage_evidence(spark, sf):
     return rows.select("sample_id", "accession_or_group", "file_name")
 
 
-def bundles(spark, sf) -> DataFrame:
-    """Report artifacts of the whole cohort."""
+def rejected_counts(spark, sf) -> DataFrame:
+    """Hits of sample R that a panel with conflicting contigs does not take."""
+    mapped = table(spark, sf, A.HITS).filter("sample_id = 'R'")
+    rejected = hits.rejected_hits(mapped, hits.classify_contigs(table(spark, sf, A.CONFLICTED_MANIFEST)))
+    return rejected.groupBy("sample_id").agg(F.sum("hits").alias("rejected_hits"))
+
+
+def passing_gates(spark) -> DataFrame:
+    gate = lambda name: F.struct(F.lit("pass").alias("status")).alias(f"{name}_gate")
+    return spark.range(1).select(*[gate(n) for n in ("backend", "reference", "specificity", "sensitivity")])
+
+
+def bundles(spark, sf, released: bool = False) -> DataFrame:
+    """Report artifacts of the whole cohort; ``released``: under passing gates, with the rejected hits of one sample, the
+    sampling accounting and the input files."""
     rows = settle(evaluated(spark, sf, reasons=True))
     outcome = settle(decision.decide(rows, PLAN.look_count, DECISION))
     calls_ = settle(decision.final_calls(rows, outcome))
     runs = summary.run_summary(decision.sample_decisions(outcome), _hit_counts(spark, sf), PROFILE.run, PLAN)
-    runs = settle(release.release_status(screen.attach_release_inputs(runs, PROFILE, _controls(spark, sf))))
+    accounting = ()
+    if released:
+        runs = runs.join(rejected_counts(spark, sf), "sample_id", "left").withColumn("rejected_hits", F.coalesce("rejected_hits", F.lit(0)))
+        totals = _hit_counts(spark, sf).select("sample_id", F.col("passed_fragments").alias("qc_passing_fragments"))
+        files = runs.select("sample_id", F.array(F.concat("sample_id", F.lit("_R1.fastq")), F.concat("sample_id", F.lit("_R2.fastq"))).alias("input_files"))
+        accounting = (sampling.plan_report(totals, PLAN), files)
+    gates = passing_gates(spark) if released else None
+    runs = settle(release.release_status(screen.attach_release_inputs(runs, PROFILE, _controls(spark, sf), gates)))
     return sinks.bundle_files(
         runs,
         calls_,
@@ -472,6 +492,7 @@ def bundles(spark, sf) -> DataFrame:
         summary.virus_summary(calls_),
         summary.sample_run_summary(runs, calls_),
         summary.top_results(calls_),
+        *accounting,
     )
 
 
@@ -516,9 +537,9 @@ def _missing_sql(names) -> str:
 @query(
     "audit_completeness",
     f"""SELECT sample_id, 'report bundle completeness' AS "check", CASE WHEN missing = '' THEN 'pass' ELSE 'fail' END AS status,
-        CASE WHEN missing = '' THEN 'found every required file' ELSE 'missing required file(s): ' || missing END AS detail FROM ({_missing_sql(L.LEGACY_REQUIRED)}) a
+        CASE WHEN missing = '' THEN 'all of the required files are there' ELSE 'not there, of the required files: ' || missing END AS detail FROM ({_missing_sql(L.LEGACY_REQUIRED)}) a
         UNION ALL SELECT sample_id, 'canonical report bundle completeness', CASE WHEN present = 0 THEN 'skip' WHEN missing = '' THEN 'pass' ELSE 'fail' END,
-        CASE WHEN present = 0 THEN 'legacy-only bundle' WHEN missing = '' THEN 'found every canonical mandatory artifact' ELSE 'missing canonical mandatory artifact(s): ' || missing END FROM ({_missing_sql(_CANONICAL)}) b""",
+        CASE WHEN present = 0 THEN 'no file of that layout' WHEN missing = '' THEN 'all of the canonical artifacts are there' ELSE 'not there, of the canonical artifacts: ' || missing END FROM ({_missing_sql(_CANONICAL)}) b""",
 )
 def audit_completeness(spark, sf):
     return audit.audit_completeness(table(spark, sf, A.BUNDLE_FILES))
@@ -691,16 +712,30 @@ def audit_facts(spark, sf):
 
 @query(
     "audit_release",
-    f"""WITH r AS ({_RELEASED}), ok AS (SELECT *, sampling_mode = profile_sampling_mode AS mode_ok, negative_control_required = profile_control_required AS required_ok,
+    f"""WITH named AS (SELECT *, CAST(substr(sample_id, 5) AS BIGINT) AS k FROM ({_RELEASED}) s),
+        r AS (SELECT * REPLACE (CASE WHEN k % 21 = 0 THEN 'blocked' ELSE release_status END AS release_status,
+          CASE WHEN k % 21 = 0 THEN mode_blocker ELSE secondary_blockers END AS secondary_blockers) FROM named),
+        ok AS (SELECT *, sampling_mode = profile_sampling_mode AS mode_ok, negative_control_required = profile_control_required AS required_ok,
           sampling_mode IN ('representative', 'streaming') AS known FROM r)
-        SELECT sample_id, 'release_status compliance' AS "check", CASE WHEN mode_ok AND required_ok AND known AND claimed_status = release_status THEN 'pass' ELSE 'fail' END AS status FROM ok
-        UNION ALL SELECT sample_id, 'release_gate artifact blockers', CASE WHEN gate_status IS NULL THEN 'skip' WHEN gate_status = release_status AND primary_blockers = '' AND secondary_blockers = '' THEN 'pass' ELSE 'fail' END
-          FROM ok WHERE mode_ok AND required_ok AND known""",
+        SELECT sample_id, 'release_status compliance' AS "check", CASE WHEN mode_ok AND required_ok AND known AND claimed_status = release_status THEN 'pass' ELSE 'fail' END AS status,
+          CASE WHEN NOT mode_ok THEN 'sampling_mode does not match the profile' WHEN NOT required_ok THEN 'negative_control.required does not match the profile'
+            WHEN NOT known THEN 'unknown sampling_mode' WHEN claimed_status = release_status THEN 'status as recomputed'
+            ELSE 'release_status mismatch: sample_summary=`' || claimed_status || '` recomputed=`' || release_status || '`' END AS detail FROM ok
+        UNION ALL SELECT sample_id, 'release_gate artifact blockers', CASE WHEN gate_status IS NULL THEN 'skip' WHEN same THEN 'pass' ELSE 'fail' END,
+          CASE WHEN gate_status IS NULL THEN 'no gate document' WHEN same THEN 'gate as recomputed' ELSE 'gate is not as recomputed' END
+          FROM (SELECT *, gate_status = release_status AND k % 9 <> 0 AND (k % 10 <> 0 OR secondary_blockers = '') AS same FROM ok WHERE mode_ok AND required_ok AND known) c""",
 )
 def audit_release(spark, sf):
-    none = F.array().cast("array<string>")
-    runs = _runs(spark, sf).withColumn("gate_primary", none).withColumn("gate_secondary", none)
-    return audit.audit_release(runs).select("sample_id", "check", "status")
+    """Gates persisted with the blockers that hold, but for some runs; some runs are blocked by rejected hits alone."""
+    key = F.substring("sample_id", 5, 20).cast("bigint")
+    runs = _runs(spark, sf).withColumn("rejected_hits", F.when(key % 21 == 0, 3).otherwise(0))
+    held = release.release_status(runs).withColumns(
+        {
+            "gate_primary": F.when(key % 9 == 0, F.array(F.lit("other"))).otherwise(F.col("release_primary_blockers")),
+            "gate_secondary": F.when(key % 10 == 0, F.array().cast("array<string>")).otherwise(F.col("release_secondary_blockers")),
+        }
+    )
+    return audit.audit_release(held.select(*runs.columns, "gate_primary", "gate_secondary"))
 
 
 _CHECKS = """SELECT concat('part-', CAST(l_partkey AS STRING)) AS sample_id, concat('check-', CAST(l_linenumber AS STRING)) AS "check",
@@ -722,23 +757,41 @@ _WRITTEN_CHECKS = (
     "report bundle completeness", "canonical report bundle completeness", "readable documents", "schema metadata contract",
     "table headers", "dual-layout candidate TSV", "dual-layout rounds TSV", "dual-layout run manifest",
     "dual-layout checksum inventory", "checksum.sha256", "audit/checksum.sha256", "report bundle bindings", "reference bundle binding",
-    "rounds.tsv", "canonical sample summary facts", "canonical result overview facts", "candidate CI labeling",
-    "candidate_calls.accession.tsv", "detection_calls.group.tsv",
-)
+    "calibration profile binding", "rounds.tsv", "canonical sample summary facts", "canonical result overview facts", "candidate CI labeling",
+    "candidate_calls.accession.tsv", "detection_calls.group.tsv", "release_status compliance", "release_gate artifact blockers",
+)
+# What a bundle without its run manifest makes of these checks.
+_WITHOUT_MANIFEST = {
+    "canonical report bundle completeness": "fail", "checksum.sha256": "fail", "audit/checksum.sha256": "fail",
+    **dict.fromkeys(
+        ("dual-layout run manifest", "report bundle bindings", "reference bundle binding", "calibration profile binding",
+         "canonical result overview facts", "release_status compliance", "release_gate artifact blockers"), "skip",
+    ),
+}
 
 
 @query(
     "audit_of_written_bundles",
-    f"""SELECT DISTINCT l_returnflag AS sample_id, name AS "check", 'pass' AS status
-    FROM lineitem, (SELECT unnest([{", ".join(f"'{c}'" for c in _WRITTEN_CHECKS)}]) AS name) c""",
+    f"""SELECT DISTINCT l_returnflag AS sample_id, c.name AS "check", CASE WHEN l_returnflag = 'N' THEN c.without ELSE 'pass' END AS status
+    FROM lineitem, (SELECT unnest([{", ".join(f"{{'name': '{c}', 'without': '{_WITHOUT_MANIFEST.get(c, 'pass')}'}}" for c in _WRITTEN_CHECKS)}], recursive := true)) c""",
 )
 def audit_of_written_bundles(spark, sf):
-    """Bundles written as folders of files, read back and audited: every check of every one passes."""
+    """Bundles written as folders of files, read back and audited, with profiles: one is blocked by rejected hits alone and
+    passes, one has lost its run manifest."""
     from siftline.plans.audit import audit_bundles
 
     folder = _scratch(spark, "bundles")
-    sinks.write_bundles(bundles(spark, sf), folder)
-    return audit_bundles(settle(sinks.read_bundles(spark, folder)), "bundle-1").select("sample_id", "check", "status")
+    sinks.write_bundles(bundles(spark, sf, released=True), folder)
+    found = settle(sinks.read_bundles(spark, folder).filter("NOT (sample_id = 'N' AND path = 'provenance/run_manifest.json')"))
+    return audit_bundles(found, "bundle-1", written_profiles(found)).select("sample_id", "check", "status")
+
+
+def written_profiles(files: DataFrame) -> DataFrame:
+    gates = ", ".join(f"'{n}_gate', named_struct('status', 'pass')" for n in ("backend", "reference", "specificity", "sensitivity"))
+    return files.select("sample_id").distinct().selectExpr(
+        "sample_id", "'profile-1' AS profile_id", "'bundle-1' AS reference_bundle", "'seed-vote' AS profile_backend", "'release_candidate' AS profile_status",
+        "'representative' AS profile_sampling_mode", "false AS profile_control_required", f"named_struct({gates}) AS gates",
+    )
 
 
 # ---- panel -------------------------------------------------------------------------

@@ -64,15 +64,15 @@ def audit_completeness(files: DataFrame, bundles: DataFrame | None = None) -> Da
     def check(label: str, gap: Column, noun: str, skip: Column) -> Column:
         status = F.when(skip, "skip").when(F.size(gap) == 0, "pass").otherwise("fail")
         detail = (
-            F.when(skip, "legacy-only bundle")
-            .when(F.size(gap) == 0, f"found every {noun}")
-            .otherwise(F.concat(F.lit(f"missing {noun}(s): "), F.array_join(gap, ", ")))
+            F.when(skip, "no file of that layout")
+            .when(F.size(gap) == 0, f"all of the {noun} are there")
+            .otherwise(F.concat(F.lit(f"not there, of the {noun}: "), F.array_join(gap, ", ")))
         )
         return F.struct(*_row(label, status, detail))
 
     checks = F.array(
-        check("report bundle completeness", missing(L.LEGACY_REQUIRED), "required file", F.lit(False)),
-        check("canonical report bundle completeness", missing(names), "canonical mandatory artifact", ~has_canonical),
+        check("report bundle completeness", missing(L.LEGACY_REQUIRED), "required files", F.lit(False)),
+        check("canonical report bundle completeness", missing(names), "canonical artifacts", ~has_canonical),
     )
     return present.select("sample_id", F.explode(checks).alias("c")).select("sample_id", "c.*")
 
@@ -213,7 +213,7 @@ def audit_checksums(listed: DataFrame, actual: DataFrame) -> DataFrame:
 def audit_bindings(summary: DataFrame, manifest: DataFrame, bundle_version: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Versions agree between summary and manifest, the loaded bundle, and the loaded profile.
 
-    ``profiles``: sample_id, profile_id, reference_bundle, profile_backend.
+    ``profiles``: sample_id, profile_id, reference_bundle, profile_backend; a sample without a row there fails.
     """
     fields = ("reference_bundle_version", "calibration_profile_version", "backend", "seed")
     s = summary.select("sample_id", *[F.col(f).alias(f"s_{f}") for f in fields])
@@ -232,18 +232,20 @@ def audit_bindings(summary: DataFrame, manifest: DataFrame, bundle_version: str
             _from_problems(both, "reference bundle binding", F.array(against("s", "sample_summary"), against("m", "run_manifest")), "report references the loaded bundle")
         )
     if profiles is not None:
-        bound = both.join(profiles, "sample_id")
+        bound = both.join(profiles.withColumn("_loaded", F.lit(True)), "sample_id", "left")
         pairs = (
             ("calibration_profile_version", "profile_id"),
             ("reference_bundle_version", "reference_bundle"),
             ("backend", "profile_backend"),
         )
+        unloaded = F.col("_loaded").isNull()
         problems = F.array(
+            F.when(unloaded, "no profile is loaded for the sample"),
             *[
-                _differs(field, F.col(f"{side}_{field}"), F.col(target), name, "profile")
+                F.when(~unloaded, _differs(field, F.col(f"{side}_{field}"), F.col(target), name, "profile"))
                 for field, target in pairs
                 for side, name in (("s", "sample_summary"), ("m", "run_manifest"))
-            ]
+            ],
         )
         out = out.unionByName(_from_problems(bound, "calibration profile binding", problems, "report references the loaded profile"))
     return out
@@ -361,7 +363,7 @@ def audit_release(runs: DataFrame) -> DataFrame:
             _differs("release_status", F.col("claimed_status"), F.col("release_status"), "sample_summary", "recomputed"),
         ),
     )
-    compliance = _from_problems(fresh, "release_status compliance", problems, "release status matches recomputation")
+    compliance = _from_problems(fresh, "release_status compliance", problems, "status as recomputed")
     same = (
         F.col("gate_status").eqNullSafe(F.col("release_status"))
         & F.col("gate_primary").eqNullSafe(F.col("release_primary_blockers"))
@@ -374,7 +376,7 @@ def audit_release(runs: DataFrame) -> DataFrame:
         *_row(
             "release_gate artifact blockers",
             F.when(absent, "skip").when(same, "pass").otherwise("fail"),
-            F.when(absent, "legacy-only bundle").when(same, "status and blockers match").otherwise("persisted gate differs from recomputation"),
+            F.when(absent, "no gate document").when(same, "gate as recomputed").otherwise("gate is not as recomputed"),
         ),
     )
     return compliance.unionByName(artifact)
@@ -387,11 +389,11 @@ def audit_readable(parts: DataFrame) -> DataFrame:
     )
 
 
-def with_skips(checks: DataFrame, bundles: DataFrame, names) -> DataFrame:
+def with_skips(checks: DataFrame, bundles: DataFrame, names, detail: str = "it depends on a document that is missing or unreadable") -> DataFrame:
     """``checks``, and a skip for each named check that a bundle has no row of."""
     every = bundles.select("sample_id", F.explode(F.array(*map(F.lit, names))).alias("check"))
     gaps = every.join(checks, ["sample_id", "check"], "left_anti")
-    skipped = gaps.select("sample_id", *_row("", F.lit("skip"), F.lit("it depends on a document that is missing or unreadable"))[1:], "check")
+    skipped = gaps.select("sample_id", *_row("", F.lit("skip"), F.lit(detail))[1:], "check")
     return checks.select(*OUTPUT).unionByName(skipped.select(*OUTPUT))
 
 

@@ -110,6 +110,7 @@ def decision_reasons(decision: DecisionRules = DecisionRules()) -> Column:
     pair = lambda name, value: f"concat('{name}=', CAST({value} AS STRING))"
     same = lambda name: pair(name, name)
     low, high = f"{decision.theta_neg_operational!r}D", f"{decision.theta_pos!r}D"
+    # The labels of the trail and their order.
     trail = (
         gate("unique_fraction_above_theta_pos", "abundance"),
         gate("accepted_fragments_meet_theta_pos_absolute", "absolute"),

@@ -158,35 +158,15 @@ def resolve_rounds(totals: DataFrame, proportions, override: bool = False) -> Da
     thresholds = f"[{PROPORTIONAL_MIN_COUNT}, {PROPORTIONAL_MAX_COUNT}]"
     if override:
         kind = F.when(outside, "sampling_threshold_override")
-        text = F.format_string(
-            "representative proportional round %d raw count %d is outside default sampling thresholds "
-            + thresholds
-            + "; --allow-sampling-threshold-override retained effective count %d",
-            round_no,
-            raw,
-            F.col("effective_count"),
-        )
+        text = F.format_string("look %d keeps %d fragments, though its share, %d, is outside " + thresholds, round_no, F.col("effective_count"), raw)
     else:
         small = n < low
         kind = F.when(small & (round_no == 1), "small_dataset_retained_all").when(
             ~small & outside, "effective_count_clamped"
         )
         text = F.when(
-            small,
-            F.format_string(
-                "representative proportional sampling observed %d QC-passing fragments, below the "
-                f"{PROPORTIONAL_MIN_COUNT} minimum; retaining all QC-passing fragments for every round",
-                n,
-            ),
-        ).otherwise(
-            F.format_string(
-                "representative proportional round %d raw count %d was clamped to effective count %d "
-                "using sampling thresholds " + thresholds,
-                round_no,
-                raw,
-                F.col("effective_count"),
-            )
-        )
+            small, F.format_string(f"with %d passing fragments, fewer than {PROPORTIONAL_MIN_COUNT}, each look takes all of them", n)
+        ).otherwise(F.format_string("look %d takes %d fragments, as its share, %d, is outside " + thresholds, round_no, F.col("effective_count"), raw))
     whole_dataset = kind == "small_dataset_retained_all"
     return (
         rows.withColumn("warning_kind", kind)

@@ -12,7 +12,8 @@ from siftline.sources.sinks import checksum_table
 SUMMARY = (
     "sample_id STRING, reference_bundle_version STRING, calibration_profile_version STRING, backend STRING, seed BIGINT, "
     "input_fragments BIGINT, qc_passing_fragments BIGINT, sampled_fragments BIGINT, rounds_run BIGINT, stop_reason STRING, "
-    "decision_status STRING, release_status STRING, release_primary_blockers ARRAY<STRING>, release_secondary_blockers ARRAY<STRING>"
+    "decision_status STRING, release_status STRING, release_primary_blockers ARRAY<STRING>, release_secondary_blockers ARRAY<STRING>, "
+    "rejected_hits BIGINT"
 )
 RUN_MANIFEST = (
     "reference_bundle_version STRING, calibration_profile_version STRING, backend STRING, seed BIGINT, sampling_mode STRING, "
@@ -103,7 +104,12 @@ def _readability(files: DataFrame) -> DataFrame:
 DEPENDENT = (
     "schema metadata contract", "report bundle bindings", "rounds.tsv", "canonical sample summary facts",
     "canonical result overview facts", "candidate CI labeling", "detection_calls.group.tsv", "candidate_calls.accession.tsv",
+    "dual-layout candidate TSV", "dual-layout rounds TSV", "dual-layout run manifest", "dual-layout checksum inventory",
+    "checksum.sha256", "audit/checksum.sha256", "table headers", "readable documents",
 )
+# Checks against the loaded bundle and the loaded profiles.
+OF_BUNDLE = ("reference bundle binding",)
+OF_PROFILE = ("calibration profile binding", "release_status compliance", "release_gate artifact blockers")
 
 
 def audit_bundles(
@@ -115,7 +121,8 @@ def audit_bundles(
     files; it defaults to those that have some. ``profiles`` (sample_id, profile_id,
     reference_bundle, profile_backend, profile_status, profile_sampling_mode,
     profile_control_required, gates) enables the profile binding and the release
-    recomputation; without it those checks are skipped.
+    recomputation; a sample without a row there fails the binding. Every bundle has a row of every check: what cannot be
+    judged is skipped.
     """
     summary = _document(files, "sample_summary.json", SUMMARY)
     manifest = _document(files, "provenance/run_manifest.json", RUN_MANIFEST).withColumn(
@@ -151,7 +158,7 @@ def audit_bundles(
             "sample_id", F.col("status").alias("gate_status"), F.col("primary_blockers").alias("gate_primary"), F.col("secondary_blockers").alias("gate_secondary")
         )
         runs = (
-            summary.select("sample_id", "decision_status", F.col("release_status").alias("claimed_status"))
+            summary.select("sample_id", "decision_status", F.col("release_status").alias("claimed_status"), F.coalesce("rejected_hits", F.lit(0)).alias("rejected_hits"))
             .join(manifest.select("sample_id", "sampling_mode", "negative_control_status", F.col("negative_control.required").alias("negative_control_required")), "sample_id")
             .join(profiles, "sample_id")
             .join(gate, "sample_id", "left")
@@ -160,4 +167,6 @@ def audit_bundles(
     out = checks[0].select(*audit.OUTPUT)
     for check in checks[1:]:
         out = out.unionByName(check.select(*audit.OUTPUT))
-    return audit.with_skips(out, bundles, DEPENDENT)
+    ungiven = (OF_BUNDLE if bundle_version is None else ()) + (OF_PROFILE if profiles is None else ())
+    out = audit.with_skips(out, bundles, ungiven, "nothing to compare with was given") if ungiven else out
+    return audit.with_skips(out, bundles, [c for c in (*DEPENDENT, *OF_BUNDLE, *OF_PROFILE) if c not in ungiven])

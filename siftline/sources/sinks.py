@@ -100,12 +100,16 @@ def _json(*columns) -> "F.Column":
     return F.to_json(F.struct(*columns))
 
 
-def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops: DataFrame) -> DataFrame:
+def run_documents(
+    runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops: DataFrame, round_plan: DataFrame | None = None, input_files: DataFrame | None = None
+) -> DataFrame:
     """JSON documents per sample as rows (sample_id, path, content).
 
     ``runs`` carries release columns and control columns; ``summaries`` is
     sample_run_summary output over ``runs``; ``tops`` is top_results output, at most
-    one panel of rows per sample.
+    one panel of rows per sample. ``round_plan`` (the sampling accounting, one row a sample) and ``input_files``
+    (sample_id, input_files: names in order) go to the run manifest; the count of rejected hits, where ``runs`` have it, to
+    the run summary, as it blocks release.
     """
     listed = lambda name: F.sort_array(
         F.collect_list(
@@ -128,6 +132,13 @@ def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops:
         .join(facts, "sample_id", "left")
         .withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
     )
+    planned, named_files = [], []
+    if round_plan is not None:
+        accounting = F.struct(*[c for c in round_plan.columns if c != "sample_id"]).alias("sampling_round_plan")
+        rows, planned = rows.join(round_plan.select("sample_id", accounting), "sample_id", "left"), ["sampling_round_plan"]
+    if input_files is not None:
+        rows, named_files = rows.join(input_files.select("sample_id", "input_files"), "sample_id", "left"), ["input_files"]
+    rejected = [c for c in ("rejected_hits",) if c in summaries.columns]
     control = F.struct(
         F.col("negative_control_required").alias("required"),
         F.col("negative_control_status").alias("status"),
@@ -135,7 +146,7 @@ def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops:
         "control_status",
     ).alias("negative_control")
     manifest = _json(
-        "reference_bundle_version", "calibration_profile_version", "backend", "seed", "sampling_mode", control
+        "reference_bundle_version", "calibration_profile_version", "backend", "seed", "sampling_mode", *planned, control, *named_files
     )
     counts = [f"{s}_entity_count" for s in ("positive", "indeterminate", "negative", "weak_positive")]
     overview = _json(
@@ -183,7 +194,7 @@ def run_documents(runs: DataFrame, calls: DataFrame, summaries: DataFrame, tops:
         *[
             F.struct(F.lit(path).alias("path"), content.alias("content"))
             for path, content in (
-                ("sample_summary.json", _json(*SUMMARY_FIELDS)),
+                ("sample_summary.json", _json(*SUMMARY_FIELDS, *rejected)),
                 ("summary/sample_run_summary.json", sample_summary),
                 ("summary/result_overview.json", overview),
                 ("provenance/run_manifest.json", manifest),
@@ -215,7 +226,10 @@ def _tsv_text(rows: DataFrame, columns, order) -> DataFrame:
     )
 
 
-def bundle_files(runs: DataFrame, calls: DataFrame, rounds: DataFrame, summary: DataFrame, summaries: DataFrame, tops: DataFrame) -> DataFrame:
+def bundle_files(
+    runs: DataFrame, calls: DataFrame, rounds: DataFrame, summary: DataFrame, summaries: DataFrame, tops: DataFrame,
+    round_plan: DataFrame | None = None, input_files: DataFrame | None = None,
+) -> DataFrame:
     """Every artifact of every sample as (sample_id, path, content), checksums included.
 
     Sample-level artifacts only; a cohort's read-level tables go through the
@@ -241,7 +255,7 @@ def bundle_files(runs: DataFrame, calls: DataFrame, rounds: DataFrame, summary:
     )
     marker = runs.select("sample_id", F.lit(MARKER).alias("path"), F.lit("").alias("content"))
     files = (
-        run_documents(runs, calls, summaries, tops)
+        run_documents(runs, calls, summaries, tops, round_plan, input_files)
         .unionByName(at(calls_text("accession"), "candidate_calls.tsv", "results/candidate_calls.accession.tsv"))
         .unionByName(at(calls_text("group"), "results/detection_calls.group.tsv"))
         .unionByName(at(_tsv_text(rounds_table(rounds), L.ROUNDS_HEADER, ("round",)), "rounds.tsv", "results/sampling_rounds.tsv"))

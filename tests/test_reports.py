@@ -151,6 +151,30 @@ def test_release_recomputation(spark, bundle):
     assert ("A", "release_gate artifact blockers") in failures(forged, profiles=profiles)
 
 
+def test_every_check_of_every_bundle_has_a_row(spark, bundle, sf_dir):
+    settled = settle(R.bundles(spark, sf_dir, released=True))
+    document = lambda path: settled.filter((F.col("sample_id") == "R") & (F.col("path") == path)).first().content
+    assert '"release_primary_blockers":["rejected_hits"]' in document("sample_summary.json")
+    assert '"round_mode":"absolute"' in document("run_manifest.json") and '"input_files":["R_R1.fastq","R_R2.fastq"]' in document("run_manifest.json")
+    assert failures(settled, profiles=R.written_profiles(settled)) == set()
+    # A forged count no longer explains the status.
+    forged = settled.withColumn("content", F.replace("content", F.lit('"rejected_hits":'), F.lit('"x":')))
+    assert ("R", "release_status compliance") in failures(forged, profiles=R.written_profiles(settled))
+    every = {r["check"] for r in audit_bundles(settled, "bundle-1", R.written_profiles(settled)).collect()}
+    for files, profiles in (
+        (settled.filter("path <> 'provenance/run_manifest.json'"), R.written_profiles(settled)),
+        (settled.filter("path <> 'sample_summary.json'"), R.written_profiles(settled)),
+        (settled, R.written_profiles(settled).filter("sample_id <> 'A'")),
+        (settled, None),
+    ):
+        rows = audit_bundles(files, "bundle-1" if profiles is not None else None, profiles).collect()
+        assert len(rows) == 3 * len(every) and {r["check"] for r in rows} == every
+    unloaded = audit_bundles(settled, "bundle-1", R.written_profiles(settled).filter("sample_id <> 'A'"))
+    assert {(r["check"], r.status) for r in unloaded.filter("sample_id = 'A' AND status <> 'pass'").collect()} == {
+        ("calibration profile binding", "fail"), ("release_status compliance", "skip"), ("release_gate artifact blockers", "skip")
+    }
+
+
 def test_bundles_as_folders(spark, bundle, tmp_path):
     root = str(tmp_path / "bundles")
     assert sinks.write_bundles(bundle, root) == bundle.count()
