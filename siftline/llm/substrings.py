@@ -32,6 +32,8 @@ from siftline.llm.shared import ragged, slices, strings, written
 LENGTH, SEED = 50, 16
 # Suffixes of one prefix that a task holds.
 GROUP = 50_000
+# Keys that are broadcast, at most, because they have many rows.
+CROWDS = 1_000
 BLOCK_BYTES, ROWS_AT_ONCE = 4 << 20, 20_000
 # Hashes of words kept by a task: so many, of words of so many bytes at most.
 WORDS_KEPT, BYTES_KEPT = 200_000, 64
@@ -131,8 +133,8 @@ def repeated_windows(prefix: np.ndarray, left: np.ndarray, right: np.ndarray, re
 
 def _each_text(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for table in tables:
-        for batch in slices(table, "text", BLOCK_BYTES):
-            yield batch, [t.split() for t in strings(batch.column("text"))]
+        for batch in slices(table, "content", BLOCK_BYTES):
+            yield batch, [t.split() for t in strings(batch.column("content"))]
 
 
 def _joined(hashes: Hashes, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def _joined(hashes: Hashes, texts: list[list[bytes]]) -> tuple[np.ndarray, np.nd
 
 
 def anchor_table(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(id, key, place, prefix, around) of every anchor of ``docs`` (id, key, text)."""
+    """(id, key, place, prefix, around) of every anchor of ``docs`` (id, key, content)."""
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -154,11 +156,11 @@ def anchor_table(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             )
 
     schema = T.StructType([*docs.select("id", "key").schema, *(T.StructField(c, T.LongType()) for c in ("place", "prefix", "around"))])
-    return docs.select("id", "key", "text").mapInArrow(batches, schema)
+    return docs.select("id", "key", "content").mapInArrow(batches, schema)
 
 
 def suffixes(texts: DataFrame, length: int, seed: int, crowded: bool) -> DataFrame:
-    """Of ``texts`` (id, text, wanted: list of place, prefix, around, crowded) what their wanted suffixes need.
+    """Of ``texts`` (id, content, wanted: list of place, prefix, around, crowded) what their wanted suffixes need.
 
     Not crowded: (prefix, around, id, left, right, reach), the words' hashes around the anchor. Crowded: (prefix, around,
     id, o, one, two), two hashes of each window.
@@ -234,36 +236,60 @@ def in_trees(rows: DataFrame) -> DataFrame:
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(batches, "prefix long, around long, windows long")
 
 
+def matched(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key and ``many``, the rows it meets, ``total`` at most.
+
+    Keys that meet more than one row in ``CROWDS`` are at most ``CROWDS`` in number: these are broadcast, and their rows stay where
+    they are.
+    """
+    crowd = F.col("many") > total / CROWDS
+    heavy = keyed.filter(crowd)
+    if not heavy.limit(1).count():
+        return rows.join(keyed, keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(keyed.filter(~crowd), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def by_windows(rows: DataFrame) -> DataFrame:
     """As ``in_trees``, for prefixes of many suffixes: each window is a prefix by itself, of which the smallest id counts."""
     rows = written(rows, "substring-windows")
-    least = rows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
-    again = rows.join(least, ["one", "two"]).filter("id > least")
+    least = rows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("many"))
+    least = written(least.filter("least < most").drop("most"), "substring-windows")
+    again = matched(rows, least, ["one", "two"], rows.count()).filter("id > least")
     return again.groupBy("prefix", "around").agg(F.bit_or(F.expr("shiftleft(1L, cast(o as int))")).alias("windows"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(id, key, places) of ``docs`` (id, key, text): anchors of the windows of ``length`` words that a smaller id has
+    """(id, key, places) of ``docs`` (id, key, content): anchors of the windows of ``length`` words that a smaller id has
     too, with those windows as bits. ``key`` tells texts of one id apart."""
     if length - seed > 62:
         raise ValueError("a window may begin 62 words before its anchor at most")
     found = written(anchor_table(docs, length, seed), "substring-anchors")
-    alike = found.groupBy("prefix", "around").agg(F.min(F.struct("id", "key", "place")).alias("first"), F.max("id").alias("last"))
+    alike = found.groupBy("prefix", "around").agg(
+        F.min(F.struct("id", "key", "place")).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")
+    )
     alike = written(alike, "substring-alike")
     prefixes = alike.groupBy("prefix").agg(F.count(F.lit(1)).alias("many"), F.min("first.id").alias("least"), F.max("last").alias("most"))
-    alike = written(alike.join(prefixes.filter("least < most"), "prefix").select("prefix", "around", "first", "many"), "substring-alike")
+    prefixes = written(prefixes.filter("least < most").select("prefix", "many"), "substring-prefixes")
+    alike = written(matched(alike.drop("last"), prefixes, ["prefix"], alike.count()), "substring-alike")
     wanted = F.collect_list(F.struct("first.place", "prefix", "around", (F.col("many") > group).alias("crowded"))).alias("wanted")
     # A prefix with one surrounding has nothing left to compare.
     wanted = alike.filter("many > 1").groupBy("first.id", "first.key").agg(wanted)
-    texts = docs.groupBy("id", "key").agg(F.first("text").alias("text")).join(wanted, ["id", "key"])
-    texts = texts.select("id", "text", "wanted")
+    texts = docs
+    if docs.groupBy("id", "key").count().filter("count > 1").limit(1).count():
+        # Repeated rows are looked at once. Else the texts move as they do for the caller's join, and so once for both.
+        texts = docs.groupBy("id", "key").agg(F.first("content").alias("content"))
+    texts = texts.join(wanted, ["id", "key"]).select("id", "content", "wanted")
     judged = in_trees(suffixes(texts, length, seed, False))
     if alike.filter(F.col("many") > group).limit(1).count():
         judged = judged.unionByName(by_windows(suffixes(texts, length, seed, True)))
-    # A surrounding's first id has the windows judged; all others have each window again.
-    marks = alike.select("prefix", "around", F.col("first.id").alias("least")).join(judged, ["prefix", "around"], "left")
-    windows = F.when(F.col("id") > F.col("least"), F.lit(-1)).otherwise(F.coalesce("windows", F.lit(0)))
-    hits = found.join(marks, ["prefix", "around"]).select("id", "key", "place", windows.cast("long").alias("windows")).filter("windows != 0")
+    # A surrounding's first id has the windows judged, at every place; later ids have each window again.
+    places = matched(found, alike.filter("copies > 1").select("prefix", "around", "first", F.col("copies").alias("many")), ["prefix", "around"], found.count())
+    places = places.filter("(id, key, place) != (first.id, first.key, first.place)").select("prefix", "around", "id", "key", "place", (F.col("id") > F.col("first.id")).alias("later"))
+    places = written(places, "substring-places")
+    firsts = alike.filter("many > 1").select("prefix", "around", "first.*").unionByName(places.filter("NOT later").drop("later"))
+    hits = firsts.join(judged, ["prefix", "around"]).select("id", "key", "place", "windows")
+    hits = hits.unionByName(places.filter("later").select("id", "key", "place", F.lit(-1).cast("long").alias("windows")))
     hits = hits.groupBy("id", "key", "place").agg(F.bit_or("windows").alias("windows"))
     return hits.groupBy("id", "key").agg(F.collect_list(F.struct("place", "windows")).alias("places"))
 
@@ -288,10 +314,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     results = ("n_words", "spans", "kept")
     extra = [c for c in docs.columns if c not in (id_col, text_col, *results)]
-    docs, extra = (docs, extra) if extra else (docs.withColumn("row", F.lit(0)), ["row"])
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), F.struct(*extra).alias("row"))
-    marked = repeats(rows.filter("id is not null and text is not null").select("id", "key", "text"), length, seed, group)
-    found = rows.join(marked, ["id", "key"], "left").select("id", "row", "text", "places")
+    others = [F.struct(*extra).alias("row")] if extra else []
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("content"), *others)
+    whole = rows.filter("id is not null and content is not null")
+    marked = repeats(whole.select("id", "key", "content"), length, seed, group)
+    found = whole.join(marked, ["id", "key"], "left").drop("key")
+    found = found.unionByName(rows.filter("id is null or content is null").drop("key"), allowMissingColumns=True)
+
+    passed = [c for c in found.columns if c != "places"]
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _each_text(tables):
@@ -308,12 +338,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("row"), batch.column("text"), pa.array([len(w) for w in texts], pa.int64()),
+                    *(batch.column(c) for c in passed), pa.array([len(w) for w in texts], pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string()),
                 ],
-                names=["id", "row", "text", *results],
+                names=[*passed, *results],
             )
 
     kinds = (T.LongType(), T.ArrayType(SPAN), T.StringType())
-    schema = T.StructType([*found.select("id", "row", "text").schema, *map(T.StructField, results, kinds)])
-    return found.mapInArrow(batches, schema).select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col("row")[c].alias(c) for c in extra), *results)
+    schema = T.StructType([*found.select(*passed).schema, *map(T.StructField, results, kinds)])
+    return found.mapInArrow(batches, schema).select(F.col("id").alias(id_col), F.col("content").alias(text_col), *(F.col("row")[c].alias(c) for c in extra), *results)
