@@ -6,6 +6,8 @@ decimals and arrays are joined, so both engines print equal values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from siftline.checks import oracle as O
 from siftline.checks.settings import CANDIDATE, DECISION, FRAGMENT, FRAGMENT_PAIRED, PLAN, PROFILE, QC, SINGLE_LOOK
 from siftline.functions import sequence, stats, text
 from siftline.operators import adjudicate, aggregate, decision, hits, qc, sampling
-from siftline.plans import screen
+from siftline.plans import screen, sequential
+from siftline.tuning import shared_folder
 
 QUERIES: dict = {}
 
@@ -826,6 +829,21 @@ def sequential_decisions(spark, sf):
     return decision.sample_decisions(looks(spark, sf))
 
 
+@query(
+    "sequential_decisions_by_look",
+    O.sampled(
+        """SELECT sample_id, rounds_run::INT AS rounds_run, sampled AS sampled_fragments, accepted AS accepted_virus, status AS decision_status, stop AS stop_reason FROM decisions"""
+    ),
+)
+def sequential_decisions_by_look(spark, sf):
+    """Looks taken one by one, over undecided samples only."""
+    folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    sampled = sampled_fragments(spark, sf)
+    sequential.split_by_round(table(spark, sf, A.HITS), sampled, PROFILE, folder)
+    samples = table(spark, sf, A.HIT_FRAGMENTS).select("sample_id")
+    return decision.sample_decisions(sequential.look_by_look(folder, table(spark, sf, A.MANIFEST), samples, PROFILE).looks)
+
+
 @query(
     "merged_level_outcomes",
     O.sampled("SELECT sample_id, round::INT AS round, status AS decision_status, coalesce(stop, '') AS stop_reason FROM look_outcomes"),

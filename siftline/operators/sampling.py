@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.config import PROPORTIONAL_MAX_COUNT, PROPORTIONAL_MIN_COUNT, SamplingPlan
+from siftline.tuning import is_small
 
 RANK_BUCKET_DIGITS = 3
 ORDER_BLOCK = 1 << 16
@@ -74,6 +75,20 @@ def representative_sample(fragments: DataFrame, seed: int, k: int) -> DataFrame:
     ).drop("group_rows")
 
 
+def within_sample(rows: DataFrame, sampled: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (sample_id, fragment_key and others) without those whose fragment is surely not in ``sampled``, before they move.
+
+    A sample keeps the fragments of smallest seeded rank, so the largest rank that it keeps (one value a sample, broadcast
+    after a check of their number) rules out every fragment above it. Exact: no sampled fragment is lost, and only
+    unsampled ones of the same rank stay. With too many samples to broadcast, rows stay as they are.
+    """
+    cutoffs = sampled.groupBy("sample_id").agg(F.max("rank_hex").alias("_cutoff"))
+    if not is_small(cutoffs):
+        return rows
+    below = rank_key(seed, F.col("fragment_key")) <= F.col("_cutoff")
+    return rows.join(F.broadcast(cutoffs), "sample_id").filter(below).drop("_cutoff")
+
+
 def prefix_sizes(targets, retained: Column) -> Column:
     """Array of min(target, retained)."""
     return F.array(*[F.least(F.lit(t).cast("bigint"), retained.cast("bigint")) for t in targets])

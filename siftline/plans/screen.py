@@ -37,6 +37,14 @@ def single_look_calls(mappings: DataFrame, manifest: DataFrame, profile: Profile
     return aggregate.candidate_calls(fragment_table(mappings, classified, profile.fragment), classified)
 
 
+def of_sample(mappings: DataFrame, sampled: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """The mappings that sampled fragments may have, and the sampled fragments, evaluated once."""
+    if "rank_hex" not in sampled.columns:
+        return mappings, sampled
+    sampled = settle(sampled.select("sample_id", "fragment_key", "entry_round", "rank_hex"))
+    return sampling.within_sample(mappings, sampled, profile.sampling.seed), sampled
+
+
 def look_calls(
     mappings: DataFrame,
     manifest: DataFrame,
@@ -44,8 +52,12 @@ def look_calls(
     profile: Profile,
     samples: DataFrame | None = None,
 ) -> DataFrame:
-    """Candidate calls of every look, with look markers."""
+    """Candidate calls of every look, with look markers.
+
+    With seeded ranks (``rank_hex``), mappings of fragments beyond their sample's largest rank go before they move.
+    """
     classified = hits.usable_contigs(manifest)
+    mappings, sampled = of_sample(mappings, sampled, profile)
     fragments = fragment_table(mappings, classified, profile.fragment, sampled)
     return aggregate.candidate_calls(
         fragments, classified, profile.sampling.look_count, "entry_round", samples

@@ -9,15 +9,19 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether rows and bytes, spelled out as text, are within bounds; the count stops at ``max_rows + 1``."""
+    width = sum((F.coalesce(F.octet_length(df[c].cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    rows, size = df.select(width.alias("width")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after counting the rows of ``df`` and the bytes of its columns, spelled out as text.
+    """Hint a broadcast only after counting the rows of ``df`` and their bytes.
 
-    The count stops at ``max_rows + 1``. A larger side keeps a shuffle join, which
-    adaptive execution splits where a key is skewed.
+    A larger side keeps a shuffle join, which adaptive execution splits where a key is skewed.
     """
-    width = sum((F.coalesce(F.octet_length(df[c].cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
-    rows, size = df.select(width.alias("width")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def shared_folder(spark) -> str:

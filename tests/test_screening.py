@@ -1,13 +1,18 @@
 """Hits, adjudication, aggregation, decisions."""
 
+import dataclasses
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import CandidateRules, DecisionRules, FragmentRules, Profile, SamplingPlan
-from siftline.operators import adjudicate, aggregate, calibration, decision, hits
-from siftline.plans import screen
+from siftline import adapters as A
+from siftline.checks import queries as Q
+from siftline.checks.settings import PLAN, PROFILE
+from siftline.operators import adjudicate, aggregate, calibration, decision, hits, sampling
+from siftline.plans import screen, sequential
+from siftline.tuning import settle
 from siftline.schema import HITS, MANIFEST
 
 PANEL = [
@@ -270,3 +275,47 @@ def test_screen_end_to_end(spark):
     live = {r.sample_id: r for r in screen.screen(fragments, table(spark, rows), panel(spark), streaming).runs.collect()}
     assert live["titer"].decision_status == "positive"
     assert "non_representative_sampling_mode" in live["titer"].release_secondary_blockers
+
+
+def test_cutoff_filters_before_mappings_move(spark, sf_dir):
+    sampled = settle(Q.sampled_fragments(spark, sf_dir))
+    mappings = settle(Q.table(spark, sf_dir, A.HITS))
+    kept = sampling.within_sample(mappings, sampled, PLAN.seed)
+    keys = ["sample_id", "fragment_key"]
+    assert sorted(kept.join(sampled, keys, "left_semi").collect()) == sorted(mappings.join(sampled, keys, "left_semi").collect())
+    share = sampled.count() / mappings.select(keys).distinct().count()
+    assert kept.count() < 1.2 * share * mappings.count()
+    plan = screen.look_calls(mappings, Q.table(spark, sf_dir, A.MANIFEST), sampled, PROFILE)._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0 :].splitlines()
+    filtered = next(i for i, line in enumerate(lines) if "md5" in line)
+    # Below the filter, toward the mappings, nothing is shuffled but the cutoffs that are broadcast.
+    assert "Exchange hashpartitioning" in "".join(lines[:filtered])
+    scans = [i for i, line in enumerate(lines) if "Scan ExistingRDD" in line and i > filtered and "target_start" in line]
+    assert scans and not any("Exchange hashpartitioning" in line for line in lines[filtered : scans[0]])
+
+
+def test_looks_one_by_one_do_not_read_stopped_samples(spark, sf_dir, tmp_path):
+    lax = dataclasses.replace(
+        PROFILE.candidate, max_ambiguous_fraction_for_positive=5.0, min_nonoverlap_fragments=5, min_breadth=0.05, theta_pos_absolute=5
+    )
+    profile = dataclasses.replace(PROFILE, candidate=lax, sampling=dataclasses.replace(PLAN, rounds=(200, 400, 800)))
+    sampled = settle(sampling.entry_round(Q.table(spark, sf_dir, A.HIT_FRAGMENTS), profile.sampling))
+    mappings, manifest = Q.table(spark, sf_dir, A.HITS), Q.table(spark, sf_dir, A.MANIFEST)
+    every = settle(screen.evaluated_looks(screen.look_calls(mappings, manifest, sampled, profile), profile))
+    stops = {r.sample_id: r.rounds_run for r in decision.sample_decisions(decision.decide(every, PLAN.look_count, profile.decision)).collect()}
+    assert min(stops.values()) < PLAN.look_count
+    folder = str(tmp_path / "rounds")
+    sequential.split_by_round(mappings, sampled, profile, folder)
+    spoilt = 0
+    for sample, stop in stops.items():
+        for later in range(stop + 1, PLAN.look_count + 1):
+            for file in (tmp_path / "rounds" / f"entry_round={later}" / f"place=s-{sample}").glob("*.parquet"):
+                file.write_bytes(b"unreadable")
+                spoilt += 1
+    assert spoilt
+    found = sequential.look_by_look(folder, manifest, sampled.select("sample_id"), profile)
+    upto = F.element_at(F.create_map(*[F.lit(x) for pair in stops.items() for x in pair]), F.col("sample_id"))
+    columns = [c for c in every.columns if c in found.evaluated.columns]
+    spelled = lambda df: sorted(map(repr, df.filter(F.col("round") <= upto).select(columns).collect()))
+    assert set(columns) == set(every.columns) and spelled(found.evaluated) == spelled(every)
+    assert {r.sample_id: r.rounds_run for r in decision.sample_decisions(found.looks).collect()} == stops
