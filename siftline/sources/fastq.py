@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import normalize_qname, sample_name
 from siftline.sources.lines import numbered_lines
-from siftline.tuning import broadcast_if_small
+from siftline.tuning import broadcast_if_small, is_small
 
 # Accepted file endings by input kind.
 FASTQ_ENDINGS = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
@@ -39,13 +43,44 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def paired_files(spark: SparkSession, r1, r2) -> DataFrame:
+def paired_files(spark: SparkSession, r1, r2) -> list[tuple[str, int, int, str]]:
     """(path, mate, pair, r1_path): files paired by their place in the two lists."""
     listed = [[f for p in ([paths] if isinstance(paths, str) else paths) for f in _files(spark, str(p))] for paths in (r1, r2)]
     if len(listed[0]) != len(listed[1]):
         raise ValueError(f"{len(listed[0])} R1 files and {len(listed[1])} R2 files do not pair")
-    rows = [(f, mate, pair, listed[0][pair]) for mate, files in ((1, listed[0]), (2, listed[1])) for pair, f in enumerate(files)]
-    return spark.createDataFrame(rows, "path string, mate int, pair long, r1_path string")
+    return [(f, mate, pair, listed[0][pair]) for mate, files in ((1, listed[0]), (2, listed[1])) for pair, f in enumerate(files)]
+
+
+PARTS = ("head", "seq", "plus", "qual")
+
+
+def mate_records(lines: DataFrame) -> DataFrame:
+    """(pair, mate, ordinal, head, seq, plus, qual) of lines (pair, mate, line_no, line) that come in the order of their files.
+
+    Four lines in a row that begin at a multiple of four are a record and make one row. Other lines, cut off from their
+    record by the end of a split or of a batch of lines, are rows of their own with the other parts null.
+    """
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            pair, mate, number = (batch.column(i).to_numpy() for i in range(3))
+            breaks = (pair[1:] != pair[:-1]) | (mate[1:] != mate[:-1]) | (number[1:] != number[:-1] + 1)
+            stretch = np.concatenate(([0], np.cumsum(breaks)))
+            first = np.flatnonzero(number[:-3] % 4 == 0) if len(number) > 3 else np.zeros(0, np.int64)
+            first = first[stretch[first] == stretch[first + 3]]
+            whole = np.zeros(len(number), bool)
+            for i in range(4):
+                whole[first + i] = True
+            loose = np.flatnonzero(~whole)
+            rows, none = np.concatenate((first, loose)), np.zeros(len(first), bool)
+            cells = [
+                batch.column(3).take(pa.array(np.concatenate((first + i, loose)), mask=np.concatenate((none, number[loose] % 4 != i))))
+                for i in range(4)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[rows]), pa.array(mate[rows]), pa.array(number[rows] // 4), *cells], names=["pair", "mate", "ordinal", *PARTS])
+
+    text = ", ".join(f"{part} string" for part in PARTS)
+    return lines.select("pair", "mate", "line_no", "line").mapInArrow(batches, f"pair long, mate int, ordinal long, {text}")
 
 
 def _bare(path):
@@ -58,29 +93,23 @@ def read_fastq_pairs(spark: SparkSession, r1, r2, sample=sample_name) -> tuple[D
 
     ``sample`` turns the R1 path of a pair into the sample id; the default uses the file name. Several
     pairs may share a sample: ``record_number`` goes by pair, then by place in the file. A record without any text at the end of
-    its files is no record; anywhere else it is a reject. All lines move once, to their
-    record. Gzip files are read as one task each, as the format cannot be split.
+    its files is no record; anywhere else it is a reject. Lines become
+    records where they are read; records move once, to their mates. Gzip files are read as one task each, as the format cannot be split.
     """
-    files = paired_files(spark, r1, r2)
-    paths = [r[0] for r in files.select("path").collect()]
-    lines = (
-        numbered_lines(spark, paths)
-        .withColumn("path", _bare(F.col("path")))
-        .join(broadcast_if_small(files.withColumn("path", _bare(F.col("path")))), "path")
-        .select(
-            "pair",
-            sample(F.col("r1_path")).alias("sample_id"),
-            F.floor(F.col("line_no") / 4).alias("ordinal"),
-            F.struct(((F.col("mate") - 1) * 4 + F.col("line_no") % 4).cast("int").alias("slot"), "line").alias("part"),
-        )
-    )
-    # Eight lines make a record.
-    records = lines.repartition("pair", "ordinal").groupBy("pair", "ordinal").agg(
-        F.any_value("sample_id").alias("sample_id"), F.collect_list("part").alias("parts")
-    )
-    names = [f"r{mate}_{part}" for mate in (1, 2) for part in ("head", "seq", "plus", "qual")]
-    slot = lambda i: F.get(F.filter("parts", lambda p: p["slot"] == i), F.lit(0))["line"]
-    records = records.select("pair", "ordinal", "sample_id", *(slot(i).alias(n) for i, n in enumerate(names)))
+    listed = paired_files(spark, r1, r2)
+    files = spark.createDataFrame(listed, "path string, mate int, pair long, r1_path string").withColumn("path", _bare(F.col("path")))
+    samples = files.filter("mate = 1").select("pair", sample(F.col("r1_path")).alias("sample_id"))
+    lines = numbered_lines(spark, [row[0] for row in listed]).withColumn("path", _bare(F.col("path")))
+    if is_small(files):
+        lines = lines.join(F.broadcast(files), "path")
+    else:
+        # A shuffle join puts lines of a file together, not in order.
+        lines = lines.join(files, "path").sortWithinPartitions("pair", "mate", "line_no")
+    cell = lambda mate, part: F.max(F.when(F.col("mate") == mate, F.col(part))).alias(f"r{mate}_{part}")
+    # A record is a row, or a few where a split or a batch cuts it.
+    records = mate_records(lines).repartition("pair", "ordinal").groupBy("pair", "ordinal").agg(*(cell(m, part) for m in (1, 2) for part in PARTS))
+    records = records.join(broadcast_if_small(samples), "pair")
+    names = [f"r{mate}_{part}" for mate in (1, 2) for part in PARTS]
     key = lambda m: normalize_qname(F.substr(f"r{m}_head", F.lit(2)))
     malformed = F.lit(False)
     for m in (1, 2):

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.tuning import broadcast_if_small, settle
+from siftline.tuning import is_small, settle
 
 
 def numbered_lines(spark: SparkSession, paths, flag=None) -> DataFrame:
     """Columns: path, line (text), line_no (0-based per file), and, with ``flag``,
-    ``flags_through``: how many lines up to and including this one satisfy it."""
+    ``flags_through``: how many lines up to and including this one satisfy it.
+
+    Without ``flag``, the lines of a split come in order and in one partition."""
     mark = F.lit(0) if flag is None else flag(F.col("line")).cast("int")
     lines = spark.read.text(paths).select(
         F.col("value").alias("line"),
@@ -31,7 +33,11 @@ def numbered_lines(spark: SparkSession, paths, flag=None) -> DataFrame:
         "path", "block", "_first", before("_lines").alias("_start"), before("_flags").alias("_flagged")
     )
     # One row per block: settled so that its size can be checked without another scan.
-    joined = lines.join(broadcast_if_small(settle(offsets)), ["path", "block"])
+    offsets = settle(offsets)
+    if is_small(offsets):
+        joined = lines.join(F.broadcast(offsets), ["path", "block"])
+    else:
+        joined = lines.join(offsets, ["path", "block"]).sortWithinPartitions("path", "block", "_id")
     out = joined.withColumn("line_no", F.col("_start") + F.col("_id") - F.col("_first"))
     columns = ["path", "line", "line_no"]
     if flag is not None:

@@ -136,3 +136,24 @@ def test_checksum_inventory_of_files(spark, tmp_path):
     (tmp_path / "audit" / "checksum.sha256").write_text("ignored")
     rows = sinks.checksum_inventory(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0].sha256 == hashlib.sha256(b"x").hexdigest()
+
+
+def test_records_cut_by_splits(spark, tmp_path):
+    """Splits of a few lines, qualities that begin like a header, and bare carriage."""
+    n = 3_000
+    names = [f"f{i}" for i in range(n)]
+    for mate in (1, 2):
+        lines = [f"@{name}/{mate}\n{'ACGTN'[: 1 + i % 5] * 3}\n+\n{'@+I>~'[: 1 + i % 5] * 3}\n" for i, name in enumerate(names)]
+        (tmp_path / f"c_R{mate}.fq").write_text("".join(lines))
+    kept = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for split, rows in (("997", "10000"), ("50001", "7"), ("128m", "3")):
+            for key, value in zip(kept, (split, "1", rows)):
+                spark.conf.set(key, value)
+            fragments, rejects = fastq.read_fastq_pairs(spark, str(tmp_path / "c_R1.fq"), str(tmp_path / "c_R2.fq"))
+            rows = fragments.orderBy("record_number").collect()
+            assert [r.fragment_key for r in rows] == names and rejects.count() == 0
+            assert all(r.r1_qual == "@+I>~"[: 1 + i % 5] * 3 and r.r2_seq == "ACGTN"[: 1 + i % 5] * 3 for i, r in enumerate(rows))
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
