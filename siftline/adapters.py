@@ -57,11 +57,13 @@ SELECT DISTINCT l_returnflag AS sample_id, CAST(l_orderkey AS STRING) AS fragmen
 FROM {lineitem}
 """
 
-# Consecutive 300-character windows of each whole document, read as two mates.
+# Consecutive 300-character windows of each whole document, read as two mates. Documents are dealt out by key before they are
+# multiplied.
 _FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO = "ACCGANTTGNNCGATCNCATANNNGN" + "acCGGNTTGNNCGATCNCATGNNNAN"
 WINDOWS = """
-SELECT doc_id, source, text, {explode}({upto}(0, greatest(length(text) - 1, 0) // 300)) AS w FROM {documents}
+SELECT doc_id, source, text, {explode}({upto}(0, greatest(length(text) - 1, 0) // 300)) AS w
+FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, source, text FROM {documents}) dealt
 """
 FRAGMENTS = f"""
 SELECT source AS sample_id,

@@ -276,7 +276,8 @@ def seed_vote_hits(
     of shared seeds and NM is unknown. Seeds with ambiguous bases are skipped, every
     other seed votes. Within a mate the strongest diagonal is primary.
     """
-    mates = fragments.select(
+    # Reads move once, to their fragment; the seeds and votes they are multiplied into stay there.
+    mates = fragments.repartition("sample_id", "fragment_key").select(
         "sample_id",
         "fragment_key",
         F.explode(

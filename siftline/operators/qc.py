@@ -51,8 +51,9 @@ def qc_verdict(fragments: DataFrame, cfg: QcConfig = QcConfig()) -> DataFrame:
         .withColumn("_fast1", F.when(F.col("_sized"), fast_low_complexity(r1)))
         .withColumn("_fast2", F.when(F.col("_sized"), fast_low_complexity(r2)))
         .withColumn("_cheap", F.col("_sized") & fine(F.col("_fast1")) & fine(F.col("_fast2")))
-        .withColumn("_bits1", F.when(F.col("_cheap"), entropy_2mer(r1)))
-        .withColumn("_bits2", F.when(F.col("_cheap") & fine(F.col("_bits1")), entropy_2mer(r2)))
+        # Both mates in one pass; others are null and cost nothing.
+        .withColumns({f"_bits{mate}": entropy_2mer(F.when(F.col("_cheap"), r)) for mate, r in ((1, r1), (2, r2))})
+        .withColumn("_bits2", F.when(fine(F.col("_bits1")), F.col("_bits2")))
     )
 
     def verdict(reason: str, mate: int, observed: Column) -> Column:
