@@ -20,6 +20,8 @@ MOST_COPIES = 3
 SEED = 20_251
 # Documents that meet in one group; a level leaves one fraction of each.
 GROUP = 64
+# Repeats of a row that are handed their copies at once.
+REPEATS_AT_ONCE = 4_096
 
 
 def words_in(text: Column) -> Column:
@@ -27,12 +29,13 @@ def words_in(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, documents, target) of each source.
+    """(source, source_size, documents, target) of each source of ``sized`` (source, size, many: how often the row stands).
 
     Sources share all words by weight, none above ``most`` times its own; what is cut off is shared again by weight among
     the rest until none is above. Sources are numbered by ranges of their names, so that no task holds all of them.
     """
-    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")), "sources")
+    words = F.sum(F.col("size") * F.col("many"))
+    sums = written(sized.groupBy("source").agg(words.alias("source_size"), F.count(F.lit(1)).alias("documents")), "sources")
     # Bytes of UTF-8 sort as code points do.
     ranged = written(
         sums.repartitionByRange(F.col("source").asc_nulls_last())
@@ -113,34 +116,29 @@ def row_key(id_col: str, source_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws("\n", *parts))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-           weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(id, row_key, size, source_size, target, copies) of every row.
+def taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[float, ...], most: int, seed: int, group: int) -> DataFrame:
+    """(id, row_key, size, source_size, target, many, copies) of every distinct row: ``copies`` is what its ``many`` repeats take together.
 
-    ``copies`` is a whole number up to ``most``. The words taken of a source differ from its target by at most half the
-    size of one document. Null texts and texts without words have size 0; they are copied by chance, each on its own,
-    as they weigh nothing. Null ids and sources are ids and sources like others. Draws depend on ids, texts and
-    ``seed`` alone; repeated rows are interchangeable.
+    Repeats are counted before anything moves, and meet the others as one member, so no group holds more than its share.
     """
-    sized = written(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"),
-            row_key(id_col, source_col, text_col).alias("row_key"),
-        ),
-        "sizes",
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"),
+        row_key(id_col, source_col, text_col).alias("row_key"),
     )
+    sized = written(rows.groupBy("id", "source", "size", "row_key").agg(F.count(F.lit(1)).alias("many")), "sizes")
     targets = source_targets(sized, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(1.0)
     due = (
         sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
-        .withColumn("ratio", ratio)
-        .withColumns({"base": F.floor("ratio").cast("int"), "part": F.col("ratio") - F.floor("ratio"), "key": F.xxhash64("row_key", F.lit(seed))})
+        .withColumn("ratio", ratio * F.col("many"))
+        .withColumns({"base": F.floor("ratio").cast("long"), "part": F.col("ratio") - F.floor("ratio"), "key": F.xxhash64("row_key", F.lit(seed))})
     )
-    fields = ("part", "size", "key", "id", "row_key", "base", "source_size", "target")
+    fields = ("part", "size", "key", "id", "row_key", "base", "source_size", "target", "many")
+    kept = ("id", "row_key", "size", "source_size", "target", "many")
     whole = (F.col("part") == 0) | (F.col("size") == 0)
     chance = F.when(drawn(F.col("key"), F.lit("alone")) < F.col("part"), 1).otherwise(0)
-    results = [due.filter(whole).select("id", "row_key", "size", "source_size", "target", (F.col("base") + chance).alias("copies"))]
+    results = [due.filter(whole).select(*kept, (F.col("base") + chance).alias("copies"))]
     open_rows = due.filter(~whole).select("source", "documents", *fields)
     counted = targets.agg(F.max("documents")).first()[0] or 0
     level = 0
@@ -153,14 +151,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         )
         folded = written(gathered.select("source", F.ceil(F.col("documents") / group).alias("documents"), pivoted(F.col("members"), seed + level).alias("out")), "pivots")
         done = folded.select(F.explode("out.done").alias("row")).select(
-            "row.id", "row.row_key", "row.size", "row.source_size", "row.target", (F.col("row.base") + F.col("row.part").cast("int")).alias("copies")
+            *(f"row.{c}" for c in kept), (F.col("row.base") + F.col("row.part").cast("int")).alias("copies")
         )
         results.append(done)
         rest = folded.filter(F.col("out.rest").isNotNull())
         if last:
             nearest = F.when(F.col("out.rest.part") >= 0.5, 1).otherwise(0)
             results.append(
-                rest.select("out.rest.id", "out.rest.row_key", "out.rest.size", "out.rest.source_size", "out.rest.target", (F.col("out.rest.base") + nearest).alias("copies"))
+                rest.select(*(f"out.rest.{c}" for c in kept), (F.col("out.rest.base") + nearest).alias("copies"))
             )
             break
         open_rows = rest.select("source", "documents", "out.rest.*")
@@ -169,17 +167,46 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     found = results[0]
     for more in results[1:]:
         found = found.unionByName(more)
-    return found.withColumnRenamed("id", id_col)
+    return found
+
 
+def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+           weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(id, row_key, size, source_size, target, copies) of every row.
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
+    ``copies`` is a whole number up to ``most``. The words taken of a source differ from its target by at most half the
+    size of one document. Null texts and texts without words have size 0; they are copied by chance, each on its own,
+    as they weigh nothing. Null ids and sources are ids and sources like others. Draws depend on ids, texts and
+    ``seed`` alone; repeated rows are interchangeable, and divide what they take together.
+    """
+    found = taken(docs, id_col, source_col, text_col, weights, most, seed, group)
+    # A row for each repeat, in pieces, so that no array is as long as their number.
+    pieces = found.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(REPEATS_AT_ONCE).cast("long"))))
+    each = pieces.withColumn("_place", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + REPEATS_AT_ONCE, F.col("many")) - 1)))
+    return each.select(F.col("id").alias(id_col), "row_key", "size", "source_size", "target", _own(F.col("_place"), F.col("copies"), F.col("many")).alias("copies"))
+
+
+def _own(place: Column, together: Column, many: Column) -> Column:
+    """What the repeat at ``place``, from 0, has of what ``many`` of them take together."""
+    return (F.floor(together / many) + F.when(place < together % many, 1).otherwise(0)).cast("int")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+          weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; names that begin with ``_mix_`` are the operator's own."""
-    taken = (
-        copies(docs, id_col, source_col, text_col, **rules).groupBy(F.col("row_key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_all"), F.count(F.lit(1)).alias("_mix_rows"))
-    )
-    met = docs.withColumn("_mix_key", row_key(id_col, source_col, text_col)).join(taken, "_mix_key")
-    # Repeated rows divide what they are taken together.
-    place = F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key"))
-    times = F.expr("_mix_all div _mix_rows") + F.when(F.col("_mix_place") <= F.col("_mix_all") % F.col("_mix_rows"), 1).otherwise(0)
-    several = met.withColumn("_mix_place", place).withColumn("_mix_times", times.cast("int")).filter("_mix_times > 0")
+    found = taken(docs, id_col, source_col, text_col, weights, most, seed, group)
+    found = written(found.select(F.col("row_key").alias("_mix_key"), F.col("many").alias("_mix_many"), F.col("copies").alias("_mix_all")), "mix")
+    met = docs.withColumn("_mix_key", row_key(id_col, source_col, text_col)).join(found, "_mix_key")
+    several = met.filter("_mix_many = 1").withColumn("_mix_times", F.col("_mix_all").cast("int"))
+    if found.filter("_mix_many > 1").limit(1).count():
+        # Repeats are numbered inside the parts of a table, and parts by their counts: no task holds all of one row.
+        repeated = written(met.filter("_mix_many > 1").withColumn("_mix_id", F.monotonically_increasing_id()), "repeats")
+        repeated = repeated.withColumn("_mix_part", F.shiftright("_mix_id", 33))
+        parts = repeated.groupBy("_mix_key", "_mix_part").agg(F.count(F.lit(1)).alias("_mix_rows"))
+        parts = parts.withColumn("_mix_before", F.sum("_mix_rows").over(Window.partitionBy("_mix_key").orderBy("_mix_part")) - F.col("_mix_rows"))
+        inside = F.row_number().over(Window.partitionBy("_mix_key", "_mix_part").orderBy("_mix_id")) - 1
+        repeated = repeated.withColumn("_mix_inside", inside).join(parts, ["_mix_key", "_mix_part"])
+        times = _own(F.col("_mix_before") + F.col("_mix_inside"), F.col("_mix_all"), F.col("_mix_many"))
+        several = several.unionByName(repeated.withColumn("_mix_times", times).select(*several.columns))
+    several = several.filter("_mix_times > 0")
     return several.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -31,6 +31,46 @@ def naive_targets(sizes):
         capped |= over
 
 
+def test_mix_of_a_row_that_is_a_third_of_the_table(spark, documents):
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 30])), rng.choice("ab")) for i in range(800)] + [(9_999, "one two three", "a")] * 400
+    docs = documents(rows).withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id().cast("string"))).repartition(3)
+    groups = mixing.taken(docs, "doc_id", "source", "text", mixing.WEIGHTS, 3, 1, 16)
+    assert groups.count() == 801 and groups.filter("many = 400").count() == 1
+    found = mixing.copies(docs, group=16).collect()
+    assert len(found) == len(rows)
+    repeats = Counter(r.copies for r in found if r.doc_id == 9_999)
+    assert sum(repeats.values()) == 400 and max(repeats) - min(repeats) <= 1
+    sizes = {s: sum(len(t.split()) for _i, t, x in rows if x == s) for s in "ab"}
+    for source, target in naive_targets(sizes).items():
+        by = {i: s for i, _t, s in rows}
+        assert abs(sum(r.size * r.copies for r in found if by[r.doc_id] == source) - target) <= 15
+    mix = Counter(r.doc_id for r in mixing.mixed(docs, group=16).collect())
+    want = Counter()
+    for r in found:
+        want[r.doc_id] += r.copies
+    assert mix == +want
+    # No row of the 400 is taken more than once more than another.
+    langs = Counter(r.lang for r in mixing.mixed(docs, group=16).filter("doc_id = 9999").collect())
+    assert max(langs.values()) - min(langs.values() if len(langs) == 400 else [0]) <= 1
+
+
+def test_pivots_are_unbiased(spark):
+    """Over many draws, the mean of what each member is rounded to is its fraction, and the words due never change."""
+    parts, sizes, draws = (0.2, 0.5, 0.9, 0.35, 0.6), (5, 3, 8, 2, 6), 4_000
+    members = F.array(*[
+        F.struct(F.lit(p).alias("part"), F.lit(n).cast("long").alias("size"), F.xxhash64("id", F.lit(i)).alias("key"), F.lit(i).alias("member"))
+        for i, (p, n) in enumerate(zip(parts, sizes))
+    ])
+    out = spark.range(draws).select(mixing.pivoted(members, 3).alias("out"))
+    ends = out.select(F.explode(F.concat("out.done", F.when(F.col("out.rest").isNotNull(), F.array("out.rest")).otherwise(F.array().cast(out.schema["out"].dataType["done"].dataType)))).alias("m"))
+    for r in ends.groupBy("m.member").agg(F.avg("m.part").alias("mean"), F.count(F.lit(1)).alias("n")).collect():
+        assert r.n == draws and abs(r.mean - parts[r.member]) < 0.03
+    due = sum(p * n for p, n in zip(parts, sizes))
+    kept = out.select((F.aggregate("out.done", F.lit(0.0), lambda a, m: a + m["part"] * m["size"]) + F.coalesce(F.col("out.rest.part") * F.col("out.rest.size"), F.lit(0.0))).alias("due"))
+    assert kept.filter(F.abs(F.col("due") - due) > 1e-6).count() == 0
+
+
 def test_mix_meets_its_targets(documents):
     rng = random.Random(10)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 90])), rng.choice(["a", "B", "ç", None, "b", "hot", "hot", "hot"])) for i in range(1500)]
