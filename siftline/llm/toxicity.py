@@ -6,7 +6,7 @@ hold of the toxic class is taken off, and where that would make the risk of the
 back instead. The classifiers are linear in the words that a text has, with a one-norm penalty that leaves few words.
 
 A bounded sample is learned from: at most POSITIVES toxic and UNLABELLED other texts, the first by hash of
-their id. Each classifier takes all the toxic texts and leaves out its own part of the others. The class prior counts all labels,
+their id, of TEXT_BYTES each at most and of SAMPLE_BYTES in all of either kind; repeated rows count once. Each classifier takes all the toxic texts and leaves out its own part of the others. The class prior counts all labels,
 and every text is scored whole.
 """
 
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.shared import crc32_of_id
 
 BAGS, POSITIVES, UNLABELLED = 3, 4_000, 15_000
+TEXT_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 20
 # Features are those that at least so many toxic texts and such a share of them have, and so many times the share of all texts.
 LEAST_TEXTS, LEAST_SHARE, LIFT = 3, 0.02, 4.0
 STEPS, RATE, PENALTY = 300, 0.1, 5e-5
@@ -103,20 +104,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     all_labels, toxic = counts[0], counts[1] or 0
     prior = toxic / all_labels if 0 < toxic < all_labels else PRIOR
     order = F.xxhash64(F.col("id"), F.lit("toxicity"))
-    chosen = lambda df, kind, most: (
-        df.select(F.col(id_col).alias("id")).orderBy(order, "id").limit(most).withColumn("kind", F.lit(kind))
-    )
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes"))
+    texts = texts.filter(training_side("id") & (F.col("bytes") <= TEXT_BYTES))
+
+    def chosen(rows: DataFrame, kind: int, most: int) -> DataFrame:
+        first = rows.dropDuplicates(["id", "key"]).withColumn("order", order).orderBy("order", "id", "key").limit(most)
+        # At most ``most`` rows in one task.
+        so_far = F.sum("bytes").over(Window.orderBy("order", "id", "key"))
+        return first.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).select("id", "key", F.lit(kind).alias("kind"))
+
     every = F.sequence(F.lit(0), F.lit(BAGS - 1))
-    toxic_ids = chosen(marks.filter("mark = 1").join(docs.select(id_col), id_col, "left_semi"), 1, POSITIVES).withColumn("bag", F.explode(every))
+    toxic_ids = marks.filter("mark = 1").select(F.col(id_col).alias("id"))
+    toxic_rows = chosen(texts.join(toxic_ids, "id", "left_semi"), 1, POSITIVES).withColumn("bag", F.explode(every))
     others = F.filter(every, lambda bag: bag != F.pmod(F.xxhash64("id"), F.lit(BAGS)))
-    other_ids = chosen(docs.filter(training_side(id_col)), 0, UNLABELLED).withColumn("bag", F.explode(others))
+    other_rows = chosen(texts, 0, UNLABELLED).withColumn("bag", F.explode(others))
     # At most BAGS * POSITIVES + (BAGS - 1) * UNLABELLED rows.
-    picked = F.broadcast(toxic_ids.unionByName(other_ids).distinct())
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
-    features = sample.select("bag", "kind", "id", word_hashes(F.col("text")).alias("words"))
+    picked = F.broadcast(toxic_rows.unionByName(other_rows))
+    sample = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).join(picked, ["id", "key"])
+    # Repeats of a chosen text go before their words move.
+    features = sample.groupBy("bag", "kind", "id", "key").agg(F.first(word_hashes(F.col("text"))).alias("words"))
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "id"], ascending=False, kind="stable")
+        group = group.sort_values(["kind", "id", "key"], ascending=False, kind="stable")
         texts = [np.sort(np.asarray(w, np.int64)) for w in group["words"]]
         n = int((group["kind"] == 1).sum())
         words, weights, bias = fit(texts[:n], texts[n:], prior)
