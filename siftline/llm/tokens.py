@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm.shared import ragged, strings
 
-# Cached pieces before the cache starts anew.
-CACHE_MOST = 1_000_000
+# Bytes of cached pieces, about, before the cache starts anew; longer pieces than LONGEST characters are not kept.
+CACHE_BYTES, LONGEST = 48 << 20, 256
+_ENTRY_BYTES = 200
 # Bytes of texts that are encoded together where offsets are kept.
 BYTES_AT_ONCE = 1 << 20
 # Lower-case pieces that the normalizer leaves as they are, and the units that the pre-tokenizer makes of them: runs of letters,
@@ -26,6 +28,54 @@ _PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+").fullmatch
 _UNITS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+").findall
 
 
+# The parts of the two tokenizers' files that decide where texts may be cut, as the encoders below rely on them.
+_WORD_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+_BYTE_PARTS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "post_processor": None,
+}
+# Parts of a BPE model that would encode a piece otherwise than its merges do.
+_PLAIN_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def relies_on(path: str, parts: dict) -> bool:
+    """Whether a tokenizer's file has exactly these parts, a plain BPE model, and added tokens that all begin with ``<|``."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    model = found["model"]
+    plain = model.get("type") == "BPE" and all(model.get(name, value) == value for name, value in _PLAIN_MODEL.items())
+    own = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in found["added_tokens"])
+    return plain and own and all(found.get(name) == value for name, value in parts.items())
+
+
+class Pieces(dict):
+    """A cache from pieces of text to bytes, bounded by its bytes."""
+
+    held = 0
+
+    def keep(self, piece: str, value: bytes) -> bytes:
+        if len(piece) <= LONGEST:
+            self[piece] = value
+            self.held += _ENTRY_BYTES + len(piece) + len(value)
+        return value
+
+    def bound(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
+
 def byte_letters() -> dict[int, str]:
     """The letter of each byte in a byte-level vocabulary: its own where printable in Latin-1, else the next from 256 up."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -33,11 +83,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
+class Encoder(Pieces):
     """Ids of whole texts from a tokenizer that lowers case and drops white space, so that texts fall into pieces at blanks and line ends.
 
     Each distinct piece is encoded once by the library and its ids kept; the ids of a text are its pieces' ids in order,
-    the same as the library gives for the whole text.
+    the same as the library gives for the whole text. With a tokenizer of any other kind, the library takes each text whole.
     """
 
     def __init__(self, path: str):
@@ -50,6 +100,7 @@ class Encoder(dict):
         self.kind = np.dtype("<u2" if self.largest < 1 << 16 else "<u4")
         self._code = "H" if self.kind.itemsize == 2 else "I"
         self._model, self._letters = self.tokenizer.model, byte_letters()
+        self.by_pieces = relies_on(path, _WORD_PARTS)
 
     def __missing__(self, piece: str) -> bytes:
         lower = piece.lower() if _in_latin(piece) else piece
@@ -64,15 +115,17 @@ class Encoder(dict):
         else:
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
             ids = array(self._code, [t.id for t in self._model.tokenize(letters)]).tobytes()
-        self[piece] = ids
-        return ids
+        return self.keep(piece, ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each UTF-8 text."""
         out = []
         for raw in texts:
-            if len(self) > CACHE_MOST:
-                self.clear()
+            if not self.by_pieces:
+                ids = self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+                out.append(array(self._code, ids).tobytes())
+                continue
+            self.bound()
             text = raw.decode("utf-8", "replace").replace("\n", " ")
             if "<|" not in text and _in_latin(text):
                 text = text.lower()
@@ -160,11 +213,12 @@ _SIMPLE = re.compile(f" ?[{_LATIN}0-9{_MARKS}]+").fullmatch
 _SIMPLE_UNITS = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+").findall
 
 
-class OffsetEncoder(dict):
+class OffsetEncoder(Pieces):
     """Places of the tokens of whole texts, from a byte-level tokenizer.
 
     Its pre-tokenizer never joins what stands before a blank with what stands after, so a text is the sequence of its
-    words with the blank before each; each distinct one is encoded once by the library and its places kept.
+    words with the blank before each; each distinct one is encoded once by the library and its places kept. With a
+    tokenizer of any other kind, the library takes each text whole.
     """
 
     def __init__(self, path: str):
@@ -175,6 +229,7 @@ class OffsetEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self._model, self._letters = self.tokenizer.model, byte_letters()
+        self.by_pieces = relies_on(path, _BYTE_PARTS)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
@@ -199,15 +254,13 @@ class OffsetEncoder(dict):
                 end = at + len(token.value)
                 places.extend((at, end) if of_byte is None else (of_byte[at], of_byte[end - 1] + 1))
                 at = end
-        found = self[piece] = places.tobytes()
-        return found
+        return self.keep(piece, places.tobytes())
 
     def offsets(self, text: str) -> np.ndarray:
         """(start, end) of each token, in code points."""
-        if _ODD_BLANK(text):
+        if not self.by_pieces or _ODD_BLANK(text):
             return self.whole(text)
-        if len(self) > CACHE_MOST:
-            self.clear()
+        self.bound()
         pieces = _CUTS(text)
         known = list(map(self.__getitem__, pieces))
         places = np.frombuffer(b"".join(known), np.int32).reshape(-1, 2).astype(np.int64)

@@ -1,5 +1,6 @@
 """Tokens, toxicity, chat, personal data and secrets."""
 
+import json
 import random
 import re
 import zlib
@@ -28,6 +29,30 @@ def test_offsets_are_the_library():
     assert all((encoder.offsets(t) == encoder.whole(t)).all() and len(encoder.offsets(t)) == len(encoder.whole(t)) for t in texts)
 
 
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    """The fast ways are taken with exactly the known parts; any other file goes to the library."""
+    assert tokens.Encoder(WORDS).by_pieces and tokens.OffsetEncoder(BYTES).by_pieces
+    texts = ["", "Don't  <|endoftext|> X's 12\n É", "a b  c", "ÀÉ.x"]
+    for path in (BYTES, WORDS):
+        encoder, places = tokens.Encoder(path), tokens.OffsetEncoder(path)
+        assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert all((places.offsets(t) == places.whole(t)).all() for t in texts)
+    changed = json.loads(open(WORDS, encoding="utf-8").read())
+    changed["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(changed))
+    other = tokens.Encoder(str(tmp_path / "t.json"))
+    assert not other.by_pieces and np.frombuffer(other.encode([b"Ab Cd"])[0], other.kind).tolist() == other.tokenizer.encode("Ab Cd", add_special_tokens=False).ids
+
+
+def test_piece_cache_is_bound_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 5_000)
+    encoder, offsets = tokens.Encoder(WORDS), tokens.OffsetEncoder(BYTES)
+    for i in range(300):
+        encoder.encode([f"w{i} x{i}".encode()])
+        offsets.offsets(f"w{i} x{i} " + "y" * 2_000)
+        assert encoder.held <= 7_000 and offsets.held <= 30_000 and len(encoder) < 40
+
+
 def naive_allotment(spans, sections, rule):
     counts, outside = [0.0] * len(sections), 0
     for s, e in spans:
