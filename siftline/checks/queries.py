@@ -206,6 +206,13 @@ def seeded_ranks(spark, sf):
     ).select("sample_id", "fragment_key", "rank_hex", "rank")
 
 
+@query("siphash_ranks", None)
+def siphash_ranks(spark, sf):
+    """Ranks of the second hash; tests hold it against another implementation."""
+    ranked = table(spark, sf, A.HIT_FRAGMENTS).withColumn("rank_hex", sampling.rank_key(PLAN.seed, F.col("fragment_key"), "siphash13"))
+    return ranked.select("sample_id", "fragment_key", "rank_hex")
+
+
 @query(
     "bottom_k_sample",
     f"SELECT sample_id, fragment_key, rank FROM ({_RANKED} FROM ({A.plain_sql(A.HIT_FRAGMENTS)}) f) r WHERE rank < 5000",

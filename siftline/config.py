@@ -87,8 +87,12 @@ class SamplingPlan:
     rounds: tuple[int, ...] = ()
     proportions: tuple[float, ...] = ()
     allow_threshold_override: bool = False
+    # How fragments are ranked: ``md5``, which any engine has, or ``siphash13``.
+    hash: str = "md5"
 
     def __post_init__(self) -> None:
+        if self.hash not in ("md5", "siphash13"):
+            raise ValueError(f"unknown rank hash {self.hash!r}")
         if self.mode not in ("representative", "streaming"):
             raise ValueError(f"unknown sampling mode {self.mode!r}")
         if bool(self.rounds) == bool(self.proportions):

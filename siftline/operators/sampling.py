@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.config import PROPORTIONAL_MAX_COUNT, PROPORTIONAL_MIN_COUNT, SamplingPlan
+from siftline.functions.siphash import siphash13_hex
 from siftline.tuning import is_small
 
 RANK_BUCKET_DIGITS = 3
 ORDER_BLOCK = 1 << 16
 
 
-def rank_key(seed: int, key: Column) -> Column:
+def rank_key(seed: int, key: Column, hash: str = "md5") -> Column:
     """Order-free seeded rank: fixed-width hex text, so string order is unsigned order."""
+    if hash == "siphash13":
+        return siphash13_hex(seed, key)
     return F.md5(F.concat(F.lit(f"{seed}:"), key))
 
 
@@ -63,9 +66,9 @@ def bucketed_rank(
     return ranked.drop("_bucket", "bucket_start")
 
 
-def representative_sample(fragments: DataFrame, seed: int, k: int) -> DataFrame:
+def representative_sample(fragments: DataFrame, seed: int, k: int, hash: str = "md5") -> DataFrame:
     """Exact bottom-k per sample by seeded rank, ties broken by key."""
-    hashed = fragments.withColumn("rank_hex", rank_key(seed, F.col("fragment_key")))
+    hashed = fragments.withColumn("rank_hex", rank_key(seed, F.col("fragment_key"), hash))
     return bucketed_rank(
         hashed,
         ["sample_id"],
@@ -75,7 +78,7 @@ def representative_sample(fragments: DataFrame, seed: int, k: int) -> DataFrame:
     ).drop("group_rows")
 
 
-def within_sample(rows: DataFrame, sampled: DataFrame, seed: int) -> DataFrame:
+def within_sample(rows: DataFrame, sampled: DataFrame, seed: int, hash: str = "md5") -> DataFrame:
     """``rows`` (sample_id, fragment_key and others) without those whose fragment is surely not in ``sampled``, before they move.
 
     A sample keeps the fragments of smallest seeded rank, so the largest rank that it keeps (one value a sample, broadcast
@@ -85,7 +88,7 @@ def within_sample(rows: DataFrame, sampled: DataFrame, seed: int) -> DataFrame:
     cutoffs = sampled.groupBy("sample_id").agg(F.max("rank_hex").alias("_cutoff"))
     if not is_small(cutoffs):
         return rows
-    below = rank_key(seed, F.col("fragment_key")) <= F.col("_cutoff")
+    below = rank_key(seed, F.col("fragment_key"), hash) <= F.col("_cutoff")
     return rows.join(F.broadcast(cutoffs), "sample_id").filter(below).drop("_cutoff")
 
 
@@ -127,7 +130,7 @@ def entry_round(fragments: DataFrame, plan: SamplingPlan) -> DataFrame:
     Later rounds contain earlier ones: round r is every row with ``entry_round <= r``.
     """
     sizes = effective_counts(plan, F.col("group_rows"))
-    hashed = fragments.withColumn("rank_hex", rank_key(plan.seed, F.col("fragment_key")))
+    hashed = fragments.withColumn("rank_hex", rank_key(plan.seed, F.col("fragment_key"), plan.hash))
     ranked = bucketed_rank(
         hashed,
         ["sample_id"],

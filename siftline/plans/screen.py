@@ -42,7 +42,7 @@ def of_sample(mappings: DataFrame, sampled: DataFrame, profile: Profile) -> tupl
     if "rank_hex" not in sampled.columns:
         return mappings, sampled
     sampled = settle(sampled.select("sample_id", "fragment_key", "entry_round", "rank_hex"))
-    return sampling.within_sample(mappings, sampled, profile.sampling.seed), sampled
+    return sampling.within_sample(mappings, sampled, profile.sampling.seed, profile.sampling.hash), sampled
 
 
 def look_calls(

@@ -1,9 +1,14 @@
+import ast
 import hashlib
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.config import SamplingPlan
+from siftline.functions.siphash import siphash
 from siftline.operators import sampling
 
 
@@ -94,3 +99,33 @@ def test_plans_are_validated():
         SamplingPlan.resolve(rounds=(1,), proportions=(0.5,))
     assert SamplingPlan.resolve(proportions=("25%", "50%", "100%")).proportions == (0.25, 0.5, 1.0)
     assert SamplingPlan.resolve(profile_rounds=(1, 2, 3), max_rounds=2).rounds == (1, 2)
+
+
+def test_siphash_vectors():
+    """The published vectors of SipHash-2-4, and the first of 1-3, under the key 0, 1, ... 15."""
+    keys = tuple(int.from_bytes(bytes(range(8 * i, 8 * i + 8)), "little") for i in range(2))
+    texts = pa.array([bytes(range(n)) for n in range(16)], pa.binary())
+    found = siphash(texts, keys=keys, c=2, d=4)
+    assert int(found[0]) == 0x726FDB47DD0E0E31 and int(found[15]) == 0xA129CA6149BE45E5
+    assert siphash(texts, keys=keys)[0].tobytes().hex() == "dcc40f055801acab"
+    assert len(siphash(texts.slice(0, 0))) == 0 and (siphash(texts.slice(3, 5)) == siphash(texts)[3:8]).all()
+
+
+def test_siphash_ranks_are_the_interpreters(spark):
+    """Python hashes bytes by SipHash-1-3; hash seed 0 is the zero key."""
+    seed, names = 77, ["", "a", "abcdefg", "abcdefgh", "é\U0001f600" * 9, *(f"frag-{i}" for i in range(50)), "x" * 1000]
+    code = "import sys; assert sys.hash_info.algorithm == 'siphash13'; print([hash(bytes.fromhex(x)) for x in sys.argv[1:]])"
+    texts = [(seed.to_bytes(8, "little") + n.encode()).hex() for n in names]
+    out = subprocess.run([sys.executable, "-c", code, *texts], env={"PYTHONHASHSEED": "0"}, capture_output=True, check=True, text=True).stdout
+    want = {n: f"{h % (1 << 64):016x}" for n, h in zip(names, ast.literal_eval(out))}
+    frame = spark.createDataFrame([(n,) for n in names] + [(None,)], "k string")
+    got = {r.k: r.h for r in frame.select("k", sampling.rank_key(seed, F.col("k"), "siphash13").alias("h")).collect()}
+    assert got == {**want, None: None}
+    rows = spark.createDataFrame([("s", n, i) for i, n in enumerate(names)], "sample_id STRING, fragment_key STRING, record_number BIGINT")
+    plan = SamplingPlan(seed=seed, rounds=(5, 20), hash="siphash13")
+    ranked = sorted(names, key=lambda n: (want[n], n))
+    entered = sampling.entry_round(rows, plan).orderBy("rank").collect()
+    assert [r.fragment_key for r in entered] == ranked[:20] and sum(r.entry_round == 1 for r in entered) == 5
+    assert sampling.within_sample(rows, sampling.entry_round(rows, plan), seed, "siphash13").count() == 20
+    with pytest.raises(ValueError):
+        SamplingPlan(rounds=(1,), hash="other")
