@@ -5,9 +5,11 @@ needs no per-sample Python state and no sample is confined to one task. Each
 micro-batch is reduced like a batch job and appended as round contributions;
 contributions are additive, so looks are re-decided from their sum at any time.
 
-Input columns: the adjudicated fragment columns plus ``sequence``, the 0-based index
-of the QC-passing fragment within its sample. There is no event time; order is the
-sequence number, and late fragments simply complete their round.
+``start_contributions`` takes adjudicated fragments with ``sequence``, the 0-based index of the QC-passing fragment within
+its sample. ``start_raw`` takes raw reads as they arrive and numbers them itself: a ledger has, for each micro-batch, how many
+passing fragments of each sample have arrived up to its end, so a batch adds its own ranks to the entry before its own. A
+batch that runs again reads the same entry and overwrites its own: every fragment keeps its number. There is no event
+time; order is the sequence number, and late fragments simply complete their round.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import Profile
-from siftline.operators import aggregate, decision
-from siftline.operators.sampling import first_covering_round
-from siftline.plans.screen import evaluated_looks
+from siftline.operators import aggregate, decision, qc
+from siftline.operators.sampling import ORDER_BLOCK, bucketed_rank, first_covering_round
+from siftline.plans.screen import evaluated_looks, fragment_table
+from siftline.tuning import broadcast_if_small
 
 
 def assign_looks(fragments: DataFrame, rounds) -> DataFrame:
@@ -47,6 +50,60 @@ def start_contributions(fragments: DataFrame, profile: Profile, table_path: str,
     )
 
 
+LEDGER = "sample_id string, arrived long"
+
+
+def number_batch(passing: DataFrame, batch_id: int, ledger_path: str, order_col: str = "record_number") -> DataFrame:
+    """Add ``sequence`` to the passing fragments of a batch, and write the batch's ledger entry.
+
+    Inside a batch, fragments go by ``order_col``, those of equal place by key. Ranks are taken in narrow buckets, so no
+    sample is confined to one task; an entry has one row a sample.
+    """
+    spark = passing.sparkSession
+    before = spark.read.schema(LEDGER).parquet(f"{ledger_path}/batch={batch_id - 1}")
+    counts = passing.groupBy("sample_id").agg(F.count(F.lit(1)).alias("here"))
+    after = before.join(counts, "sample_id", "full").select(
+        "sample_id", (F.coalesce("arrived", F.lit(0)) + F.coalesce("here", F.lit(0))).cast("long").alias("arrived")
+    )
+    after.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+    order = [F.col(order_col), F.col("fragment_key")]
+    ranked = bucketed_rank(passing, ["sample_id"], F.floor(F.col(order_col) / ORDER_BLOCK), order).drop("group_rows")
+    known = ranked.join(broadcast_if_small(before), "sample_id", "left")
+    return known.withColumn("sequence", F.coalesce("arrived", F.lit(0)) + F.col("rank")).drop("arrived", "rank")
+
+
+def start_raw(
+    fragments: DataFrame, mappings, classified: DataFrame, profile: Profile, folder: str, checkpoint_path: str, order_col: str = "record_number", **trigger
+):
+    """Start the query that judges, numbers and looks at raw reads (sample_id, fragment_key, r1_seq, r2_seq, ``order_col``).
+
+    ``mappings`` has the hits, or is a function from a batch of entered fragments to their hits. Contributions go to
+    ``folder``/rounds, the ledger to ``folder``/ledger, both overwritten by batch id on replay. Fragments beyond a sample's last
+    look are numbered and go no further.
+    """
+    rounds_path, ledger_path = f"{folder}/rounds", f"{folder}/ledger"
+    spark = classified.sparkSession
+    # The entry before the first batch.
+    spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(f"{ledger_path}/batch=-1")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        passing = qc.qc_passing(batch, profile.qc).select("sample_id", "fragment_key", order_col)
+        entered = assign_looks(number_batch(passing, batch_id, ledger_path, order_col), profile.sampling.rounds)
+        hits = mappings(entered) if callable(mappings) else mappings
+        judged = fragment_table(hits, classified, profile.fragment, entered.select("sample_id", "fragment_key", "entry_round"))
+        reduced = aggregate.reduce_evidence(aggregate.fragment_evidence(judged, "entry_round"))
+        reduced.write.mode("overwrite").parquet(f"{rounds_path}/batch={batch_id}")
+        batch.unpersist()
+
+    return (
+        fragments.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def read_contributions(spark: SparkSession, table_path: str) -> DataFrame:
     """Contributions of all batches, summed."""
     rows = spark.read.parquet(table_path)
