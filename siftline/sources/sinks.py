@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline import labels as L
 from siftline.functions.text import sanitize_component
+from siftline.tuning import settle
 
 
 def _tsv(df: DataFrame, path: str, columns, order=()) -> None:
@@ -288,12 +290,45 @@ def _relative(root: str):
     return F.regexp_replace(bare(F.col("path")), "^.*?" + _quote(base) + "/", "")
 
 
+# Bytes of a file that are held at once while it is digested.
+DIGEST_BYTES = 4 << 20
+
+
 def checksum_inventory(spark, root: str) -> DataFrame:
-    """SHA-256 of every file under ``root``, by relative path, checksum files excluded."""
+    """SHA-256 of every file under ``root``, by relative path, checksum files excluded.
+
+    Tasks read files of any size in pieces of ``DIGEST_BYTES``; where only Spark can open the store, each file is a row, of 2 GB at most.
+    """
+    from pyarrow import fs
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = _relative(root)
+    try:
+        fs.FileSystem.from_uri(files.select("path").limit(1).first()[0])
+        streamed = True
+    except (pa.ArrowException, OSError, TypeError):  # TypeError: no file
+        streamed = False
+
+    def digests(tables):
+        for batch in tables:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, place = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(place) as source:
+                    while piece := source.read(DIGEST_BYTES):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "sha256"])
+
+    if streamed:
+        # Only names are listed here, a few files a task.
+        named = files.select("path").repartition(spark.sparkContext.defaultParallelism)
+        files = named.mapInArrow(digests, "path string, sha256 string")
+    else:
+        files = files.select("path", F.sha2("content", 256).alias("sha256"))
     return (
-        files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
+        files.select(relative.alias("path"), "sha256")
         .filter(~F.element_at(F.split("path", "/"), -1).isin("checksum.sha256"))
         .orderBy("path")
     )
@@ -308,28 +343,109 @@ def write_documents(files: DataFrame, path: str) -> None:
     files.write.mode("overwrite").partitionBy("sample_id").parquet(path)
 
 
+# A published bundle's own file that names the run which wrote it; the bundle counts once a commit record names the same run.
+RUN_FILE = ".run"
+
+
+def _commits(root: str) -> str:
+    return root.rstrip("/") + ".commits"
+
+
 def write_bundles(files: DataFrame, root: str) -> int:
-    """Write (sample_id, path, content) rows as files ``root/<sample>/<path>``; the number of files written.
+    """Write (sample_id, path, content) rows as files ``root/<sample>/<path>``, in two phases; the number of files written.
 
-    ``root`` must be a folder that all executors share. A file is moved into place when whole, so a task that runs again
-    leaves the same files.
+    First all files go to a staging folder of this run, beside ``root``; then each sample's whole folder is moved into place, what
+    stood there aside, and a commit record (``<root>.commits/<sample>.json``: run, and path, size and SHA-256 of every file) is
+    put last. A run that fails in the first phase changes nothing; in the second, a sample counts once its record is there. Tasks
+    that run again leave the same. ``root`` must be a folder that all executors share, in a store that moves folders as one.
     """
+    run = uuid.uuid4().hex
+    staging = f"{root.rstrip('/')}.staging/{run}"
+    listing = settle(files.select("sample_id", "path", "content").mapInArrow(stage(staging), "sample_id string, path string, size long, sha256 string"))
+    publish(listing, root, run)
+    return listing.count()
+
+
+def stage(staging: str):
+    """Batches of (sample_id, path, content) to files below ``staging``, and to their sizes and digests."""
 
     def batches(tables):
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = fs.FileSystem.from_uri(staging)
         for batch in tables:
-            for sample, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                place = f"{base}/{sample}/{path}"
+            sizes, digests = [], []
+            samples, paths, contents = (batch.column(i).to_pylist() for i in range(3))
+            for sample, path, content in zip(samples, paths, contents):
+                data, place = (content or "").encode(), f"{base}/{sample}/{path}"
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 fresh = f"{base}/{sample}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(fresh) as out:
-                    out.write((content or "").encode())
+                    out.write(data)
                 store.move(fresh, place)
+                sizes.append(len(data))
+                digests.append(hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["sample_id", "path", "size", "sha256"]
+            )
+
+    return batches
+
+
+def publish(listing: DataFrame, root: str, run: str) -> int:
+    """Move the staged bundles of ``run`` into place and put their commit records; the number of bundles."""
+
+    def batches(tables):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        put = lambda place, text: _put(store, place, text.encode())
+        for batch in tables:
+            for sample, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                staged, place = f"{base}.staging/{run}/{sample}", f"{base}/{sample}"
+                # Where it is gone, an earlier attempt has moved it.
+                if store.get_file_info(staged).type == fs.FileType.Directory:
+                    put(f"{staged}/{RUN_FILE}", run)
+                    store.create_dir(base, recursive=True)
+                    if store.get_file_info(place).type == fs.FileType.Directory:
+                        store.create_dir(f"{base}.staging/replaced", recursive=True)
+                        store.move(place, f"{base}.staging/replaced/{uuid.uuid4().hex}")
+                    store.move(staged, place)
+                store.create_dir(f"{base}.commits", recursive=True)
+                put(f"{base}.commits/{sample}.json", record)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return files.select("sample_id", "path", "content").mapInArrow(batches, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    entries = F.sort_array(F.collect_list(F.struct("path", "size", "sha256"))).alias("files")
+    record = F.to_json(F.struct(F.lit(run).alias("run"), "sample_id", "files")).alias("record")
+    bundles = listing.groupBy("sample_id").agg(entries).select("sample_id", record)
+    return bundles.mapInArrow(batches, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _put(store, place: str, data: bytes) -> None:
+    fresh = f"{place}.{uuid.uuid4().hex}"
+    with store.open_output_stream(fresh) as out:
+        out.write(data)
+    store.move(fresh, place)
+
+
+def commit_records(spark, root: str) -> DataFrame:
+    """(sample_id, run, path, size, sha256) of every file of every committed bundle."""
+    schema = "run string, sample_id string, files array<struct<path: string, size: long, sha256: string>>"
+    records = spark.read.option("pathGlobFilter", "*.json").schema(schema).json(_commits(root))
+    return records.select("sample_id", "run", F.explode("files").alias("f")).select("sample_id", "run", "f.*")
+
+
+def commit_problems(found: DataFrame, records: DataFrame) -> DataFrame:
+    """(sample_id, path, problem) where the files of bundles (sample_id, path, content) are not those that were committed."""
+    files = found.select("sample_id", "path", F.octet_length("content").cast("long").alias("_size"), F.sha2("content", 256).alias("_sha256"), F.lit(True).alias("_there"))
+    both = records.select("sample_id", "path", "size", "sha256", F.lit(True).alias("_listed")).join(files, ["sample_id", "path"], "full")
+    problem = (
+        F.when(F.col("_there").isNull(), "committed file is missing")
+        .when(F.col("_listed").isNull(), "file was not committed")
+        .when(F.col("size") != F.col("_size"), "size is not as committed")
+        .when(F.col("sha256") != F.col("_sha256"), "digest is not as committed")
+    )
+    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select("sample_id", "path", "problem")
 
 
 # Fixed value: the marker that keeps an evidence folder without evidence.
@@ -337,9 +453,10 @@ MARKER = "evidence/positive_candidate_coverage/.keep"
 
 
 def read_bundles(spark, root: str) -> DataFrame:
-    """Report bundles laid out as ``root/<sample>/<path>`` files, as (sample_id, path, content).
+    """Committed report bundles laid out as ``root/<sample>/<path>`` files, as (sample_id, path, content).
 
-    Spark's readers pass over names that begin with a dot; the marker is looked for in each bundle.
+    A bundle without a commit record of its run is not read. Spark's readers pass over names that begin with a dot; the
+    marker and the run's name are looked for in each bundle.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     found = files.select(_relative(root).alias("p"), F.col("content").cast("string").alias("content")).select(
@@ -352,14 +469,21 @@ def read_bundles(spark, root: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
+
+        def text_of(place: str) -> str | None:
+            if store.get_file_info(place).type != fs.FileType.File:
+                return None
+            with store.open_input_stream(place) as source:
+                return source.read().decode("utf-8", "replace")
+
         for batch in tables:
-            rows = []
-            for sample in batch.column(0).to_pylist():
-                if store.get_file_info(f"{base}/{sample}/{MARKER}").type == fs.FileType.File:
-                    with store.open_input_stream(f"{base}/{sample}/{MARKER}") as marker:
-                        rows.append((sample, MARKER, marker.read().decode("utf-8", "replace")))
+            rows = [(sample, text_of(f"{base}/{sample}/{RUN_FILE}"), text_of(f"{base}/{sample}/{MARKER}")) for sample in batch.column(0).to_pylist()]
             columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["sample_id", "path", "content"])
-
-    samples = found.select("sample_id").distinct()
-    return found.unionByName(samples.mapInArrow(markers, "sample_id string, path string, content string"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["sample_id", "run", "marker"])
+
+    # One row a bundle.
+    seen = settle(found.select("sample_id").distinct().mapInArrow(markers, "sample_id string, run string, marker string"))
+    runs = commit_records(spark, root).select("sample_id", "run").distinct()
+    committed = seen.join(runs, ["sample_id", "run"], "left_semi")
+    marked = committed.filter("marker IS NOT NULL").select("sample_id", F.lit(MARKER).alias("path"), F.col("marker").alias("content"))
+    return found.join(committed.select("sample_id"), "sample_id", "left_semi").unionByName(marked)

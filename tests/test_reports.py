@@ -1,5 +1,7 @@
 """Controls, release, summaries, sinks and audit."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,13 @@ def test_bundles_as_folders(spark, bundle, tmp_path):
     assert sinks.write_bundles(bundle, root) == bundle.count()
     as_set = lambda df: {tuple(r) for r in df.select("sample_id", "path", "content").collect()}
     assert as_set(sinks.read_bundles(spark, root)) == as_set(bundle)
+    records = sinks.commit_records(spark, root)
+    assert sinks.commit_problems(sinks.read_bundles(spark, root), records).count() == 0
+    (tmp_path / "bundles" / "A" / "rounds.tsv").write_text("x")
+    (tmp_path / "bundles" / "N" / "more.txt").write_text("x")
+    assert {tuple(r) for r in sinks.commit_problems(sinks.read_bundles(spark, root), records).collect()} == {
+        ("A", "rounds.tsv", "size is not as committed"), ("N", "more.txt", "file was not committed")
+    }
     twice = spark.createDataFrame([("s", n, "positive", ["aggregation_level=accession"]) for n in ("a b", "a/b")], "sample_id STRING, accession_or_group STRING, decision STRING, decision_reasons ARRAY<STRING>")
     assert sinks.coverage_index(twice)[1].first().copies == 2
 
@@ -196,3 +205,42 @@ def test_table_sinks_round_trip(spark, sf_dir, tmp_path):
     sinks.write_documents(files.select("sample_id", F.col("file_name").alias("path"), "content"), str(tmp_path / "docs"))
     sinks.write_virus_summary(summary.virus_summary(rows), str(tmp_path / "summary"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "summary")).columns[:-1] == list(L.VIRUS_SUMMARY_HEADER)
+
+
+def test_half_written_bundles_are_not_read(spark, tmp_path):
+    root, rows = str(tmp_path / "out"), lambda texts: spark.createDataFrame([(s, p, t) for s, t in texts.items() for p in ("a.txt", "b/c.txt")], "sample_id string, path string, content string")
+    contents = lambda: {(r.sample_id, r.path): r.content for r in sinks.read_bundles(spark, root).collect()}
+    whole = lambda texts: {(s, p): t for s, t in texts.items() for p in ("a.txt", "b/c.txt")}
+    assert sinks.write_bundles(rows({"one": "1", "two": "1"}), root) == 4
+    assert contents() == whole({"one": "1", "two": "1"})
+    # Tasks die in the first phase, after the other sample's files are staged: nothing changes.
+    dies = rows({"one": "2"}).unionByName(rows({"two": "2"}).withColumn("content", F.raise_error(F.lit("killed")).cast("string")))
+    with pytest.raises(Exception, match="killed"):
+        sinks.write_bundles(dies, root)
+    assert contents() == whole({"one": "1", "two": "1"})
+    # The second phase stops between the move of a folder and its record; it is not read until the phase runs again.
+    listing = settle(rows({"one": "3", "three": "3"}).mapInArrow(sinks.stage(f"{root}.staging/r3"), "sample_id string, path string, size long, sha256 string"))
+    staged = tmp_path / "out.staging" / "r3"
+    (staged / "one" / ".run").write_text("r3")
+    (tmp_path / "out" / "one").rename(tmp_path / "aside")
+    (staged / "one").rename(tmp_path / "out" / "one")
+    assert contents() == whole({"two": "1"})
+    assert sinks.publish(listing, root, "r3") == 2
+    assert contents() == whole({"one": "3", "two": "1", "three": "3"})
+
+
+def test_digests_of_files_beyond_two_gigabytes(spark, tmp_path):
+    big, size = tmp_path / "files" / "deep" / "big.bin", (1 << 31) + 17
+    big.parent.mkdir(parents=True)
+    with open(big, "wb") as out:
+        out.truncate(size)
+        out.write(b"head")
+    (tmp_path / "files" / "checksum.sha256").write_text("x")
+    (tmp_path / "files" / "small.txt").write_text("y")
+    digest = hashlib.sha256(b"head")
+    left = size - 4
+    while left:
+        digest.update(bytes(min(left, 1 << 24)))
+        left -= min(left, 1 << 24)
+    found = {r.path: r.sha256 for r in sinks.checksum_inventory(spark, str(tmp_path / "files")).collect()}
+    assert found == {"deep/big.bin": digest.hexdigest(), "small.txt": hashlib.sha256(b"y").hexdigest()}
