@@ -104,7 +104,7 @@ def virus_summary(calls: DataFrame) -> DataFrame:
         .groupBy(*entity, "_support")
         .agg(
             F.min(payload).alias("s"),
-            F.collect_set("supporting_accession").alias("_accessions"),
+            F.max("supporting_accession").alias("_accession"),
             F.array_distinct(F.flatten(F.collect_list("decision_reasons"))).alias("_reasons"),
         )
     )
@@ -121,7 +121,8 @@ def virus_summary(calls: DataFrame) -> DataFrame:
         F.greatest(F.max(s["clopper_pearson_upper"]), F.lit(0.0)).alias("clopper_pearson_upper"),
         F.max(s["total_sampled_fragments"]).alias("total_sampled_fragments"),
         F.greatest(F.max(s["breadth"]), F.lit(0.0)).alias("breadth"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_accessions")))).alias("_accession_count"),
+        # A support key is its accession, so keys with one count accessions.
+        F.count("_accession").alias("_accession_count"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("_reasons")))).alias("decision_reasons"),
     )
     rep, top, is_group = F.col("rep"), F.col("top"), F.col("summary_level") == "group"

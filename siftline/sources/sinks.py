@@ -302,20 +302,20 @@ def checksum_inventory(spark, root: str) -> DataFrame:
     from pyarrow import fs
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = _relative(root)
+    relative = _relative(root).alias("path")
     try:
-        fs.FileSystem.from_uri(files.select("path").limit(1).first()[0])
+        fs.FileSystem.from_uri(root)
         streamed = True
-    except (pa.ArrowException, OSError, TypeError):  # TypeError: no file
+    except (pa.ArrowException, OSError):
         streamed = False
 
     def digests(tables):
+        store, base = fs.FileSystem.from_uri(root)
         for batch in tables:
             found = []
             for path in batch.column(0).to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
                 digest = hashlib.sha256()
-                with store.open_input_stream(place) as source:
+                with store.open_input_stream(f"{base}/{path}") as source:
                     while piece := source.read(DIGEST_BYTES):
                         digest.update(piece)
                 found.append(digest.hexdigest())
@@ -323,15 +323,11 @@ def checksum_inventory(spark, root: str) -> DataFrame:
 
     if streamed:
         # Only names are listed here, a few files a task.
-        named = files.select("path").repartition(spark.sparkContext.defaultParallelism)
+        named = files.select(relative).repartition(spark.sparkContext.defaultParallelism)
         files = named.mapInArrow(digests, "path string, sha256 string")
     else:
-        files = files.select("path", F.sha2("content", 256).alias("sha256"))
-    return (
-        files.select(relative.alias("path"), "sha256")
-        .filter(~F.element_at(F.split("path", "/"), -1).isin("checksum.sha256"))
-        .orderBy("path")
-    )
+        files = files.select(relative, F.sha2("content", 256).alias("sha256"))
+    return files.filter(~F.element_at(F.split("path", "/"), -1).isin("checksum.sha256")).orderBy("path")
 
 
 def _quote(text: str) -> str:
