@@ -418,18 +418,39 @@ def run_summaries(spark, sf):
 # ---- sinks -------------------------------------------------------------------------
 
 
+# Wilson bounds, written out from the counts.
+_Z = "1.96"
+_WILSON = f"""(accepted + {_Z} * {_Z} / 2) / (total + {_Z} * {_Z}) {{sign}} {_Z} / (total + {_Z} * {_Z})
+    * sqrt(accepted * (total - accepted)::DOUBLE / total + {_Z} * {_Z} / 4)"""
+_CI_LOW = f"round(greatest({_WILSON.format(sign='-')}, 0), 9) AS fraction_ci_95_low"
+_CI_HIGH = f"round(least({_WILSON.format(sign='+')}, 1), 9) AS fraction_ci_95_high"
+_CONSTANT_SQL = f"""'{L.NONOVERLAP_ALGORITHM}' AS nonoverlap_fragments_algorithm, '{L.ACCEPTED_FRACTION_LABEL}' AS accepted_fraction_label,
+    '{L.UNIQUE_FRACTION_LABEL}' AS unique_fraction_label, '{L.DENOMINATOR_SOURCE}' AS fraction_denominator_source, level AS multiplicity_family"""
+_SHARES = ("raw_fraction", "unique_fraction", "clopper_pearson_upper", "breadth")
+_SHARES_SQL = "round(fraction, 9) AS raw_fraction, round(fraction, 9) AS unique_fraction, round(cp_upper, 9) AS clopper_pearson_upper, round(breadth, 9) AS breadth"
+
+
+def _reasons_read(sort: bool = False):
+    """Reasons read back from JSON, without the p-value (its twelfth decimal depends on summation order)."""
+    read = F.filter(F.from_json("decision_reasons", "array<string>"), lambda r: ~r.startswith("positive_p_value="))
+    return F.array_join(F.sort_array(read) if sort else read, "|")
+
+
 @query(
     "candidate_call_table",
     O.sampled(
-        """SELECT sample_id, virus_name, taxid, id AS accession_or_group, accepted AS accepted_fragments, nonoverlap AS nonoverlap_fragments, blocks AS coverage_interval_blocks,
-        total AS total_sampled_fragments, ambiguous AS ambiguous_fragments, level AS aggregation_level, resolution AS accession_resolution, decision, strength AS evidence_strength FROM final_calls"""
+        f"""SELECT sample_id, virus_name, taxid, id AS accession_or_group, accepted AS accepted_fragments, nonoverlap AS nonoverlap_fragments, blocks AS coverage_interval_blocks,
+        total AS total_sampled_fragments, ambiguous AS ambiguous_fragments, level AS aggregation_level, resolution AS accession_resolution, decision, strength AS evidence_strength,
+        {_CI_LOW}, {_CI_HIGH}, {_CONSTANT_SQL}, {_SHARES_SQL}, {_reason_sql()} AS decision_reasons FROM final_calls"""
     ),
 )
 def candidate_call_table(spark, sf):
+    """All columns of the table, its JSON read back."""
     rows = sinks.calls_table(final_calls(spark, sf, reasons=True))
-    doubles = ("fraction_ci_95", "decision_reasons", "raw_fraction", "unique_fraction", "clopper_pearson_upper", "breadth")
-    constant = ("nonoverlap_fragments_algorithm", "accepted_fraction_label", "unique_fraction_label", "fraction_denominator_source", "multiplicity_family")
-    return rows.drop(*doubles, *constant)
+    interval = F.from_json("fraction_ci_95", "array<double>")
+    return rows.withColumns(
+        {"fraction_ci_95_low": r9(interval[0]), "fraction_ci_95_high": r9(interval[1]), "decision_reasons": _reasons_read(), **{c: r9(c) for c in _SHARES}}
+    ).drop("fraction_ci_95")
 
 
 @query(
@@ -442,9 +463,22 @@ def round_table(spark, sf):
     return sinks.rounds_table(decision.round_records(looks(spark, sf)))
 
 
-@query("virus_summary_table", None)
+@query(
+    "virus_summary_table",
+    O.sampled(
+        f"""SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY {_STRENGTH})::INT AS rank, id AS entity_id, virus_name AS entity_name, level AS entity_type, taxid,
+        level AS aggregation_level, decision, strength AS evidence_strength, accepted AS accepted_fragments, nonoverlap AS nonoverlap_fragments, blocks AS coverage_interval_blocks,
+        ambiguous AS ambiguous_fragments, {_CI_LOW}, {_CI_HIGH}, {_CONSTANT_SQL}, {_SHARES_SQL}, total AS total_sampled_fragments,
+        CASE WHEN level = 'group' THEN '' ELSE id END AS top_accession, CASE WHEN level = 'group' THEN '' ELSE virus_name END AS top_accession_name,
+        CASE WHEN level = 'group' THEN 0 ELSE 1 END::BIGINT AS supporting_accession_count,
+        array_to_string(list_sort(list_distinct(string_split({_reason_sql()}, '|'))), '|') AS decision_reasons FROM final_calls"""
+    ),
+)
 def virus_summary_table(spark, sf):
-    return sinks.virus_summary_table(summary.virus_summary(final_calls(spark, sf, reasons=True)))
+    """All 28 columns of the table, its JSON read back."""
+    rows = sinks.virus_summary_table(summary.virus_summary(final_calls(spark, sf, reasons=True)))
+    rounded = {c: r9(c) for c in (*_SHARES, "fraction_ci_95_low", "fraction_ci_95_high")}
+    return rows.withColumns({**rounded, "decision_reasons": _reasons_read(sort=True)})
 
 
 @query(
