@@ -24,7 +24,7 @@ from siftline.checks.queries import (
 )
 from siftline.checks.settings import CANDIDATE, DECISION, PLAN, PROFILE, QC
 from siftline.functions.text import normalize_qname
-from siftline.operators import audit, calibration, control, decision, hits, panel, qc, release, sampling, summary
+from siftline.operators import audit, calibration, control, decision, hits, minimizers, panel, qc, release, sampling, summary
 from siftline.plans import screen
 from siftline.sources import documents, fasta, fastq, sinks
 from siftline.tuning import settle, shared_folder
@@ -1043,3 +1043,10 @@ def seed_vote_hits(spark, sf):
     return found.select(
         "sample_id", "fragment_key", "mate", "contig", "strand", "as_score", "target_start", "target_end", "mapq", "is_primary"
     )
+
+
+@query("minimizer_hits", None)
+def minimizer_hits(spark, sf):
+    """Placement by minimizers and chains; tests hold it against brute force and measure its recall."""
+    found = minimizers.minimizer_hits(table(spark, sf, A.SEED_FRAGMENTS), table(spark, sf, A.SEED_PANEL))
+    return found.select("sample_id", "fragment_key", "mate", "contig", "strand", "as_score", "target_start", "target_end", "mapq", "is_primary")
