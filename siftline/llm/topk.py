@@ -1,13 +1,15 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-A vector is cut into SLICES, and a score is the sum of the slices' partial scores. Phase one: in every block of
-candidates each slice lists its highest partial scores for each query, and the listed candidates' scores are known. The k-th
-highest known score of a query is a safe cutoff: k candidates reach it. Phase two: the cutoff goes back with the query to
-every block, and each slice collects all candidates whose partial score is at least cutoff / SLICES; a score that reaches the
-cutoff has such a slice, so no winner is missed. Phase three: the slices that a collected candidate lacks are resolved exactly.
+A vector is cut into SLICES, each held by cells of its own, and a score is the sum of the slices' partial scores. Phase one:
+every cell lists its highest partial scores for each query; the lists of a slice are gathered, and the candidates on them are
+resolved. The k-th highest of their scores is a safe cutoff: k candidates reach it. Phase two: the cutoff goes back with the query, and
+each cell gives the candidates whose partial score is at least cutoff / SLICES; a score that reaches the cutoff has such a slice, so
+no winner is missed. Phase three: partial scores are summed by candidate, and the slices that are not known are asked
+for in their cells.
 
 Queries and candidates are both cut into blocks of bounded size, and every block of one meets every block of the other: the
-query set is stated, and its number may follow the number of rows.
+query set is stated, and its number may follow the number of rows. Candidates with one vector are one, with its k + 1
+smallest ids: no other of them can be among the best k of any query, of whose own id the last makes up for.
 """
 
 from __future__ import annotations
@@ -23,100 +25,99 @@ K = 20
 SLICES = 2
 # Components of a block, and scores that stand in memory at once.
 BLOCK_VALUES, SCORES_AT_ONCE = 1 << 19, 1 << 20
+QUERY, CANDIDATE, ASKED = 0, 1, 2
+
+_PARTIAL = "id long, key long, vec long, slice int, part long"
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component; null unless all components are finite."""
+    """floor(scale * x) of each component; null unless all components are finite. Components beyond 64 bits are an error."""
     x = lambda v: v.cast("double")
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < float("inf")))
-    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda v: F.floor(x(v) * scale).cast("long")))
-
-
-def _slices(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Partial scores, queries by candidates: by floating point where that is exact, else by integers."""
-    dim = q.shape[1]
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
-    kind = np.float64 if bound < 2.0**53 else np.int64
-    parts = np.array_split(np.arange(dim), SLICES)
-    return [q[:, p].astype(kind) @ c[:, p].astype(kind).T for p in parts]
-
-
-def _matrix(table: pa.Table) -> np.ndarray:
-    lists = table.column("v").combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, -1)
-
-
-def _chunks(table: pa.Table):
-    """(queries, candidates as ids, counts and matrix, query matrices in turns that bound memory) of one cell."""
-    side = table.column("side").to_numpy()
-    q, c = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-    if not q.num_rows or not c.num_rows:
-        return
-    ids, vectors, queries = c.column("id").to_numpy(), _matrix(c), _matrix(q)
-    order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-    ids, vectors, counts = ids[order], vectors[order], c.column("n").to_numpy()[order]
-    step = max(1, SCORES_AT_ONCE // len(ids))
-    for at in range(0, q.num_rows, step):
-        some = q.slice(at, step)
-        parts = _slices(queries[at : at + step], vectors)
-        own = some.column("id").to_numpy()[:, None] == ids[None, :]
-        yield some, ids, counts, parts, own
-
-
-def _listed(k: int):
-    """Phase one: of each query the known scores of a block's listed candidates, each as often as it is repeated."""
+    long = lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale).cast("long")).otherwise(F.raise_error(F.lit("component beyond 64 bits")).cast("long"))
+    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda v: long(x(v))))
+
+
+class Cell:
+    """One slice of a block of queries and a block of candidates."""
+
+    def __init__(self, table: pa.Table):
+        side = table.column("side").to_numpy()
+        self.slice = table.column("slice")[0].as_py()
+        self.queries, self.candidates, self.asked = (table.filter(pa.array(side == s)) for s in (QUERY, CANDIDATE, ASKED))
+        self.q, self.c = self._matrix(self.queries), self._matrix(self.candidates)
+        largest = lambda m: float(np.abs(m.astype(np.float64)).max(initial=0))
+        bound = largest(self.q) * largest(self.c) * max(self.c.shape[1], 1) * SLICES
+        if bound >= 2.0**63:
+            raise OverflowError("scores beyond 64 bits")
+        # By floating point where that is exact, else by integers.
+        kind = np.float64 if bound < 2.0**53 else np.int64
+        self.q, self.c = self.q.astype(kind), self.c.astype(kind)
+        self.vecs = self.candidates.column("vec").to_numpy()
+
+    @staticmethod
+    def _matrix(table: pa.Table) -> np.ndarray:
+        lists = table.column("values").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat.reshape(table.num_rows, len(flat) // max(table.num_rows, 1))
+
+    def turns(self):
+        """(first query, partial scores of some queries by all candidates), in turns that bound memory."""
+        if self.queries.num_rows and self.candidates.num_rows:
+            step = max(1, SCORES_AT_ONCE // self.candidates.num_rows)
+            for at in range(0, self.queries.num_rows, step):
+                yield at, self.q[at : at + step] @ self.c.T
+
+    def rows(self, query: np.ndarray, candidate: np.ndarray, part: np.ndarray) -> pa.Table:
+        taken = self.queries.take(pa.array(query))
+        return pa.table({
+            "id": taken.column("id"), "key": taken.column("key"), "vec": pa.array(self.vecs[candidate], pa.int64()),
+            "slice": pa.array(np.full(len(query), self.slice, np.int32)), "part": pa.array(part.astype(np.int64)),
+        })
+
+    def gathered(self, found: list[tuple]) -> pa.Table:
+        joined = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return self.rows(*joined)
+
+
+def listed(most: int):
+    """Phase one: the ``most`` highest partial scores of each query in a cell."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, lists = [], [], []
-        for some, _ids, counts, parts, own in _chunks(table):
-            total = sum(parts)
-            listed = np.zeros(own.shape, bool)
-            for part in parts:
-                low = np.where(own, np.iinfo(np.int64).min if part.dtype == np.int64 else -np.inf, part)
-                if part.shape[1] > k:
-                    np.put_along_axis(listed, np.argpartition(low, part.shape[1] - k, axis=1)[:, -k:], True, axis=1)
-                else:
-                    listed[:] = True
-            listed &= ~own
-            for row in range(some.num_rows):
-                at = np.flatnonzero(listed[row])
-                known = np.repeat(total[row, at].astype(np.int64), np.minimum(counts[at], k))
-                lists.append(np.sort(known)[::-1][:k].tolist())
-            ids += some.column("id").to_pylist()
-            keys += some.column("key").to_pylist()
-        return pa.table({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "known": pa.array(lists, pa.list_(pa.int64()))})
+        cell, found = Cell(table), []
+        for at, parts in cell.turns():
+            many = min(most, parts.shape[1])
+            best = np.argpartition(parts, parts.shape[1] - many, axis=1)[:, -many:]
+            query = np.repeat(np.arange(len(parts)), many)
+            found.append((at + query, best.ravel(), parts[query, best.ravel()]))
+        return cell.gathered(found)
 
     return run
 
 
-def _resolved(k: int):
-    """Phases two and three: candidates with a sufficient slice, their exact scores, at least the cutoff; the block's best k."""
+def sufficient(table: pa.Table) -> pa.Table:
+    """Phase two: the partial scores that reach their query's cutoff / SLICES; all where there is no cutoff."""
+    cell, found = Cell(table), []
+    cutoffs = cell.queries.column("cutoff").to_pylist()
+    for at, parts in cell.turns():
+        least = np.array([np.iinfo(np.int64).min if c is None else -(-c // SLICES) for c in cutoffs[at : at + len(parts)]], np.int64)
+        query, candidate = np.nonzero(parts >= least[:, None])
+        found.append((at + query, candidate, parts[query, candidate]))
+    return cell.gathered(found)
 
-    def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("id", "key", "vec_id", "score", "n")}
-        for some, ids, counts, parts, own in _chunks(table):
-            cutoffs = some.column("cutoff").to_pylist()
-            for row, cutoff in enumerate(cutoffs):
-                if cutoff is None:
-                    at = np.flatnonzero(~own[row])
-                else:
-                    enough = parts[0][row] * SLICES >= cutoff
-                    for part in parts[1:]:
-                        enough |= part[row] * SLICES >= cutoff
-                    at = np.flatnonzero(enough & ~own[row])
-                score = sum(part[row, at] for part in parts).astype(np.int64)
-                if cutoff is not None:
-                    at, score = at[score >= cutoff], score[score >= cutoff]
-                best = np.argsort(-score, kind="stable")[:k]
-                at, score = at[best], score[best]
-                out["id"] += [some.column("id")[row].as_py()] * len(at)
-                out["key"] += [some.column("key")[row].as_py()] * len(at)
-                out["vec_id"] += ids[at].tolist()
-                out["score"] += score.tolist()
-                out["n"] += counts[at].tolist()
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
-    return run
+def answered(table: pa.Table) -> pa.Table:
+    """Phase three: the partial scores that are asked for."""
+    cell = Cell(table)
+    rows = {pair: i for i, pair in enumerate(zip(cell.queries.column("id").to_pylist(), cell.queries.column("key").to_pylist()))}
+    query = np.array([rows[pair] for pair in zip(cell.asked.column("id").to_pylist(), cell.asked.column("key").to_pylist())], np.int64)
+    order = np.argsort(cell.vecs)
+    candidate = order[np.searchsorted(cell.vecs[order], cell.asked.column("vec").to_numpy())] if len(query) else np.zeros(0, np.int64)
+    step, found = max(1, SCORES_AT_ONCE // max(cell.c.shape[1], 1)), []
+    for at in range(0, len(query), step):
+        some = slice(at, at + step)
+        found.append((query[some], candidate[some], (cell.q[query[some]] * cell.c[candidate[some]]).sum(axis=1)))
+    return cell.gathered(found)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -124,38 +125,62 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Rows with a null id or vector take no part, nor does a candidate with the query's own id. Only vectors of one length meet.
     Ties go to the smaller id. A candidate row that is repeated takes a rank for each copy; a query row that is repeated is
-    answered once, and one id with several vectors is answered for each.
+    answered once, and one id with several vectors is answered for each. Scores beyond 64 bits are an error.
     """
     usable = lambda df: df.filter("id IS NOT NULL AND v IS NOT NULL").withColumns({"dim": F.size("v"), "key": F.xxhash64("v")})
-    c = written(usable(candidates).groupBy("dim", "id", "key", "v").agg(F.count(F.lit(1)).alias("n")), "candidates")
-    q = written(usable(queries).groupBy("dim", "id", "key", "v").agg(F.lit(1).cast("long").alias("n")), "queries")
+    counted = usable(candidates).groupBy("dim", "key", "v", "id").agg(F.count(F.lit(1)).alias("n"))
+    ids = F.row_number().over(Window.partitionBy("dim", "key", "v").orderBy("id"))
+    fewest = counted.withColumn("place", ids).filter(F.col("place") <= k + 1)
+    vectors = written(fewest.groupBy("dim", "key", "v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")), "vectors")
+    # A number for each distinct vector.
+    c = written(vectors.withColumn("vec", F.monotonically_increasing_id()), "candidates")
+    q = written(usable(queries).select("dim", "id", "key", "v").distinct(), "queries")
     (widest, rows), asked = c.agg(F.max("dim"), F.count(F.lit(1))).first(), q.count()
     block = max(64, BLOCK_VALUES // max(widest or 1, 1))
     shards, turns = -(-rows // block) or 1, -(-asked // block) or 1
-    at = lambda many: F.pmod(F.xxhash64("id", "key"), F.lit(many)).cast("int")
+    turn, shard = F.pmod(F.xxhash64("id", "key"), F.lit(turns)).cast("int"), F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    right = c.withColumns({"shard": at(shards), "side": F.lit(1), "cutoff": F.lit(None).cast("long")}).withColumn("turn", every(turns))
-
-    def cells(asking: DataFrame) -> DataFrame:
-        left = asking.withColumns({"turn": at(turns), "side": F.lit(0)}).withColumn("shard", every(shards))
-        return left.unionByName(right.select(left.columns)).groupBy("dim", "turn", "shard")
-
-    known = cells(q.withColumn("cutoff", F.lit(None).cast("long"))).applyInArrow(_listed(k), "id long, key long, known array<long>")
-    by_score = Window.partitionBy("id", "key").orderBy(F.desc("score"))
-    cutoffs = (
-        known.select("id", "key", F.explode("known").alias("score"))
-        .withColumn("place", F.row_number().over(by_score))
-        .filter(F.col("place") <= k)
-        .groupBy("id", "key")
-        .agg(F.min("score").alias("cutoff"), F.count(F.lit(1)).alias("many"))
-        .select("id", "key", F.when(F.col("many") == k, F.col("cutoff")).alias("cutoff"))
-    )
+    width = F.ceil(F.col("dim") / SLICES).cast("int")
+    values = F.slice("v", F.col("slice") * width + 1, width)
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ("dim", "slice", "turn", "shard", "side", "id", "key", "vec", "cutoff", "values")
+
+    def cells(asking: DataFrame, asked: DataFrame | None = None):
+        left = asking.withColumns({"turn": turn, "side": F.lit(QUERY), "vec": none("long")}).withColumn("slice", every(SLICES)).withColumn("shard", every(shards))
+        right = c.withColumns({"shard": shard, "side": F.lit(CANDIDATE), "id": none("long"), "cutoff": none("long")}).withColumn("slice", every(SLICES)).withColumn("turn", every(turns))
+        both = left.withColumn("values", values).select(*columns).unionByName(right.withColumn("values", values).select(*columns))
+        if asked is not None:
+            rest = asked.withColumns({"turn": turn, "shard": shard, "side": F.lit(ASKED), "cutoff": none("long"), "values": none("array<long>")})
+            both = both.unionByName(rest.select(*columns))
+        return both.groupBy("dim", "slice", "turn", "shard")
+
+    def resolved(partial: DataFrame, asking: DataFrame) -> DataFrame:
+        """(dim, id, key, vec, score) of all candidates that have a partial score."""
+        known = partial.groupBy("id", "key", "vec").agg(F.sum("part").alias("part"), F.bit_or(F.expr("shiftleft(1, slice)")).alias("slices"))
+        known = written(known.join(asking.select("id", "key", "dim"), ["id", "key"]), "partial-scores")
+        missing = known.withColumn("slice", every(SLICES)).filter(F.expr("(slices & shiftleft(1, slice)) = 0"))
+        more = cells(asking, missing).applyInArrow(answered, _PARTIAL).groupBy("id", "key", "vec").agg(F.sum("part").alias("more"))
+        return known.join(more, ["id", "key", "vec"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0))).drop("part", "slices", "more")
+
+    def owned(scores: DataFrame) -> DataFrame:
+        """Scores by candidate id, without the query's own."""
+        each = scores.join(c.select("vec", F.explode("ids").alias("own")), "vec").filter(F.col("own.id") != F.col("id"))
+        return each.select("id", "key", F.col("own.id").alias("vec_id"), F.least("own.n", F.lit(k).cast("long")).alias("n"), "score")
+
+    asking = q.withColumn("cutoff", none("long"))
+    # The own vector may be on a list, so that one more is listed.
+    lists = cells(asking).applyInArrow(listed(k + 1), _PARTIAL)
+    of_slice = F.row_number().over(Window.partitionBy("id", "key", "slice").orderBy(F.desc("part"), "vec"))
+    lists = lists.withColumn("place", of_slice).filter(F.col("place") <= k + 1).drop("place")
+    so_far = F.sum("n").over(Window.partitionBy("id", "key").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, 0))
+    cutoffs = owned(resolved(lists, asking)).withColumn("so_far", so_far).groupBy("id", "key").agg(F.max(F.when(F.col("so_far") >= k, F.col("score"))).alias("cutoff"))
     asking = written(q.join(cutoffs, ["id", "key"], "left"), "cutoffs")
-    found = cells(asking).applyInArrow(_resolved(k), "id long, key long, vec_id long, score long, n long")
-    copies = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k).cast("long")))))
-    best = Window.partitionBy("id", "key").orderBy(F.desc("score"), "vec_id", "copy")
+    scores = resolved(cells(asking).applyInArrow(sufficient, _PARTIAL), asking)
+    best = owned(scores.join(asking.select("id", "key", "cutoff"), ["id", "key"]).filter("cutoff IS NULL OR score >= cutoff"))
+    copies = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    order = Window.partitionBy("id", "key").orderBy(F.desc("score"), "vec_id", "copy")
     return (
-        copies.withColumn("rank", F.row_number().over(best))
+        copies.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

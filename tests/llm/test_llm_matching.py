@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,6 +198,26 @@ def test_top_k_with_ties_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == naive_top(rows, [r for r in rows if r[0] % 20 == 0], 7)
 
 
+def test_scores_beyond_long_are_errors(spark):
+    big = spark.createDataFrame([(20, [2**40, 2**40]), (1, [2**40, 1])], "id long, v array<long>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(big, big.filter("id = 20"), 3).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        spark.createDataFrame([([1e300],)], "x array<double>").select(topk.quantised(F.col("x"))).collect()
+
+
+def test_a_cell_holds_one_slice():
+    """Phase one lists what a slice alone knows; only asking other slices makes a score of it."""
+    table = pa.table({
+        "side": [0, 1, 1, 2], "slice": pa.array([1] * 4, pa.int32()), "id": [7, None, None, 7], "key": [70, None, None, 70], "vec": [None, 1, 2, 2],
+        "cutoff": [7, None, None, None], "values": pa.array([[1, 2], [3, 0], [0, 2], None], pa.list_(pa.int64())),
+    })
+    rows = lambda out: list(zip(*(out.column(c).to_pylist() for c in ("id", "vec", "slice", "part"))))
+    assert sorted(rows(topk.listed(5)(table))) == [(7, 1, 1, 3), (7, 2, 1, 4)] and rows(topk.listed(1)(table)) == [(7, 2, 1, 4)]
+    # Cutoff 7 over two slices: 4 is enough, 3 is not.
+    assert rows(topk.sufficient(table)) == [(7, 2, 1, 4)] == rows(topk.answered(table))
+
+
 def test_top_k_of_repeated_and_missing_rows(spark):
     rows = [(20, [1, 0]), (1, [3, 0]), (1, [3, 0]), (2, [2, 5])]
     frame = spark.createDataFrame(rows, "id long, v array<long>")
