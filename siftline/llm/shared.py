@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # White space as the contracts count it: blank, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+# Keys that a join broadcasts, at most, because they have many rows.
+CROWDS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def matched(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key and ``many``, the rows it meets, ``total`` at most.
+
+    Keys that meet more than one row in ``CROWDS`` are at most ``CROWDS`` in number: these are broadcast, and their rows stay where
+    they are.
+    """
+    crowd = F.col("many") > total / CROWDS
+    heavy = keyed.filter(crowd)
+    if not heavy.limit(1).count():
+        return rows.join(keyed, keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(keyed.filter(~crowd), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import ragged, strings, written
+from siftline.llm.shared import matched, ragged, strings, written
 
 SEED = 42
 BITS = 64
@@ -255,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
 
     A turn replaces links by links to smaller nodes, keeps what is connected and ends when nothing changes; the
     turns number about the logarithm of the longest chain. Links are only grouped with combinable minima and
-    joined, never gathered by node.
+    joined, never gathered by node; the minima of nodes with very many links are broadcast, so these links stay where they are.
     """
     pairs = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     summed = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -263,13 +263,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = links.union(links.select("b", "a"))
-        lowest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        many = F.count(F.lit(1)).alias("many")
+        lowest = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), many), "lowest")
         # Large star: larger neighbours move to the smallest one.
-        large = written(pairs(both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))), "links")
+        large = written(pairs(matched(both, lowest, ["a"], 2 * links.count()).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))), "links")
         # Small star: smaller neighbours, and the node itself, move to the smallest one.
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("low"), many), "lowest")
         own = lowest.select("a", F.col("low").alias("b"))
-        small = written(pairs(large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(own)), "links")
+        small = written(pairs(matched(large, lowest, ["a"], large.count()).select(F.col("b").alias("a"), F.col("low").alias("b")).union(own)), "links")
         links, now = small, summed(small)
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.shared import ragged, slices, strings, written
+from siftline.llm.shared import matched, ragged, slices, strings, written
 
 LENGTH, SEED = 50, 16
 # Suffixes of one prefix that a task holds.
 GROUP = 50_000
-# Keys that are broadcast, at most, because they have many rows.
-CROWDS = 1_000
 BLOCK_BYTES, ROWS_AT_ONCE = 4 << 20, 20_000
 # Hashes of words kept by a task: so many, of words of so many bytes at most.
 WORDS_KEPT, BYTES_KEPT = 200_000, 64
@@ -236,20 +234,6 @@ def in_trees(rows: DataFrame) -> DataFrame:
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(batches, "prefix long, around long, windows long")
 
 
-def matched(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` joined with ``keyed``, which has one row for each key and ``many``, the rows it meets, ``total`` at most.
-
-    Keys that meet more than one row in ``CROWDS`` are at most ``CROWDS`` in number: these are broadcast, and their rows stay where
-    they are.
-    """
-    crowd = F.col("many") > total / CROWDS
-    heavy = keyed.filter(crowd)
-    if not heavy.limit(1).count():
-        return rows.join(keyed, keys)
-    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(keyed.filter(~crowd), keys)
-    return rows.join(F.broadcast(heavy), keys).unionByName(light)
-
-
 def by_windows(rows: DataFrame) -> DataFrame:
     """As ``in_trees``, for prefixes of many suffixes: each window is a prefix by itself, of which the smallest id counts."""
     rows = written(rows, "substring-windows")
