@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siftline.llm.shared import ragged, strings
 
 # Bytes of cached pieces, about, before the cache starts anew; longer pieces than LONGEST characters are not kept.
-CACHE_BYTES, LONGEST = 48 << 20, 256
+CACHE_BYTES, LONGEST = 96 << 20, 256
 _ENTRY_BYTES = 200
 # Bytes of texts that are encoded together where offsets are kept.
 BYTES_AT_ONCE = 1 << 20
