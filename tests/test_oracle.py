@@ -42,7 +42,7 @@ def test_query(spark, sf_dir, con, name):
 def test_every_query_is_named_and_most_have_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(QUERIES) - set(entry.oracle_sql())
-    assert without == {"virus_summary_table"}
+    assert without == {"siphash_ranks", "minimizer_hits"}
 
 
 def test_entry(spark):
