@@ -106,7 +106,22 @@ def test_queries_against_sql(spark, sf_dir, name):
 
 def test_every_operator_has_a_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_stages_of_odd_input(spark, sf_dir, documents, odd_rows):
+    """Empty tables, nulls, repeated rows and clashing columns pass through every stage; all but the last keep the columns."""
+    rows = [*odd_rows, *[(6, "again and again", "a")] * 20]
+    for docs in (documents(rows), documents(rows).limit(0)):
+        given = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, docs, sf_dir), name)
+            assert out.columns == given.columns
+            docs = out
+        kept = docs.select("doc_id", "text").distinct().count()
+        tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert len(tokens) == docs.count() and kept <= 9
+    assert not tokens
 
 
 def test_stages_against_brute_force(spark, sf_dir):
