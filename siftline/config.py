@@ -168,6 +168,8 @@ class RunInfo:
     profile_status: str = "release_candidate"
     backend: str = "seed-vote"
     negative_control_required: bool = False
+    # Kinds of input that the profile was calibrated for; none given means any.
+    supported_input: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -178,3 +180,14 @@ class Profile:
     decision: DecisionRules = field(default_factory=DecisionRules)
     sampling: SamplingPlan = field(default_factory=lambda: SamplingPlan(proportions=DEFAULT_PROPORTIONS))
     run: RunInfo = field(default_factory=RunInfo)
+
+    def problems(self, bundle_version: str | None = None, backend: str | None = None, input_kind: str | None = None) -> list[str]:
+        """Why this profile may not judge a run: against the loaded bundle's version, the backend that makes the hits and the kind of input."""
+        given = (
+            ("reference bundle", self.run.reference_bundle_version, bundle_version),
+            ("backend", self.run.backend, backend),
+        )
+        found = [f"the profile is for {name} `{own}`, not `{other}`" for name, own, other in given if other is not None and own != other]
+        if input_kind is not None and self.run.supported_input and input_kind not in self.run.supported_input:
+            found.append(f"the profile is for input of {', '.join(self.run.supported_input)}, not `{input_kind}`")
+        return found

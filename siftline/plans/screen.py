@@ -103,14 +103,20 @@ def screen(
     sample_controls: DataFrame | None = None,
     background: DataFrame | None = None,
     gates: DataFrame | None = None,
+    bundle_version: str | None = None,
+    backend: str | None = None,
+    input_kind: str | None = None,
 ) -> Screening:
     """Reads and hits of a cohort to decisions and release statuses.
 
     ``sample_controls`` and ``background`` come from the control operators; ``gates`` has
     the calibration gates of the profile, in one row, or one row for each ``profile_id``.
     Reads are read and judged once; what follows works on their keys and verdicts. A sample
-    with hits that no usable contig takes is blocked from release.
+    with hits that no usable contig takes is blocked from release. A profile that is not for the given ``bundle_version``,
+    ``backend`` or ``input_kind`` (see :func:`siftline.sources.fastq.input_kind`) is an error, before anything is read.
     """
+    if problems := profile.problems(bundle_version, backend, input_kind):
+        raise ValueError("; ".join(problems))
     judged = settle(
         qc.qc_verdict(fragments, profile.qc).select("sample_id", "fragment_key", "record_number", F.struct("qc.reason").alias("qc"))
     )

@@ -319,3 +319,12 @@ def test_looks_one_by_one_do_not_read_stopped_samples(spark, sf_dir, tmp_path):
     spelled = lambda df: sorted(map(repr, df.filter(F.col("round") <= upto).select(columns).collect()))
     assert set(columns) == set(every.columns) and spelled(found.evaluated) == spelled(every)
     assert {r.sample_id: r.rounds_run for r in decision.sample_decisions(found.looks).collect()} == stops
+
+
+def test_profile_must_fit_the_run(spark):
+    run = dataclasses.replace(PROFILE.run, supported_input=("fastq_pair",))
+    profile = dataclasses.replace(PROFILE, run=run)
+    assert profile.problems("bundle-1", "seed-vote", "fastq_pair") == [] == PROFILE.problems(input_kind="records")
+    assert len(profile.problems("bundle-2", "other", "records")) == 3
+    with pytest.raises(ValueError, match="reference bundle `bundle-1`, not `bundle-2`"):
+        screen.screen(None, None, None, profile, bundle_version="bundle-2")
