@@ -206,16 +206,20 @@ def test_scores_beyond_long_are_errors(spark):
         spark.createDataFrame([([1e300],)], "x array<double>").select(topk.quantised(F.col("x"))).collect()
 
 
-def test_a_cell_holds_one_slice():
-    """Phase one lists what a slice alone knows; only asking other slices makes a score of it."""
+def test_cells_of_a_slice_and_of_a_block():
+    """Phase one lists what a slice alone knows; blocks send on what has a sufficient slice and reaches the cutoff."""
+    values = pa.array([[1, 2], [3, 0], [0, 2], None], pa.list_(pa.int64()))
     table = pa.table({
         "side": [0, 1, 1, 2], "slice": pa.array([1] * 4, pa.int32()), "id": [7, None, None, 7], "key": [70, None, None, 70], "vec": [None, 1, 2, 2],
-        "cutoff": [7, None, None, None], "values": pa.array([[1, 2], [3, 0], [0, 2], None], pa.list_(pa.int64())),
+        "cutoff": [4, None, None, None], "values": values, "first": [None, 7, 5, None], "second": pa.array([None, 9, None, None], pa.int64()),
     })
     rows = lambda out: list(zip(*(out.column(c).to_pylist() for c in ("id", "vec", "slice", "part"))))
     assert sorted(rows(topk.listed(5)(table))) == [(7, 1, 1, 3), (7, 2, 1, 4)] and rows(topk.listed(1)(table)) == [(7, 2, 1, 4)]
-    # Cutoff 7 over two slices: 4 is enough, 3 is not.
-    assert rows(topk.sufficient(table)) == [(7, 2, 1, 4)] == rows(topk.answered(table))
+    assert rows(topk.answered(table)) == [(7, 2, 1, 4)] == rows(topk.collected(5)(table))
+    lower = table.set_column(5, "cutoff", pa.array([3, None, None, None]))
+    assert [r[1] for r in rows(topk.collected(5)(lower))] == [2, 1] and [r[1] for r in rows(topk.collected(1)(lower))] == [2]
+    alone = lower.set_column(8, "second", pa.nulls(4, pa.int64()))
+    assert [r[1] for r in rows(topk.collected(5)(alone))] == [2]
 
 
 def test_top_k_of_repeated_and_missing_rows(spark):
