@@ -60,9 +60,12 @@ def relies_on(path: str, parts: dict) -> bool:
 
 
 class Pieces(dict):
-    """A cache from pieces of text to bytes, bounded by its bytes."""
+    """A cache from pieces of text to bytes, bounded by its bytes: when half of them are taken, what is here becomes the earlier half,
+    from which pieces that come again are taken over."""
 
-    held = 0
+    def __init__(self):
+        super().__init__()
+        self.held, self.earlier = 0, {}
 
     def keep(self, piece: str, value: bytes) -> bytes:
         if len(piece) <= LONGEST:
@@ -71,9 +74,9 @@ class Pieces(dict):
         return value
 
     def bound(self) -> None:
-        if self.held > CACHE_BYTES:
+        if self.held > CACHE_BYTES // 2:
+            self.earlier, self.held = dict(self), 0
             self.clear()
-            self.held = 0
 
 
 def byte_letters() -> dict[int, str]:
@@ -103,6 +106,8 @@ class Encoder(Pieces):
         self.by_pieces = relies_on(path, _WORD_PARTS)
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.earlier.get(piece)) is not None:
+            return self.keep(piece, known)
         lower = piece.lower() if _in_latin(piece) else piece
         if not piece:
             ids = b""
@@ -235,6 +240,8 @@ class OffsetEncoder(Pieces):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.earlier.get(piece)) is not None:
+            return self.keep(piece, known)
         places = array("i")
         if not _SIMPLE(piece):
             for a, b in self.tokenizer.encode(piece, add_special_tokens=False).offsets:
