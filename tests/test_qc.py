@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import adapters as A
 from siftline.config import QcConfig
 from siftline.functions import sequence, text
 from siftline.operators import qc
@@ -98,3 +99,18 @@ def test_config_is_validated():
         QcConfig(min_read_length=0)
     with pytest.raises(ValueError):
         QcConfig(max_n_fraction=1.5)
+
+
+def test_windows_of_texts_are_cut_once_and_as_spelled(spark, tmp_path):
+    """Windows by the adapter's own words, on texts of odd lengths; no filter spells a read out more than once."""
+    texts = ["", None, "a", "ab" * 75, "x" * 300, "é\U0001f600\n" * 100 + "z", "a c\n\n" * 60 + "\U0001f600" * 150, "m" * 1201]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = A.spark_sql(spark, str(tmp_path), A.FRAGMENTS)
+    spelled = A.FRAGMENTS.replace("{explode}", "explode").replace("{upto}", "sequence").replace("//", "DIV")
+    want = spark.sql(spelled, documents=docs)
+    assert got.schema == want.schema and want.count() == 14
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    for frame in (got, qc.qc_passing(got)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("substr") <= 4 and max(line.count("translate(") for line in plan.splitlines()) <= 2
