@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftline import adapters as A
 from siftline.checks import queries as Q
+from siftline.functions import sequence
 from siftline.operators import hits, minimizers
 
 SWAP = str.maketrans("ACGT", "TGCA")
@@ -102,3 +104,32 @@ def test_recall_against_all_seeds(spark, sf_dir):
         total = exact.count()
         recall = exact.join(found, places, "left_semi").count() / total
         assert total and recall >= 0.9, (total, recall)
+
+
+def test_kmers_as_longs_vote_as_texts_do(spark, monkeypatch):
+    """Codes against a count by hand; the same votes by long and by text keys; reads are taken into seeds once."""
+    texts = ["", None, "acgTNacg", "ACé\U0001f600GGTAC", "AC", "T" * 40]
+    frame = spark.createDataFrame([(t,) for t in texts], "seq string")
+    for reverse in (False, True):
+        got = [r[0] for r in frame.select(sequence.kmer_codes(F.col("seq"), 3, reverse)).collect()]
+        for t, codes in zip(texts, got):
+            mers = [t[i : i + 3].upper() for i in range(len(t) - 2)] if t else []
+            mers = [m if set(m) <= set("ACGT") else None for m in mers]
+            if reverse:
+                mers = [m and m[::-1].translate(str.maketrans("ACGT", "TGCA")) for m in mers]
+            assert (codes or []) == [m and sum("ACGT".index(c) << 2 * (2 - i) for i, c in enumerate(m)) for m in mers]
+    with pytest.raises(ValueError):
+        sequence.kmer_codes(F.col("seq"), 32)
+    rng = random.Random(5)
+    contig = "".join(rng.choices("ACGT", k=1_500))
+    flip = contig[700:820][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = [("s", "a", contig[500:620].lower(), flip), ("s", "b", contig[20:90] + "N" + contig[91:140], None), ("s", "c", "é" + contig[1380:1500], "")]
+    fragments = spark.createDataFrame(reads, "sample_id string, fragment_key string, r1_seq string, r2_seq string")
+    panel = spark.createDataFrame([("x", contig), ("y", contig[400:900] + "N" * 30)], "contig string, sequence string")
+    for k in (16, 31, 40):
+        long = hits.seed_vote_hits(fragments, panel, k)
+        assert long._jdf.queryExecution().optimizedPlan().toString().count("r1_seq") <= 4
+        with monkeypatch.context() as patched:
+            patched.setattr(hits, "LONGEST_CODE", 0)
+            short = hits.seed_vote_hits(fragments, panel, k).collect()
+        assert sorted(map(str, long.collect())) == sorted(map(str, short)) and {r.fragment_key for r in short} == {"a", "b", "c"}
