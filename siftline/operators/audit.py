@@ -7,11 +7,12 @@ sorted, so the output does not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import labels as L
 from siftline.operators.release import release_status
+from siftline.tuning import TASK_ROWS, dealt
 
 OUTPUT = ("sample_id", "check", "status", "detail")
 
@@ -218,28 +219,35 @@ def audit_bindings(summary: DataFrame, manifest: DataFrame, bundle_version: str
     fields = ("reference_bundle_version", "calibration_profile_version", "backend", "seed")
     s = summary.select("sample_id", *[F.col(f).alias(f"s_{f}") for f in fields])
     m = manifest.select("sample_id", *[F.col(f).alias(f"m_{f}") for f in fields])
-    both = s.join(m, "sample_id")
+    sides = [m]
+    if profiles is not None:
+        # Where a sample has several profiles, the other checks are told with the first.
+        nth = F.row_number().over(Window.partitionBy("sample_id").orderBy("profile_id"))
+        sides.append(profiles.select("sample_id", "profile_id", "reference_bundle", "profile_backend"))
+    s, m, *loaded = dealt(s, "sample_id", rows=TASK_ROWS // 3, others=sides)
+    both, once = s.join(m, "sample_id"), F.lit(True)
     absent = [F.when(F.col(f"s_{f}").isNull() & F.col(f"m_{f}").isNull(), f"{f} is missing from both") for f in fields]
-    out = _from_problems(
-        both,
-        "report bundle bindings",
-        F.array(*[_differs(f, F.col(f"s_{f}"), F.col(f"m_{f}"), "sample_summary", "run_manifest") for f in fields], *absent),
-        "sample summary and run manifest agree",
-    )
-    if bundle_version is not None:
-        against = lambda side, name: _differs("reference_bundle_version", F.col(f"{side}_reference_bundle_version"), F.lit(bundle_version), name, "bundle")
-        out = out.unionByName(
-            _from_problems(both, "reference bundle binding", F.array(against("s", "sample_summary"), against("m", "run_manifest")), "report references the loaded bundle")
+    against = lambda side, name: _differs("reference_bundle_version", F.col(f"{side}_reference_bundle_version"), F.lit(bundle_version), name, "bundle")
+    checks = [
+        (
+            "report bundle bindings",
+            F.array(*[_differs(f, F.col(f"s_{f}"), F.col(f"m_{f}"), "sample_summary", "run_manifest") for f in fields], *absent),
+            "sample summary and run manifest agree",
         )
+    ]
+    if bundle_version is not None:
+        checks.append(("reference bundle binding", F.array(against("s", "sample_summary"), against("m", "run_manifest")), "report references the loaded bundle"))
+    verdict = lambda check, problems, good: F.struct(F.lit(check).alias("check"), F.array_compact(problems).alias("problems"), F.lit(good).alias("good"))
     if profiles is not None:
-        bound = both.join(profiles.withColumn("_loaded", F.lit(True)), "sample_id", "left")
+        both = both.join(loaded[0].withColumn("_nth", nth), "sample_id", "left")
+        once = F.coalesce(F.col("_nth") == 1, F.lit(True))
         pairs = (
             ("calibration_profile_version", "profile_id"),
             ("reference_bundle_version", "reference_bundle"),
             ("backend", "profile_backend"),
         )
-        unloaded = F.col("_loaded").isNull()
-        problems = F.array(
+        unloaded = F.col("_nth").isNull()
+        bound = F.array(
             F.when(unloaded, "no profile is loaded for the sample"),
             *[
                 F.when(~unloaded, _differs(field, F.col(f"{side}_{field}"), F.col(target), name, "profile"))
@@ -247,8 +255,19 @@ def audit_bindings(summary: DataFrame, manifest: DataFrame, bundle_version: str
                 for side, name in (("s", "sample_summary"), ("m", "run_manifest"))
             ],
         )
-        out = out.unionByName(_from_problems(bound, "calibration profile binding", problems, "report references the loaded profile"))
-    return out
+        last = [verdict("calibration profile binding", bound, "report references the loaded profile")]
+    else:
+        last = []
+    # Sides meet once, for all checks.
+    told = F.array_compact(F.array(*[F.when(once, verdict(*check)) for check in checks], *last))
+    found = both.select("sample_id", F.explode(told).alias("_told"))
+    fine = F.size("_told.problems") == 0
+    return found.select(
+        "sample_id",
+        "_told.check",
+        F.when(fine, "pass").otherwise("fail").alias("status"),
+        F.when(fine, F.col("_told.good")).otherwise(F.array_join("_told.problems", "; ")).alias("detail"),
+    )
 
 
 def _offenders(rows: DataFrame, check: Column, offender: Column) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftline import tuning
-from siftline.operators import hits
+from siftline.operators import audit, hits
 
 COLUMNS = (
     "sample_id string, fragment_key string, contig string, mate int, mapq int, as_score int, nm int, is_primary boolean, "
@@ -44,3 +44,22 @@ def test_secondary_hits_by_hand_and_in_one_move(spark):
     flags = found.select("sample_id", "fragment_key", "contig", "r1_mapped", "r2_mapped", "pair_consistent").distinct()
     assert flags.exceptAll(hits.aggregate_hits(frame).select(*flags.columns)).count() == 0
     assert hits.aggregate_hits(frame).agg(F.count("*")).first()[0] > 0
+
+
+def test_bindings_meet_once_and_several_profiles_tell_the_others_once(spark):
+    fields = "sample_id string, reference_bundle_version string, calibration_profile_version string, backend string, seed long"
+    summary = spark.createDataFrame([("a", "b1", "p1", "x", 1), ("b", "b0", "p1", None, 2), ("c", "b1", "p9", "x", 3)], fields)
+    manifest = spark.createDataFrame([("a", "b1", "p1", "x", 1), ("b", "b1", "p1", None, 2), ("c", "b1", "p9", "x", 4)], fields)
+    profiles = spark.createDataFrame([("a", "p1", "b1", "x"), ("a", "p2", "b1", "x"), ("b", "p1", "b1", "x")], "sample_id string, profile_id string, reference_bundle string, profile_backend string")
+    found = audit.audit_bindings(summary, manifest, "b1", profiles)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    got = sorted((r.sample_id, r.check.split()[0], r.status) for r in found.collect())
+    assert got == [
+        ("a", "calibration", "fail"), ("a", "calibration", "pass"), ("a", "reference", "pass"), ("a", "report", "pass"),
+        ("b", "calibration", "fail"), ("b", "reference", "fail"), ("b", "report", "fail"),
+        ("c", "calibration", "fail"), ("c", "reference", "pass"), ("c", "report", "fail"),
+    ]
+    details = {(r.sample_id, r.check.split()[0]): r.detail for r in found.collect()}
+    assert details["c", "calibration"] == "no profile is loaded for the sample" and "backend is missing from both" in details["b", "report"]
+    plain = audit.audit_bindings(summary, manifest)
+    assert sorted((r.sample_id, r.status) for r in plain.collect()) == [("a", "pass"), ("b", "fail"), ("c", "fail")]
