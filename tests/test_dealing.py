@@ -1,10 +1,12 @@
 """Rows are dealt to tasks by their number, and move once."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from siftline import tuning
+from siftline.checks import report_queries
 from siftline.operators import audit, hits
 
 COLUMNS = (
@@ -63,3 +65,11 @@ def test_bindings_meet_once_and_several_profiles_tell_the_others_once(spark):
     assert details["c", "calibration"] == "no profile is loaded for the sample" and "backend is missing from both" in details["b", "report"]
     plain = audit.audit_bindings(summary, manifest)
     assert sorted((r.sample_id, r.status) for r in plain.collect()) == [("a", "pass"), ("b", "fail"), ("c", "fail")]
+
+
+def test_fastq_files_of_both_mates_are_written_at_once(spark, sf_dir, monkeypatch):
+    kept = []
+    monkeypatch.setattr(report_queries, "settle", lambda df: kept.append(df) or df)
+    folder = report_queries.fastq_files(spark, sf_dir)
+    names = [sorted(str(p.relative_to(f"{folder}/mate={m}")) for p in Path(f"{folder}/mate={m}").glob("*/part-*")) for m in (1, 2)]
+    assert names[0] and names[0] == names[1] and not kept
